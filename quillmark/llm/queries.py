@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from quillmark.llm.licenses import OP6_SQL, op6_licenses
 from quillmark.llm.mixing import OP10_SQL, op10_mixing
+from quillmark.llm.packing import op4_packing
 from quillmark.llm.warc import OP9_SQL, op9_warc
 
 
 def queries() -> dict:
     return {
+        "op4_packing": op4_packing,
+        "op6_licenses": op6_licenses,
         "op9_warc": op9_warc,
         "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op6_licenses": OP6_SQL, "op9_warc": OP9_SQL, "op10_mixing": OP10_SQL}
