@@ -5,11 +5,13 @@ from __future__ import annotations
 from quillmark.llm.licenses import OP6_SQL, op6_licenses
 from quillmark.llm.mixing import OP10_SQL, op10_mixing
 from quillmark.llm.packing import op4_packing
+from quillmark.llm.quality import op2_quality
 from quillmark.llm.warc import OP9_SQL, op9_warc
 
 
 def queries() -> dict:
     return {
+        "op2_quality": op2_quality,
         "op4_packing": op4_packing,
         "op6_licenses": op6_licenses,
         "op9_warc": op9_warc,
