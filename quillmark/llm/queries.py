@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from quillmark.llm.ann import op1_ann
 from quillmark.llm.licenses import OP6_SQL, op6_licenses
 from quillmark.llm.mixing import OP10_SQL, op10_mixing
+from quillmark.llm.neardup_vectors import op8_vectors
 from quillmark.llm.packing import op4_packing
 from quillmark.llm.quality import op2_quality
 from quillmark.llm.warc import OP9_SQL, op9_warc
@@ -11,9 +13,11 @@ from quillmark.llm.warc import OP9_SQL, op9_warc
 
 def queries() -> dict:
     return {
+        "op1_ann": op1_ann,
         "op2_quality": op2_quality,
         "op4_packing": op4_packing,
         "op6_licenses": op6_licenses,
+        "op8_vectors": op8_vectors,
         "op9_warc": op9_warc,
         "op10_mixing": op10_mixing,
     }
