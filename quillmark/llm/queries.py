@@ -7,6 +7,7 @@ from quillmark.llm.licenses import OP6_SQL, op6_licenses
 from quillmark.llm.mixing import OP10_SQL, op10_mixing
 from quillmark.llm.neardup_vectors import op8_vectors
 from quillmark.llm.packing import op4_packing
+from quillmark.llm.pii import op7_pii
 from quillmark.llm.quality import op2_quality
 from quillmark.llm.warc import OP9_SQL, op9_warc
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op2_quality": op2_quality,
         "op4_packing": op4_packing,
         "op6_licenses": op6_licenses,
+        "op7_pii": op7_pii,
         "op8_vectors": op8_vectors,
         "op9_warc": op9_warc,
         "op10_mixing": op10_mixing,
