@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillmark.llm.ann import op1_ann
+from quillmark.llm.jaccard import op5_jaccard
 from quillmark.llm.licenses import OP6_SQL, op6_licenses
 from quillmark.llm.mixing import OP10_SQL, op10_mixing
 from quillmark.llm.neardup_vectors import op8_vectors
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op1_ann": op1_ann,
         "op2_quality": op2_quality,
         "op4_packing": op4_packing,
+        "op5_jaccard": op5_jaccard,
         "op6_licenses": op6_licenses,
         "op7_pii": op7_pii,
         "op8_vectors": op8_vectors,
