@@ -1,4 +1,73 @@
-STAGES = []
+"""A training corpus from ``documents``: filter, deduplicate, redact, mix, pack.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the one before
+kept, and returns the columns of ``documents``; the last returns packed pieces.
+Every result is written as Parquet and read again, so a lost executor repeats
+part of one stage at most.
+
+Rows with a null doc_id can't be grouped with others: they pass the
+deduplication. A null text counts as an empty one everywhere.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmark.llm import jaccard, mixing, packing, pii, quality
+from quillmark.llm.common import scratch, table
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the threshold."""
+    net = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, net).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 5-word shingles at 80 percent, directly or through others, the one with the smallest doc_id."""
+    found = jaccard.jaccard_components(spark, docs, words=5, percent=80)
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind; n_chars follows the text."""
+    clean = pii.redacted(pii.spans(docs))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return clean.select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources repeated to weights in proportion to the square root of their rows, in one global random order."""
+    return mixing.poisson_mix(docs).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", quality_filter),
+    ("jaccard", deduplicate),
+    ("pii", redact),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+#: The classifier's and the tokenizer's rows can't be had in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = scratch(spark, f"pipeline-{name}")
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

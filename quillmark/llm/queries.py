@@ -10,6 +10,7 @@ from quillmark.llm.neardup_vectors import op8_vectors
 from quillmark.llm.packing import op4_packing
 from quillmark.llm.pii import op7_pii
 from quillmark.llm.quality import op2_quality
+from quillmark.llm.substrings import op3_substrings
 from quillmark.llm.warc import OP9_SQL, op9_warc
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
     return {
         "op1_ann": op1_ann,
         "op2_quality": op2_quality,
+        "op3_substrings": op3_substrings,
         "op4_packing": op4_packing,
         "op5_jaccard": op5_jaccard,
         "op6_licenses": op6_licenses,
