@@ -17,8 +17,11 @@ def by_position(column: str = "violations") -> Column:
 
 
 def exploded(df: DataFrame, key: str = "doc_id", column: str = "violations") -> DataFrame:
-    """One row per violation: key, pos and the violation's fields."""
-    return df.select(key, F.posexplode(column).alias("pos", "v")).select(
+    """One row per violation: key, pos and the violation's fields.
+
+    The outer form, because the inner one makes the optimizer repeat the whole array expression in a filter.
+    """
+    return df.select(key, F.posexplode_outer(column).alias("pos", "v")).where("pos is not null").select(
         key, "pos", "v.rule_id", "v.start_index", "v.end_index", "v.matched_text", "v.explanation", "v.suggested_change"
     )
 

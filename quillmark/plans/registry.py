@@ -2,10 +2,359 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmark.functions import patterns as P
+from quillmark.functions.catalogue import CATEGORIES, HIGH_SIGNAL, REWRITE_DEFAULTS, RULES, rules, values_sql
+from quillmark.functions.spans import count_overlapping, overlaps, paragraphs, restore, sentences
+from quillmark.operators import judge as J
+from quillmark.operators.detectors import deduplicated, detect, openers, prepared
+from quillmark.operators.masking import LANGUAGES, lang_column, mask
+from quillmark.operators.report import check, corpus_counts, exploded, report_json
+from quillmark.plans import oracle as O
+from quillmark.plans.seeds import CARRIERS, seeded, seeded_sql
+
+
+def _docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeded(_docs(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+
+
+def _rows(df: DataFrame) -> DataFrame:
+    return exploded(df).select("doc_id", "start_index", "end_index", "matched_text", "explanation")
+
+
+def _flat(column: str):
+    """A count map as text: key=value, by key."""
+    e = F.array_sort(F.map_entries(column))
+    return F.array_join(F.transform(e, lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",").alias(column)
+
+
+def _rule_query(rule: str):
+    return lambda spark, sf: _rows(detect(_seeded(spark, sf).select("doc_id", "text"), rules=[rule]))
+
+
+def _report(spark, sf):
+    r = check(_seeded(spark, sf).select("doc_id", "text"))
+    return r.select("doc_id", "text_length", F.size("violations").alias("n_violations"), _flat("counts_by_rule"), _flat("counts_by_category"))
+
+
+_ALL = O.everything()
+_CATS = values_sql("id", "category")
+_REPORT_SQL = O.over(
+    f"""SELECT s.doc_id, strlen(s.text)::int AS text_length, coalesce(n, 0)::int AS n_violations, coalesce(r.counts_by_rule, '') AS counts_by_rule, coalesce(c.counts_by_category, '') AS counts_by_category
+FROM src s LEFT JOIN (SELECT doc_id, sum(n) AS n, string_agg(rule_id || '=' || n, ',' ORDER BY rule_id) AS counts_by_rule FROM (SELECT doc_id, rule_id, count(*) AS n FROM found GROUP BY 1, 2) GROUP BY 1) r USING (doc_id)
+LEFT JOIN (SELECT doc_id, string_agg(category || '=' || n, ',' ORDER BY category) AS counts_by_category FROM (SELECT doc_id, category, count(*) AS n FROM found JOIN {_CATS} ON id = rule_id GROUP BY 1, 2) GROUP BY 1) c USING (doc_id)"""
+).replace("WITH src AS (", "WITH src AS MATERIALIZED (", 1).replace(") SELECT s.doc_id", f"), found AS MATERIALIZED ({_ALL}) SELECT s.doc_id", 1)
+
+
+def _found(select: str, src: str | None = None) -> str:
+    src = src or f"SELECT doc_id, text FROM ({seeded_sql()})"
+    return f"WITH src AS MATERIALIZED ({src}), found AS MATERIALIZED ({_ALL}) {select}"
+
+
+def _grouped(spark, df: DataFrame, group: str) -> DataFrame:
+    return corpus_counts(detect(df), group)
+
+
+def _grouped_sql(table: str, group: str) -> str:
+    return f"""WITH t AS MATERIALIZED ({table}), src AS MATERIALIZED (SELECT doc_id, text FROM t), found AS MATERIALIZED ({_ALL}),
+d AS (SELECT t.doc_id, {group} AS grp, strlen(t.text) AS bytes, (SELECT count(*) FROM found WHERE found.doc_id = t.doc_id) AS n FROM t)
+SELECT grp AS {group}, count(*) AS n_docs, sum(n)::bigint AS n_violations, sum(bytes)::bigint AS n_bytes, round(1000.0 * sum(n) / greatest(sum(bytes), 1), 6)::double AS per_1000_bytes FROM d GROUP BY grp"""
+
+
+_TURNS = "SELECT conv_id * 1000 + turn AS doc_id, role, text FROM conversations"
+_LABELLED = f"SELECT doc_id, quality, text FROM ({seeded_sql()}) JOIN labels USING (doc_id)"
+
+
+def _labelled(spark, sf):
+    known = _docs(spark, sf, "labels").select("doc_id", "quality")
+    return _seeded(spark, sf).select("doc_id", "text").join(known, "doc_id").select("doc_id", "quality", "text")
+
+
+def _rule_rows(df: DataFrame) -> DataFrame:
+    return df.select("ord", "id", "category", "can_remove", "requires_llm", "llm_tier", "color", "bg_color", "name", "tip")
+
+
+def _rules_sql(where: str = "") -> str:
+    return f"SELECT * FROM {values_sql('ord', 'id', 'category', 'can_remove', 'requires_llm', 'llm_tier', 'color', 'bg_color', 'name', 'tip')} {where}"
+
+
+# ---------------------------------------------------------------- small inputs
+
+_PATHS = ["a.md", "b.MARKDOWN", "c.mdx", "d.html", "e.HTM", "f.js", "g.mjs", "h.cjs", "i.jsx", "j.ts", "k.mts", "l.cts", "m.tsx", "n.txt", "noext", "dir.md/plain", "x.tar.html"]
+_EFFORTS = [(None, None, None, False), (None, None, None, True), (None, True, None, False), (None, False, None, True), (None, None, True, False), (None, None, False, True), (None, True, False, True), ("off", True, True, True), ("LOW", None, True, True), ("high", None, None, False), ("auto", True, None, True), ("auto", None, None, False), ("", None, None, True)]
+_SPANS = [(1, 0, 5), (1, 5, 9), (2, 3, 4), (2, 10, 20), (3, 0, 0), (3, 7, 8)]
+_RANGES = [(1, 4, 6, "heading"), (1, 8, 12, "list-item"), (1, 8, 9, "list-item"), (2, 0, 3, "heading"), (2, 15, 16, "list-item"), (2, 19, 40, "list-item"), (3, 0, 50, "code-block")]
+_ANSWERS = [("hedge-stack", "the", "common", "a"), ("throat-clearing", "THE", "case", "remove all of this now"), ("", "the", "no rule", ""), ("dead-metaphor", "no such words anywhere", "lost", ""), ("balanced-take", "", "no match", ""), ("hedge-stack", "the", "again", "b"), ("pivot-paragraph", "of", "short", "omit"), ("sycophantic-frame", "is", "other", "plain words")]
+
+
+def _sql_values(rows: list[tuple], names: str) -> str:
+    one = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else O.lit(v)
+    return f"(VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS v({names})"
+
+
+def _resolve_lang(spark, sf):
+    return spark.createDataFrame([(p,) for p in _PATHS], "path string").select("path", lang_column(F.col("path")).alias("lang"))
+
+
+def _lang_sql() -> str:
+    cases = " ".join(f"WHEN ext = '{e}' THEN '{n}'" for e, n in sorted(LANGUAGES.by_extension.items()))
+    return f"SELECT path, CASE {cases} ELSE 'text' END AS lang FROM (SELECT path, lower(regexp_extract(path, '(\\.[^./]*)$', 1)) AS ext FROM {_sql_values([(p,) for p in _PATHS], 'path')})"
+
+
+def _effort(spark, sf):
+    rows = [(i, *J.resolve_effort(*e)) for i, e in enumerate(_EFFORTS)]
+    return spark.createDataFrame(rows, "id int, effort string, auto boolean")
+
+
+def _effort_sql() -> str:
+    default = "CASE WHEN plugin THEN 'high' ELSE 'off' END"
+    return f"""SELECT id::int AS id, CASE WHEN flag IN ('', 'auto') OR (flag IS NULL AND deep IS NULL AND llm IS NULL) THEN {default} WHEN flag IS NOT NULL THEN flag
+WHEN deep IS NOT NULL THEN CASE WHEN deep THEN 'high' ELSE 'off' END ELSE CASE WHEN llm THEN 'low' ELSE 'off' END END AS effort,
+coalesce(flag IN ('', 'auto'), deep IS NULL AND llm IS NULL) AS auto FROM (SELECT id, lower(f) AS flag, llm, deep, plugin FROM {_sql_values([(i, *e) for i, e in enumerate(_EFFORTS)], 'id, f, llm, deep, plugin')})"""
+
+
+def _overlap(kind: str):
+    def run(spark, sf):
+        r = spark.createDataFrame(_RANGES, "doc_id int, start int, end int, kind string").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "kind")).alias("ranges"))
+        v = spark.createDataFrame(_SPANS, "doc_id int, s int, e int").join(F.broadcast(r), "doc_id")  # seven rows
+        out = overlaps(F.col("s"), F.col("e"), F.col("ranges"), "heading") if kind == "any" else count_overlapping(F.col("s"), F.col("e"), F.col("ranges"), "list-item")
+        return v.select("doc_id", "s", "e", out.alias("found"))
+
+    return run
+
+
+def _overlap_sql(kind: str) -> str:
+    k, out = ("heading", "count(r.a) > 0") if kind == "any" else ("list-item", "count(r.a)::int")
+    return f"""SELECT v.doc_id, s, e, {out} AS found FROM {_sql_values(_SPANS, 'doc_id, s, e')}
+LEFT JOIN (SELECT * FROM {_sql_values(_RANGES, 'doc_id, a, b, kind')}) r ON r.doc_id = v.doc_id AND r.kind = '{k}' AND a < e AND b > s GROUP BY v.doc_id, s, e"""
+
+
+def _restore(spark, sf):
+    d = _docs(spark, sf).select("doc_id", "text")
+    start, end = F.lit(0), F.octet_length(F.substring("text", 1, 9)).cast("int")
+    return d.select("doc_id", restore(F.col("text"), start, end, F.lit("?")).alias("inside"), restore(F.col("text"), F.lit(5), F.octet_length("text") + 1, F.lit("?")).alias("beyond"))
+
+
+def _chunks(spark, sf):
+    d = _seeded(spark, sf).select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    return J.chunked(d).select("doc_id", "chunk_id", F.octet_length("chunk").alias("bytes"), F.md5(F.col("chunk").cast("binary")).alias("digest"))
+
+
+_CHUNK_SQL = f"""WITH RECURSIVE src AS MATERIALIZED (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM ({seeded_sql()})),
+p AS MATERIALIZED (SELECT doc_id, string_split_regex(text, '\\n\\n+') AS ps FROM src WHERE strlen(text) > {J.CHUNK_ABOVE}),
+f AS (SELECT doc_id, 0 AS i, ''::varchar AS now, 0 AS size, 0 AS chunk_id, NULL::varchar AS done, NULL::int AS done_id FROM p
+UNION ALL SELECT doc_id, i + 1,
+ CASE WHEN shut THEN para ELSE joined END, CASE WHEN shut THEN strlen(para) + 2 ELSE grown END, chunk_id + shut::int, CASE WHEN shut OR i + 1 = n THEN joined END, chunk_id
+ FROM (SELECT *, (grown >= {J.CHUNK_SIZE} AND i + 1 < n) AS shut FROM (SELECT f.doc_id, f.i, f.chunk_id, ps[i + 1] AS para, len(ps) AS n,
+   CASE WHEN f.i = 0 THEN ps[i + 1] ELSE now || chr(10) || chr(10) || ps[i + 1] END AS joined, (size + strlen(ps[i + 1]) + 2)::int AS grown FROM f JOIN p USING (doc_id) WHERE i < len(ps))))
+SELECT doc_id, done_id AS chunk_id, strlen(done)::int AS bytes, md5(done) AS digest FROM f WHERE done IS NOT NULL
+UNION ALL SELECT doc_id, 0, strlen(text)::int, md5(text) FROM src WHERE strlen(text) <= {J.CHUNK_ABOVE}"""
+
+
+def _answers():
+    return F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(a, ("ruleId", "matchedText", "explanation", "suggestedChange"), strict=True))) for a in _ANSWERS))
+
+
+def _located(spark, sf):
+    d = _seeded(spark, sf).select("doc_id", "text")
+    return exploded(d.select("doc_id", J.located(F.col("text"), _answers()).alias("violations"))).select("doc_id", "rule_id", "start_index", "end_index", "matched_text", "explanation", "suggested_change")
+
+
+_UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+_LOCATED_SQL = f"""WITH src AS (SELECT doc_id, text, translate(text, {_UP}, {_LOW}) AS plain FROM ({seeded_sql()})),
+p AS (SELECT doc_id, text, v.*, CASE WHEN instr(text, m) > 0 THEN instr(text, m) ELSE instr(plain, translate(m, {_UP}, {_LOW})) END AS at FROM src, {_sql_values(_ANSWERS, 'r, m, x, g')} WHERE r <> '' AND m <> '')
+SELECT doc_id, r AS rule_id, strlen(substr(text, 1, at - 1))::int AS start_index, (strlen(substr(text, 1, at - 1)) + strlen(substr(text, at, length(m))))::int AS end_index, substr(text, at, length(m)) AS matched_text,
+x AS explanation, CASE WHEN regexp_matches(trim(g), {O.lit(P.INSTRUCTION)}) AND strlen(g) > floor(1.5 * strlen(m)) THEN '' ELSE g END AS suggested_change FROM p WHERE at > 0"""
+
+
+def _first_by_match(spark, sf):
+    d = _seeded(spark, sf).select("doc_id", "text")
+    found = J.first_by_match(J.located(F.col("text"), _answers()))
+    return exploded(d.select("doc_id", found.alias("violations"))).select("doc_id", "rule_id", "matched_text", "explanation")
+
+
+_FIRST_SQL = f"""SELECT doc_id, rule_id, matched_text, explanation FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, rule_id, matched_text ORDER BY n) AS q FROM (
+SELECT doc_id, r AS rule_id, substr(text, at, length(m)) AS matched_text, x AS explanation, n FROM (SELECT doc_id, text, r, m, x, n, CASE WHEN instr(text, m) > 0 THEN instr(text, m) ELSE instr(translate(text, {_UP}, {_LOW}), translate(m, {_UP}, {_LOW})) END AS at
+FROM ({seeded_sql()}), {_sql_values([(i, *a[:3]) for i, a in enumerate(_ANSWERS)], 'n, r, m, x')} WHERE r <> '' AND m <> '') WHERE at > 0)) WHERE q = 1"""
+
+
+def _fixed_judge(system, prompt, schema):
+    """Stands in for a model: finds the first word, fails on texts about rivers, rewrites to upper case."""
+    if "rewritten" in schema["properties"]:
+        return {"rewritten": f"  {prompt.upper()}\n"}
+    passage = prompt.split("Text to analyze:\n\n", 1)[1]
+    if "the river rose" in passage:
+        raise RuntimeError("no answer")
+    word = passage.split(" ")[0] if passage else ""
+    return json.dumps({"violations": [{"ruleId": "throat-clearing", "matchedText": word, "explanation": "first word", "suggestedChange": ""}]})
+
+
+def _status(spark, sf):
+    d = _seeded(spark, sf).select("doc_id", "text")
+    return J.judged(d, _fixed_judge, "sentence").select("doc_id", F.size("found").alias("n_found"), F.col("error").isNull().alias("ran"))
+
+
+def _rewrite(spark, sf):
+    d = spark.createDataFrame(list(enumerate(CARRIERS)), "doc_id int, text string")
+    return J.rewritten(d, _fixed_judge, ["hedge-stack", "em-dash-pivot"]).select("doc_id", F.octet_length("rewritten").alias("bytes"), F.array_join("applied_rules", ",").alias("applied"))
+
+
+def _prompts(spark, sf):
+    rows = [("sentence", J.rule_prompt("sentence")), ("document", J.rule_prompt("document")), ("rewrite", J.rewrite_prompt([h for _, h in J.rewrite_hints(["hedge-stack"])]))]
+    return spark.createDataFrame(rows, "name string, prompt string")
+
+
+def _prompt_rules(spark, sf):
+    return rules(spark).where("llm_tier is not null").select("llm_tier", "id", "llm_detection_hint", "ord")
+
+
+def _hints(spark, sf):
+    return spark.createDataFrame([(i, *h) for i, h in enumerate(J.rewrite_hints([" hedge-stack", "", "almost-hedge", "hedge-stack "]))], "pos int, id string, rewrite_hint string")
+
+
+def _marked(kind: str):
+    """Snippets in a language with paragraphs of the seed around them."""
+    wrap = {
+        "markdown": ("---\ntitle: x\n---\n# Head `code`\n\n", "\n\n- First item here. Two words. All short.\n- Next one. And more. So short.\n\nSee [the link](http://a.b/c(d) \"robust\") and `vital`.\n\n```\ncrucial code\n```\n\n    robust code\n\n<div>vital</div>\n"),
+        "js": ("// A note.\n\n/** Doc line. */\nconst a = 'It is crucial.'; const b = /vital/; const c = `robust ${vital} end`;\n/* ", " */\nlet d = crucial;\n"),
+        "jsx": ("/** Doc. */ export const A = () => <p title=\"robust\">It is vital. {crucial}</p>;\n// ", "\n"),
+        "ts": ("const x: Array<string> = ['crucial'];\n/* ", " */"),
+        "tsx": ("const f = <T,>(x: T) => x; const y = <b>robust</b>;\n/* ", " */"),
+    }[kind]
+
+    def docs(spark):
+        rows = [(i, wrap[0] + (c if kind == "markdown" else c.replace("*/", "").replace("\n", " ")) + wrap[1], kind) for i, c in enumerate(CARRIERS)]
+        return mask(spark.createDataFrame(rows, "doc_id int, text string, lang string"))
+
+    return docs
+
+
+def _mask_query(kind: str):
+    return lambda spark, sf: _marked(kind)(spark).select("doc_id", F.md5(F.col("masked").cast("binary")).alias("masked"), F.size("ranges").alias("n_ranges"))
+
+
+def _suppress_query(kind: str):
+    return lambda spark, sf: _rows_rule(check(_marked(kind)(spark), lang="lang", masked="masked"))
+
+
+def _rows_rule(df: DataFrame) -> DataFrame:
+    return exploded(df).select("doc_id", "rule_id", "start_index", "end_index", "matched_text")
+
+
+def _pages(spark, sf):
+    p = _docs(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.lit("html").alias("lang"))
+    return mask(p)
+
+
+def _paragraphs(spark, sf):
+    d = _seeded(spark, sf).select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("pos", "p"))
+    return d.select("doc_id", "pos", F.col("p.start").alias("start_index"), F.octet_length("p.text").alias("bytes"))
+
+
+def _sentences(spark, sf):
+    d = _seeded(spark, sf).select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "p"))
+    return d.select("doc_id", "pos", F.col("p.start").alias("start_index"), F.octet_length("p.text").alias("bytes"))
+
+
+def _openers(spark, sf):
+    d = prepared(_seeded(spark, sf).select("doc_id", "text")).select("doc_id", F.posexplode(openers()).alias("pos", "o"))
+    return d.select("doc_id", "pos", F.col("o.two").alias("two"), F.col("o.one").alias("one"))
+
+
+def _dedup(spark, sf):
+    """Every violation twice, the copy with another explanation: the first stays."""
+    d = detect(_seeded(spark, sf).select("doc_id", "text"), rules=["overused-intensifiers", "hedge-stack"])
+    twice = d.withColumn("violations", F.concat("violations", F.transform("violations", lambda v: v.withField("explanation", F.lit("copy")))))
+    return exploded(deduplicated(twice)).select("doc_id", "rule_id", "start_index", "end_index", "matched_text", "explanation")
+
 
 def queries() -> dict:
-    return {}
+    q = {f"rule_{r.replace('-', '_')}": _rule_query(r) for r in P.ORDER}
+    q |= {
+        "split_paragraphs": _paragraphs,
+        "split_sentences": _sentences,
+        "anaphora_openers": _openers,
+        "run_client": lambda s, d: exploded(detect(_seeded(s, d).select("doc_id", "text"))).select("doc_id", "rule_id", "start_index", "end_index", "matched_text", "explanation"),
+        "dedup": _dedup,
+        "sort_violations": lambda s, d: exploded(check(_seeded(s, d).select("doc_id", "text"))).select("doc_id", "pos", "rule_id", "start_index", "end_index"),
+        "check_report": _report,
+        "counts_by_rule": lambda s, d: exploded(detect(_seeded(s, d).select("doc_id", "text"))).groupBy("rule_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs")),
+        "counts_by_category": lambda s, d: exploded(detect(_seeded(s, d).select("doc_id", "text"))).join(F.broadcast(rules(s).select(F.col("id").alias("rule_id"), "category")), "rule_id").groupBy("category").agg(F.count("*").alias("n")),
+        "report_json": lambda s, d: report_json(check(_docs(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))).select(F.md5(F.col("value").cast("binary")).alias("digest")),
+        "corpus_by_source": lambda s, d: _grouped(s, _seeded(s, d), "source"),
+        "corpus_by_lang": lambda s, d: _grouped(s, _seeded(s, d), "lang"),
+        "turns_by_role": lambda s, d: _grouped(s, _docs(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "role", "text"), "role"),
+        "density_by_quality": lambda s, d: _grouped(s, _labelled(s, d), "quality"),
+        "rules_all": lambda s, d: _rule_rows(rules(s)),
+        "rules_by_category": lambda s, d: _rule_rows(rules(s, category="framing")),
+        "rules_llm_only": lambda s, d: _rule_rows(rules(s, llm_only=True)),
+        "rules_high_signal": lambda s, d: s.createDataFrame([(i, r) for i, r in enumerate(HIGH_SIGNAL)], "pos int, id string"),
+        "prompt_rules": _prompt_rules,
+        "prompts": _prompts,
+        "rewrite_hints": _hints,
+        "rewrite_defaults": lambda s, d: s.createDataFrame([(i, r) for i, r in enumerate(REWRITE_DEFAULTS)], "pos int, id string"),
+        "resolve_lang": _resolve_lang,
+        "resolve_effort": _effort,
+        "overlaps": _overlap("any"),
+        "count_overlapping": _overlap("count"),
+        "restore_matched_text": _restore,
+        "mask_html": lambda s, d: _pages(s, d).select("doc_id", F.md5(F.col("masked").cast("binary")).alias("masked"), F.size("ranges").alias("n_ranges")),
+        "html_violations": lambda s, d: _rows_rule(check(_pages(s, d).drop("lang").withColumn("lang", F.lit("text")), lang="lang", masked="masked")),
+        "suppress_html": lambda s, d: _rows_rule(check(_pages(s, d), lang="lang", masked="masked")),
+        "chunk_text": _chunks,
+        "resolve_llm_matches": _located,
+        "dedupe_rule_match": _first_by_match,
+        "llm_status": _status,
+        "rewrite": _rewrite,
+    }
+    for kind in ("markdown", "js", "jsx", "ts", "tsx"):
+        q[f"mask_{kind}"] = _mask_query(kind)
+        q[f"suppress_{kind}"] = _suppress_query(kind)
+    return q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    o = {f"rule_{r.replace('-', '_')}": O.over(O.rule(r)) for r in P.ORDER}
+    o["rule_anaphora_abuse"] = O.over("SELECT * FROM (" + O.rule("anaphora-abuse") + ")")
+    o |= {
+        "split_paragraphs": O.over(f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::int AS pos, a AS start_index, (b - a)::int AS bytes FROM ({O.PARAS})"),
+        "split_sentences": O.over(f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::int AS pos, a AS start_index, (b - a)::int AS bytes FROM ({O.SENTS})"),
+        "anaphora_openers": O.over(f"SELECT doc_id, i::int AS pos, two, one FROM ({O.openers()})"),
+        "run_client": _found("SELECT * FROM found"),
+        "dedup": _found("SELECT * FROM found WHERE rule_id IN ('overused-intensifiers', 'hedge-stack')"),
+        "sort_violations": _found("SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start_index, end_index, rule_id) - 1)::int AS pos, rule_id, start_index, end_index FROM found"),
+        "check_report": _REPORT_SQL,
+        "counts_by_rule": _found("SELECT rule_id, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM found GROUP BY rule_id"),
+        "counts_by_category": _found(f"SELECT category, count(*) AS n FROM found JOIN {_CATS} ON id = rule_id GROUP BY category"),
+        "corpus_by_source": _grouped_sql(seeded_sql(), "source"),
+        "corpus_by_lang": _grouped_sql(seeded_sql(), "lang"),
+        "turns_by_role": _grouped_sql(_TURNS, "role"),
+        "density_by_quality": _grouped_sql(_LABELLED, "quality"),
+        "rules_all": _rules_sql(),
+        "rules_by_category": _rules_sql("WHERE category = 'framing'"),
+        "rules_llm_only": _rules_sql("WHERE requires_llm"),
+        "rules_high_signal": f"SELECT pos::int AS pos, id FROM {_sql_values([(i, r) for i, r in enumerate(HIGH_SIGNAL)], 'pos, id')}",
+        "prompt_rules": f"SELECT * FROM {values_sql('llm_tier', 'id', 'llm_detection_hint', 'ord')} WHERE llm_tier IS NOT NULL",
+        "rewrite_hints": f"SELECT pos::int AS pos, id, rewrite_hint FROM {_sql_values([(0, 'hedge-stack'), (1, 'almost-hedge'), (2, 'hedge-stack')], 'pos, rid')} JOIN {values_sql('id', 'rewrite_hint')} ON id = rid",
+        "rewrite_defaults": f"SELECT pos::int AS pos, id FROM {_sql_values([(i, r) for i, r in enumerate(REWRITE_DEFAULTS)], 'pos, id')}",
+        "resolve_lang": _lang_sql(),
+        "resolve_effort": _effort_sql(),
+        "overlaps": _overlap_sql("any"),
+        "count_overlapping": _overlap_sql("count"),
+        "restore_matched_text": "SELECT doc_id, substr(text, 1, 9) AS inside, '?' AS beyond FROM documents",
+        "chunk_text": _CHUNK_SQL,
+        "resolve_llm_matches": _LOCATED_SQL,
+        "dedupe_rule_match": _FIRST_SQL,
+    }
+    return o
+
+
+assert len(RULES) == 48 and len(CATEGORIES) == 5
