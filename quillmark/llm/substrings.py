@@ -6,7 +6,8 @@ groups can be settled apart. Neighbouring windows of one group make a piece.
 Groups that occur once hold no repeat and go no further. Copies of a piece are
 one piece with a count: all its windows repeat. The distinct pieces of a group
 go into a suffix array (linear grouping construction), whose neighbours with
-``length`` common bytes are the repeats.
+``length`` common bytes are the repeats; windows that no other piece can hold,
+by a hash of their common part, are left out of it beforehand.
 
 A group with more than GROUP_PIECES distinct pieces (a passage that very many
 texts share, each in other company) would be one task's work, so its windows
@@ -28,7 +29,9 @@ K = 64
 MOST_WINDOWS = 512
 #: Bytes of a text that are looked at together (longer texts by overlapping segments).
 SEGMENT = 1 << 23
-GROUP_PIECES = 512
+GROUP_PIECES = 4096
+#: Windows that are judged together before the suffix array.
+BLOCK = 8
 #: Bytes of pieces that one suffix array takes; a group is never split.
 ARRAY_BYTES = 1 << 15
 _OTHER = np.random.default_rng(977).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -116,6 +119,51 @@ def repeated_windows(pieces: list[bytes], length: int) -> list[np.ndarray]:
     return [np.flatnonzero(hit[f : f + len(p)]) for f, p in zip(first, pieces, strict=True)]
 
 
+def shared_parts(pieces: list[bytes], minis: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """(piece, first window, last window + 1): windows that can repeat within their groups.
+
+    Equal windows hold their minimizer at equal places. By that place windows fall into blocks of BLOCK; what
+    all windows of a block have in common is hashed, and a block whose hash no other piece has can't repeat.
+    A piece that holds its minimizer more than once is kept whole.
+    """
+    whole = [(i, 0, len(p) - length + 1) for i, p in enumerate(pieces)]
+    k = min(K, length)
+    if length <= 4 * BLOCK:
+        return whole
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    size = np.array([len(p) for p in pieces])
+    off = np.concatenate([[0], np.cumsum(size)])
+    total, inv = sums(data), powers(len(data) + 1, True)
+    row = np.repeat(np.arange(len(pieces)), size)[: len(data) - k + 1]
+    there = mix((total[k:] - total[:-k]) * inv[: len(row)]) == minis[row]
+    there &= np.arange(len(row)) + k <= off[row + 1]
+    at = np.flatnonzero(there)
+    rows, first, times = np.unique(row[at], return_index=True, return_counts=True)
+    rows, first = rows[times == 1], first[times == 1]
+    place = at[first] - off[rows]
+    windows = size[rows] - length + 1
+    lo_block, hi_block = (place - windows + 1) // BLOCK, place // BLOCK
+    many = hi_block - lo_block + 1
+    who = np.repeat(np.arange(len(rows)), many)
+    block = hi_block[who] - (np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many))
+    begin = off[rows][who] + place[who] - BLOCK * block
+    core = length - BLOCK + 1
+    h = mix((total[begin + core] - total[begin]) * inv[begin] + minis[rows][who]) + block.astype(np.uint64)
+    _, back, counts = np.unique(h, return_inverse=True, return_counts=True)
+    keep = counts[back] > 1
+    who, block = who[keep], block[keep]
+    a = np.maximum(0, place[who] - BLOCK * block - BLOCK + 1)
+    b = np.minimum(windows[who], place[who] - BLOCK * block + 1)
+    out: list[tuple[int, int, int]] = []
+    for i, x, y in zip(rows[who].tolist(), a.tolist(), b.tolist(), strict=True):
+        if out and out[-1][0] == i and out[-1][2] == x:
+            out[-1] = (i, out[-1][1], y)
+        else:
+            out.append((i, x, y))
+    single = set(rows.tolist())
+    return out + [w for w in whole if w[0] not in single]
+
+
 def islands(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs [lo, hi) of consecutive sorted numbers."""
     if not len(at):
@@ -179,12 +227,15 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int) -> DataFrame:
 
         def settle(rows):
             rid, lo, hi = [], [], []
-            for r, at in zip(rows, repeated_windows([r[4] for r in rows], length), strict=True):
+            minis = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+            parts = shared_parts([r[4] for r in rows], minis, length)
+            for (i, x, y), at in zip(parts, repeated_windows([rows[i][4][x : y + length - 1] for i, x, y in parts], length), strict=True):
+                r = rows[i]
                 if r[3] == 1 and len(at):
                     a, b = islands(at)
                     rid += [r[1]] * len(a)
-                    lo += (a + r[2]).tolist()
-                    hi += (b + r[2]).tolist()
+                    lo += (a + r[2] + x).tolist()
+                    hi += (b + r[2] + x).tolist()
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rid, lo, hi)], names)
 
         rows, held, last = [], 0, None
