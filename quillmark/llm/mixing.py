@@ -76,8 +76,9 @@ def poisson_mix(
     weight n**alpha. ``target`` is the wanted number of rows (default: as many as there are).
     A null source is a source of its own (weight by alpha only), a null key counts as
     the empty string, repeated rows draw alike, an empty table gives an empty one.
-    Texts are never looked at.
+    Texts are never looked at. Columns of ``docs`` that bear an added name are replaced.
     """
+    docs = docs.drop("copy", "copies", "rate", "shuffle_key", "_g", "_parts", "_cdf")
     r = rates(docs, group, weights, alpha, target)
     key_text = F.coalesce(F.col(key).cast("string"), F.lit(""))
     draws = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda j: uniform(seed, key_text, j.cast("string")))
