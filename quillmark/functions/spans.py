@@ -55,6 +55,17 @@ def fields(c: Column) -> Column:
     return F.filter(F.split(c, f"[{SPACES}]+"), lambda w: w != "")
 
 
+def at_most(c: Column, n: int) -> Column:
+    """Whether there are n words or fewer; looks no further than word n + 1."""
+    return ~c.rlike(f"^[{SPACES}]*+(?:[^{SPACES}]++[{SPACES}]++){{{n}}}[^{SPACES}]")
+
+
+def first_words(c: Column) -> Column:
+    """The first three words, or as many as there are."""
+    p = f"^[{SPACES}]*+([^{SPACES}]++)(?:[{SPACES}]++([^{SPACES}]++)(?:[{SPACES}]++([^{SPACES}]++))?)?"
+    return F.filter(F.array(*(F.regexp_extract(c, p, k) for k in (1, 2, 3))), lambda w: w != "")
+
+
 def fold(c: Column) -> Column:
     """Lower case for gates: folds also the two letters that case-insensitive patterns take for s and k."""
     return F.lower(F.translate(c, "ſK", "sk"))

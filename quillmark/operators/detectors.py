@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import patterns as P
-from quillmark.functions.spans import byte_slice, fields, find_all, fold, islands, java, paragraphs, sentences, trim
+from quillmark.functions.spans import at_most, byte_slice, fields, find_all, first_words, fold, islands, java, paragraphs, sentences, trim
 
 VIOLATION = "struct<rule_id:string,start_index:int,end_index:int,matched_text:string,explanation:string,suggested_change:string,ord:int>"
 
@@ -164,7 +164,7 @@ def hedges() -> Column:
 def staccato() -> Column:
     rule = "staccato-burst"
     explain = lambda n: F.concat(n.cast("string"), F.lit(" consecutive short sentences"))
-    each = lambda ss: _slice(rule, ss, islands(ss, lambda s: F.size(fields(s["text"])) <= 8, 3), explain)
+    each = lambda ss: _slice(rule, ss, islands(ss, lambda s: at_most(s["text"], 8), 3), explain)
     return F.flatten(F.transform(F.filter(_c("_psents"), lambda ss: F.size(ss) >= 3), each))
 
 
@@ -195,7 +195,7 @@ def countdown() -> Column:
 def gerunds() -> Column:
     rule = "gerund-litany"
     start = java(P.GERUND)
-    holds = lambda s: trim(s["text"]).rlike(start) & (F.size(fields(s["text"])) <= 8)
+    holds = lambda s: trim(s["text"]).rlike(start) & at_most(s["text"], 8)
     return _when(_c("_text").contains("ing"), _slice(rule, _c("_sents"), islands(_c("_sents"), holds, 2)))
 
 
@@ -218,7 +218,7 @@ def openers() -> Column:
         return F.when((F.size(w) > 1) & lead.isin(*P.CONJUNCTIONS), F.slice(w, 2, 2)).otherwise(F.slice(w, 1, 2))
 
     # the first three words decide everything
-    few = F.transform(_c("_sents"), lambda s: normal(F.slice(fields(F.substring_index(s["text"], " ", 64)), 1, 3)))
+    few = F.transform(_c("_sents"), lambda s: normal(first_words(s["text"])))
     return F.transform(few, lambda w: F.when(F.size(w) >= 2, of(w)).otherwise(F.struct(F.lit("").alias("two"), F.lit("").alias("one"))))
 
 
@@ -274,11 +274,10 @@ def fragments() -> Column:
         words = fields(t)
         capped = F.forall(words, lambda w: w.rlike(r"^[\p{Lu}\p{Nd}\-\x{2013}\x{2014}\"'\x{2018}\x{2019}\x{201C}\x{201D}\[]"))
         first = p["start"] == F.element_at(_c("_paras"), 1)["start"]
-        return (F.size(words) <= 4) & ~t.endswith(":") & (t.rlike("[.!?]") | ~(first | capped))
+        return ~t.endswith(":") & (t.rlike("[.!?]") | ~(first | capped))
 
-    short = F.filter(_c("_paras"), lambda p: F.octet_length(p["text"]) <= 4096)  # four words beyond that are judged too, below
-    long = F.filter(_c("_paras"), lambda p: (F.octet_length(p["text"]) > 4096) & (F.size(fields(p["text"])) <= 4))
-    return F.transform(F.filter(F.concat(short, long), holds), lambda p: _v(rule, p["start"], p["end"], trim(p["text"])))
+    short = F.filter(_c("_paras"), lambda p: at_most(p["text"], 4))
+    return F.transform(F.filter(short, holds), lambda p: _v(rule, p["start"], p["end"], trim(p["text"])))
 
 
 SPECIAL = {
