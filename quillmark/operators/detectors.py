@@ -287,8 +287,21 @@ SPECIAL = {
 }
 
 
+#: Expressions by rule. They name columns only, so any plan of the same JVM can use them; building one takes many calls into it.
+_BUILT: dict[tuple, Column] = {}
+
+
 def column(rule: str) -> Column:
     """array<VIOLATION> of one rule; needs the columns that ``prepared`` adds."""
+    from pyspark import SparkContext
+
+    at = (id(SparkContext._active_spark_context), rule)
+    if at not in _BUILT:
+        _BUILT[at] = _build(rule)
+    return _BUILT[at]
+
+
+def _build(rule: str) -> Column:
     if rule in SPECIAL:
         return SPECIAL[rule]()
     if rule in P.SINGLE or P.word_list(rule):

@@ -170,9 +170,9 @@ def _located(spark, sf):
 
 _UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 _LOCATED_SQL = f"""WITH src AS (SELECT doc_id, text, translate(text, {_UP}, {_LOW}) AS plain FROM ({seeded_sql()})),
-p AS (SELECT doc_id, text, v.*, CASE WHEN instr(text, m) > 0 THEN instr(text, m) ELSE instr(plain, translate(m, {_UP}, {_LOW})) END AS at FROM src, {_sql_values(_ANSWERS, 'r, m, x, g')} WHERE r <> '' AND m <> '')
-SELECT doc_id, r AS rule_id, strlen(substr(text, 1, at - 1))::int AS start_index, (strlen(substr(text, 1, at - 1)) + strlen(substr(text, at, length(m))))::int AS end_index, substr(text, at, length(m)) AS matched_text,
-x AS explanation, CASE WHEN regexp_matches(trim(g), {O.lit(P.INSTRUCTION)}) AND strlen(g) > floor(1.5 * strlen(m)) THEN '' ELSE g END AS suggested_change FROM p WHERE at > 0"""
+p AS (SELECT doc_id, text, v.*, CASE WHEN instr(text, m) > 0 THEN instr(text, m) ELSE instr(plain, translate(m, {_UP}, {_LOW})) END AS spot FROM src, {_sql_values(_ANSWERS, 'r, m, x, g')} WHERE r <> '' AND m <> '')
+SELECT doc_id, r AS rule_id, strlen(substr(text, 1, spot - 1))::int AS start_index, (strlen(substr(text, 1, spot - 1)) + strlen(substr(text, spot, length(m))))::int AS end_index, substr(text, spot, length(m)) AS matched_text,
+x AS explanation, CASE WHEN regexp_matches(trim(g), {O.lit(P.INSTRUCTION)}) AND strlen(g) > floor(1.5 * strlen(m)) THEN '' ELSE g END AS suggested_change FROM p WHERE spot > 0"""
 
 
 def _first_by_match(spark, sf):
@@ -182,8 +182,8 @@ def _first_by_match(spark, sf):
 
 
 _FIRST_SQL = f"""SELECT doc_id, rule_id, matched_text, explanation FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, rule_id, matched_text ORDER BY n) AS q FROM (
-SELECT doc_id, r AS rule_id, substr(text, at, length(m)) AS matched_text, x AS explanation, n FROM (SELECT doc_id, text, r, m, x, n, CASE WHEN instr(text, m) > 0 THEN instr(text, m) ELSE instr(translate(text, {_UP}, {_LOW}), translate(m, {_UP}, {_LOW})) END AS at
-FROM ({seeded_sql()}), {_sql_values([(i, *a[:3]) for i, a in enumerate(_ANSWERS)], 'n, r, m, x')} WHERE r <> '' AND m <> '') WHERE at > 0)) WHERE q = 1"""
+SELECT doc_id, r AS rule_id, substr(text, spot, length(m)) AS matched_text, x AS explanation, n FROM (SELECT doc_id, text, r, m, x, n, CASE WHEN instr(text, m) > 0 THEN instr(text, m) ELSE instr(translate(text, {_UP}, {_LOW}), translate(m, {_UP}, {_LOW})) END AS spot
+FROM ({seeded_sql()}), {_sql_values([(i, *a[:3]) for i, a in enumerate(_ANSWERS)], 'n, r, m, x')} WHERE r <> '' AND m <> '') WHERE spot > 0)) WHERE q = 1"""
 
 
 def _fixed_judge(system, prompt, schema):
