@@ -7,26 +7,30 @@ with prefixes of l1 and l2 are compared only if these share min(l1, l2). Each
 set takes the l for which its estimated cost is least: postings to read, plus
 candidates to verify, which need more and more matches as the prefix grows.
 
+Sets that share l shingles of their l-prefixes still share one when each leaves
+out its l - 1 most frequent ones, so only the rest makes candidates; the full
+prefixes then decide whether a candidate shares enough.
+
 Frequencies come from a count sketch of fixed size over all texts. Any order
 gives right results, so the sketch's errors cost time only.
 
 Equal sets are one node. Candidates are settled in two steps, so a group of
-near copies never becomes all its pairs: first each node is verified against
-the one partner it shares most prefix shingles with, of those that lead their
-postings; then pairs of nodes that these links leave in different components
+near copies never becomes all its pairs: first, in a few rounds, each node is
+verified against the one partner outside its component that it shares most
+prefix shingles with, of those that lead their postings; then pairs of nodes that these links leave in different components
 are verified exactly. No pair that could still join two components is skipped.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quillmark.llm.common import LOWER, buffers, drop, mix, runs, scratch, word_hashes, words_of
+from quillmark.llm.common import LOWER, buffers, drop, mix, runs, scratch, word_hashes, words_of, written
 from quillmark.llm.components import components
 
 SPACE = np.zeros(256, bool)
@@ -35,8 +39,9 @@ _A = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A
 
 #: Counters of the sketch (powers of two); blocks of it that are summed apart.
 SKETCH, BLOCKS = 1 << 18, 64
-#: Longest l; cost of a verification in postings read.
-MOST_MATCHES, VERIFY_COST = 6, 20.0
+#: Values of l that a set may take (a set that can't share so many takes all it must share);
+#: cost of a verification in postings read; star rounds before the exact step.
+LEVELS, VERIFY_COST, ROUNDS = (8, 16, 32), 400.0, 5
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
@@ -79,12 +84,11 @@ def prefix(s: np.ndarray, counts: np.ndarray, floor: float, percent: int) -> tup
     order = np.lexsort((mix(s), rank))
     need = -(-percent * n // 100)
     least = n - need + 1
-    most = min(MOST_MATCHES, need)
-    if most <= 1:
-        return s[order[:least]], 1
-    read = np.cumsum(over[order[: least + most - 1]])[least - 1 :]
-    cost = read + VERIFY_COST * read / np.arange(1, most + 1)
-    best = int(np.argmin(cost)) + 1
+    if need < LEVELS[0]:
+        return s[order], need
+    fit = [x for x in LEVELS if x <= need]
+    read = np.cumsum(over[order[: least + fit[-1] - 1]])
+    best = min(fit, key=lambda x: read[least + x - 2] * (1 + VERIFY_COST / x**2))
     return s[order[: least + best - 1]], best
 
 
@@ -122,7 +126,7 @@ def jaccard_components(
                 ["id", "n", "set", "block", "counts"],
             )
 
-    paths = [scratch(spark, f"jaccard-{x}") for x in ("sets", "postings", "texts")]
+    paths = [scratch(spark, f"jaccard-{x}") for x in ("sets", "postings")]
     base.mapInArrow(scan, "id long, n long, set binary, block int, counts binary").write.parquet(paths[0])
     seen = spark.read.schema("id long, n long, set binary, block int, counts binary").parquet(paths[0])
     sets = seen.where("block is null").select("id", "n", "set")
@@ -143,9 +147,12 @@ def jaccard_components(
     floor = float(np.median(counts))
     shared = spark.sparkContext.broadcast(counts.astype(np.float32))
 
-    nodes = sets.where("set is not null and id is not null").groupBy("set").agg(F.min("id").alias("node"))
-    firsts = nodes.select(F.col("node").alias("id")).distinct()
-    rows = base.join(firsts, "id", "left_semi")
+    ids = sets.where("set is not null and id is not null")
+    nodes = ids.groupBy("set").agg(F.min("id").alias("node"))
+    copies = written(spark, ids.join(nodes, "set").where("id <> node").select("id").distinct(), "jaccard-copies")
+    firsts = nodes.select(F.col("node").alias("id"))
+    copies = written(spark, copies.join(firsts, "id", "left_anti"), "jaccard-copies")
+    rows = base.where("id is not null").join(copies, "id", "left_anti")  # a few ids mostly: then no text is moved
 
     def post(batches):
         import pyarrow as pa
@@ -167,55 +174,86 @@ def jaccard_components(
 
     rows.mapInArrow(post, "tok long, node long, l byte, n int").write.parquet(paths[1])
     postings = spark.read.schema("tok long, node long, l byte, n int").parquet(paths[1])
-    lead = F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("node"))
-    leaders = postings.groupBy("tok").agg(F.min(lead).alias("lead"), F.max(lead).alias("last")).where("lead <> last").select("tok", F.col("lead.node").alias("leader"))
+    often = postings.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
+    met_path = scratch(spark, "jaccard-live")
+    postings.join(often, "tok").write.parquet(met_path)  # postings of shingles in two or more prefixes
+    live = spark.read.schema("tok long, node long, l byte, n int, c long").parquet(met_path)
+    # the original of many copies shares most: it leads the first round
+    weight = live.groupBy("node").agg(F.sum("c").alias("weight"))
+    drop(spark, paths[1])
 
-    shape = T.StructType([T.StructField("id", T.LongType()), T.StructField("s", T.ArrayType(T.LongType()))])
+    fits = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
 
-    def whole(batches):
+    def partners(placed: DataFrame, round_: int) -> DataFrame:
+        """(a, b): by node the leader outside its component with which it shares most."""
+        first = -F.col("weight") if round_ == 0 else F.xxhash64(F.lit(round_), "node")
+        lead = placed.groupBy("tok").agg(F.min(F.struct(first.alias("o"), "node", "l", "n", "comp")).alias("lead"))
+        met = placed.join(lead, "tok").where("comp <> lead.comp").select(
+            F.col("node").alias("a"), F.col("lead.node").alias("b"), F.least("l", "lead.l").alias("need"), F.col("n").alias("a_n"), F.col("lead.n").alias("b_n")
+        )
+        shared_ = met.where(fits).groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need")
+        return shared_.groupBy("a").agg(F.max(F.struct("c", F.xxhash64("b").alias("o"), "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+
+    def holds(batches):
         import pyarrow as pa
 
-        for b in batches:
-            got = [s.view(np.int64) for _, s in _sets(b, "t", words)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int64()))], ["id", "s"])
+        kept: dict[tuple, np.ndarray] = {}
 
-    live = postings.join(leaders, "tok")
-    met_path = scratch(spark, "jaccard-live")
-    live.write.parquet(met_path)  # postings of shingles that at least two nodes share in their prefixes
-    live = spark.read.parquet(met_path)
-    drop(spark, paths[1])
-    partner = (
-        live.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c"))
-        .groupBy("node").agg(F.max(F.struct("c", F.xxhash64("leader").alias("o"), "leader")).alias("m"))
-        .select(F.col("node").alias("a"), F.col("m.leader").alias("b"))
-    )
-    in_play = live.select(F.col("node").alias("id")).distinct()
-    base.join(in_play, "id", "left_semi").mapInArrow(whole, shape).write.parquet(paths[2])
-    texts = spark.read.schema(shape).parquet(paths[2])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        c = F.size(F.array_intersect("sa", "sb"))
-        return both.where(100 * c >= percent * (F.size("sa") + F.size("sb") - c)).select("a", "b").distinct()
-
-    near_path = scratch(spark, "jaccard-links")
-    verified(partner).write.parquet(near_path)
-    near = spark.read.schema("a long, b long").parquet(near_path)
-    roots = components(spark, near)
-    placed = live.join(roots, "node", "left").select("tok", "node", "l", "n", F.coalesce("root", "node").alias("c"))
-    mixed = placed.groupBy("tok").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("tok")
-    open_ = placed.join(mixed, "tok")
-    a, b = (open_.select(F.col("tok"), *(F.col(x).alias(f"{p}_{x}") for x in ("node", "l", "n", "c"))) for p in "ab")
+        def set_of(id_, column, i):
+            raw = np.frombuffer(column[i].as_buffer(), np.uint8)
+            at = (id_, len(raw), zlib.crc32(raw))
+            if at not in kept:
+                if len(kept) > 256:
+                    kept.clear()
+                kept[at] = shingle_sets(raw, np.array([0, len(raw)]), words)[0]
+            return kept[at]
+
+        for b in batches:
+            x, y = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ok = []
+            for i in range(b.num_rows):
+                p, q = set_of(x[i], b.column(2), i), set_of(y[i], b.column(3), i)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(100 * both >= percent * (len(p) + len(q) - both))
+            yield b.filter(pa.array(ok, pa.bool_())).select([0, 1])
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that reach the threshold; only texts that are in a pair are moved on."""
+        pairs = written(spark, pairs, f"jaccard-pairs-{name}")
+        ids = written(spark, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"jaccard-ids-{name}")
+        texts = written(spark, rows.join(ids, "id", "left_semi"), f"jaccard-texts-{name}")
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+        return written(spark, both.select("a", "b", "ta", "tb").mapInArrow(holds, "a long, b long").distinct(), f"jaccard-links-{name}")
+
+    def placed_by(links: DataFrame | None) -> DataFrame:
+        if links is None:
+            return live.withColumn("comp", F.col("node"))
+        return live.join(components(spark, links), "node", "left").select(*live.columns, F.coalesce("root", "node").alias("comp"))
+
+    near = None
+    for round_ in range(ROUNDS):
+        placed = placed_by(near)
+        more = verified(partners(placed.join(weight, "node") if round_ == 0 else placed, round_), f"near{round_}")
+        near = more if near is None else near.unionByName(more)
+    placed = placed_by(near)
+    mixed = placed.groupBy("tok").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("tok")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "tok"))  # a node has a prefix at most
+    small = F.sequence(F.lit(1), F.lit(LEVELS[0] - 1))
+    ranked = placed.withColumn("rank", rank).join(mixed, "tok").withColumn(
+        "level", F.explode(F.filter(F.when(F.col("n") <= 2 * LEVELS[0], F.concat(small, F.array(*map(F.lit, LEVELS)))).otherwise(F.array(*map(F.lit, LEVELS))), lambda x: (x <= F.col("l")) & (x <= F.col("rank"))))
+    )
+    sides = [ranked.select("tok", "level", *(F.col(x).alias(f"{p}_{x}") for x in ("node", "l", "n", "comp"))) for p in "ab"]
     pairs = (
-        a.join(b, "tok")
-        .where(F.col("a_node") < F.col("b_node"))
-        .where("a_c <> b_c")
-        .where(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
-        .groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-        .agg(F.count("*").alias("m"), F.min(F.least("a_l", "b_l")).alias("need"))
-        .where("m >= need").select("a", "b")
+        sides[0].join(sides[1], ["tok", "level"])
+        .where("a_node < b_node and a_comp <> b_comp and level = least(a_l, b_l)").where(fits)
+        .select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("level").alias("need")).distinct()
     )
-    links = near.unionByName(verified(pairs))
+    pairs = written(spark, pairs, "jaccard-candidates")
+    few = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    tokens = live.join(few, "node", "left_semi").groupBy("node").agg(F.collect_list("tok").alias("toks"))
+    both = pairs.join(tokens.select(F.col("node").alias("a"), F.col("toks").alias("ta")), "a").join(tokens.select(F.col("node").alias("b"), F.col("toks").alias("tb")), "b")
+    pairs = both.where(F.size(F.array_intersect("ta", "tb")) >= F.col("need")).select("a", "b")
+    links = near.unionByName(verified(pairs, "rest"))
     final = components(spark, links)
     named = nodes.join(final, "node", "left").select("set", F.coalesce("root", "node").alias("c"))
     # rows of one key may hold several sets: their classes are one component
