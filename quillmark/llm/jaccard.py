@@ -277,3 +277,17 @@ def _bump(counts: np.ndarray, s: np.ndarray) -> None:
 def op5_jaccard(spark, sf_dir):
     """Whole texts of ``documents`` joined on 4-word shingles at 85 percent."""
     return jaccard_components(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, percent=85)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id AND r.root < e.b)
+SELECT d.doc_id, coalesce(n, 0)::bigint AS n_shingles, c.root AS component_id FROM documents d LEFT JOIN n USING (doc_id)
+LEFT JOIN (SELECT id, min(root) AS root FROM r GROUP BY id) c ON c.id = d.doc_id
+"""

@@ -166,3 +166,14 @@ def near_duplicates(
 def op8_vectors(spark, sf_dir):
     """Near-duplicates among all rows of ``embeddings`` with equal labels."""
     return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP8_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::double[] AS e FROM embeddings),
+ok AS MATERIALIZED (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS m FROM v
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.m * b.m) >= 0.93),
+r AS (SELECT vec_id AS id, vec_id AS root FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id AND r.root < l.b)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, c.root AS component_id, c.root = v.vec_id AS kept
+FROM v JOIN (SELECT id, min(root) AS root FROM r GROUP BY id) c ON c.id = v.vec_id
+"""

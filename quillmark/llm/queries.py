@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from quillmark.llm.ann import op1_ann
-from quillmark.llm.jaccard import op5_jaccard
+from quillmark.llm.jaccard import OP5_SQL, op5_jaccard
 from quillmark.llm.licenses import OP6_SQL, op6_licenses
 from quillmark.llm.mixing import OP10_SQL, op10_mixing
-from quillmark.llm.neardup_vectors import op8_vectors
+from quillmark.llm.neardup_vectors import OP8_SQL, op8_vectors
 from quillmark.llm.packing import op4_packing
 from quillmark.llm.pii import op7_pii
 from quillmark.llm.quality import op2_quality
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licenses": OP6_SQL, "op9_warc": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op5_jaccard": OP5_SQL, "op8_vectors": OP8_SQL, "op6_licenses": OP6_SQL, "op9_warc": OP9_SQL, "op10_mixing": OP10_SQL}
