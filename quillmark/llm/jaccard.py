@@ -19,6 +19,11 @@ near copies never becomes all its pairs: first, in a few rounds, each node is
 verified against the one partner outside its component that it shares most
 prefix shingles with, of those that lead their postings; then pairs of nodes that these links leave in different components
 are verified exactly. No pair that could still join two components is skipped.
+
+A parity sketch of 512 bits (each shingle flips one) goes with each node into
+that last join: two sketches differ in no more bits than their sets differ in
+shingles, so pairs whose sketches are too far apart can't link, whatever their
+texts, and never become rows.
 """
 
 from __future__ import annotations
@@ -42,6 +47,9 @@ SKETCH, BLOCKS = 1 << 18, 64
 #: Values of l that a set may take (a set that can't share so many takes all it must share);
 #: cost of a verification in postings read; star rounds before the exact step.
 LEVELS, VERIFY_COST, ROUNDS = (8, 16, 32), 400.0, 5
+#: Longs of the parity sketch.
+PARITY = 8
+_BITS = [f"p{i}" for i in range(PARITY)]
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
@@ -68,6 +76,13 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
     return out
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Parities of a set's counts by 64 * PARITY hash values, as longs; the sketches of two sets
+    differ in at most as many bits as there are members of one set only."""
+    odd = np.bincount(((s >> np.uint64(32)) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(batch, column: str, n: int):
     """(row, set) over a batch, a bounded number of bytes at a time."""
     data, off = buffers(batch.column(batch.schema.get_field_index(column)))
@@ -109,27 +124,29 @@ def jaccard_components(
 
         counts = np.zeros(SKETCH, np.int64)
         for b in batches:
-            n, dig = np.zeros(b.num_rows, np.int64), [None] * b.num_rows
+            n, dig, bits = np.zeros(b.num_rows, np.int64), [None] * b.num_rows, np.zeros((PARITY, b.num_rows), np.int64)
             for i, s in _sets(b, "t", words):
                 n[i] = len(s)
                 if len(s):
                     dig[i] = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                    bits[:, i] = parity(s)
                     _bump(counts, s)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n), pa.array(dig, pa.binary()), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())],
-                ["id", "n", "set", "block", "counts"],
+                [b.column(0), pa.array(n), pa.array(dig, pa.binary()), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary()), *map(pa.array, bits)],
+                ["id", "n", "set", "block", "counts", *_BITS],
             )
         if counts.any():
             parts = np.split(counts, BLOCKS)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                ["id", "n", "set", "block", "counts"],
+                [pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), *[pa.nulls(BLOCKS, pa.int64())] * PARITY],
+                ["id", "n", "set", "block", "counts", *_BITS],
             )
 
     paths = [scratch(spark, f"jaccard-{x}") for x in ("sets", "postings")]
-    base.mapInArrow(scan, "id long, n long, set binary, block int, counts binary").write.parquet(paths[0])
-    seen = spark.read.schema("id long, n long, set binary, block int, counts binary").parquet(paths[0])
-    sets = seen.where("block is null").select("id", "n", "set")
+    of_scan = ", ".join(["id long, n long, set binary, block int, counts binary", *(f"{x} long" for x in _BITS)])
+    base.mapInArrow(scan, of_scan).write.parquet(paths[0])
+    seen = spark.read.schema(of_scan).parquet(paths[0])
+    sets = seen.where("block is null").select("id", "n", "set", *_BITS)
 
     def add_up(key_, rows):
         import pandas as pd
@@ -148,8 +165,8 @@ def jaccard_components(
     shared = spark.sparkContext.broadcast(counts.astype(np.float32))
 
     ids = sets.where("set is not null and id is not null")
-    nodes = ids.groupBy("set").agg(F.min("id").alias("node"))
-    copies = written(spark, ids.join(nodes, "set").where("id <> node").select("id").distinct(), "jaccard-copies")
+    nodes = ids.groupBy("set").agg(F.min("id").alias("node"), F.min("n").cast("int").alias("n"), *(F.min(x).alias(x) for x in _BITS))  # one value by set
+    copies = written(spark, ids.select("id", "set").join(nodes, "set").where("id <> node").select("id").distinct(), "jaccard-copies")
     firsts = nodes.select(F.col("node").alias("id"))
     copies = written(spark, copies.join(firsts, "id", "left_anti"), "jaccard-copies")
     rows = base.where("id is not null").join(copies, "id", "left_anti")  # a few ids mostly: then no text is moved
@@ -242,10 +259,13 @@ def jaccard_components(
     ranked = placed.withColumn("rank", rank).join(mixed, "tok").withColumn(
         "level", F.explode(F.filter(F.when(F.col("n") <= 2 * LEVELS[0], F.concat(small, F.array(*map(F.lit, LEVELS)))).otherwise(F.array(*map(F.lit, LEVELS))), lambda x: (x <= F.col("l")) & (x <= F.col("rank"))))
     )
-    sides = [ranked.select("tok", "level", *(F.col(x).alias(f"{p}_{x}") for x in ("node", "l", "n", "comp"))) for p in "ab"]
+    ranked = ranked.join(nodes.select("node", "n", *_BITS), ["node", "n"])
+    sides = [ranked.select("tok", "level", *(F.col(x).alias(f"{p}_{x}") for x in ("node", "l", "n", "comp", *_BITS))) for p in "ab"]
+    apart = " + ".join(f"bit_count(a_{x} ^ b_{x})" for x in _BITS)
+    near_enough = f"{100 + percent} * ({apart}) <= {100 - percent} * (a_n + b_n)"
     pairs = (
         sides[0].join(sides[1], ["tok", "level"])
-        .where("a_node < b_node and a_comp <> b_comp and level = least(a_l, b_l)").where(fits)
+        .where("a_node < b_node and a_comp <> b_comp and level = least(a_l, b_l)").where(fits).where(near_enough)
         .select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("level").alias("need")).distinct()
     )
     pairs = written(spark, pairs, "jaccard-candidates")
@@ -255,7 +275,7 @@ def jaccard_components(
     pairs = both.where(F.size(F.array_intersect("ta", "tb")) >= F.col("need")).select("a", "b")
     links = near.unionByName(verified(pairs, "rest"))
     final = components(spark, links)
-    named = nodes.join(final, "node", "left").select("set", F.coalesce("root", "node").alias("c"))
+    named = nodes.select("set", "node").join(final, "node", "left").select("set", F.coalesce("root", "node").alias("c"))
     # rows of one key may hold several sets: their classes are one component
     several = sets.where("set is not null and id is not null").select("id", "set").distinct().groupBy("id").agg(F.count("*").alias("k"), F.min("set").alias("set0"))
     several = several.where("k > 1").select("id")
@@ -263,7 +283,7 @@ def jaccard_components(
         tied = sets.join(several, "id", "left_semi").where("set is not null").join(named, "set").select("id", "c").distinct()
         up = components(spark, tied.select(F.col("id").alias("a"), F.col("c").alias("b")))
         named = named.join(up, named["c"] == up["node"], "left").select("set", F.coalesce("root", "c").alias("c"))
-    return sets.join(named, "set", "left").select(
+    return sets.select("id", "n", "set").join(named, "set", "left").select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id")
     )
 

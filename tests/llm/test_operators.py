@@ -109,6 +109,17 @@ def test_jaccard(spark, corpus, monkeypatch, n, percent, rounds):
     assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in got))) == sorted(map(str, brute_components(rows, n, percent)))
 
 
+def test_parity_sketches_bound_differences():
+    from quillmark.llm.jaccard import parity
+
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 40, 3000):
+        both, left, right = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (size, size // 3, size // 5 + 1))
+        a, b = np.unique(np.concatenate([both, left])), np.unique(np.concatenate([both, right]))
+        apart = sum(int(x).bit_count() for x in (parity(a) ^ parity(b)).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b))
+
+
 def test_jaccard_empty(spark):
     assert jaccard.jaccard_components(spark, empty(spark)).count() == 0
 
