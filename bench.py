@@ -16,6 +16,7 @@ def main() -> None:
     from quillmark.operators.detectors import detect
     from quillmark.operators.masking import mask
     from quillmark.operators.report import check, corpus_counts
+    from quillmark.sources.files import spread
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -26,8 +27,8 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    docs = lambda: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    pages = lambda: spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.lit("html").alias("lang"))
+    docs = lambda: spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+    pages = lambda: spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.lit("html").alias("lang")))
     runs = {
         "check_report": lambda: check(docs()),
         "word_lists": lambda: detect(docs(), rules=["overused-intensifiers", "elevated-register", "filler-adverbs", "metaphor-crutch"]),
