@@ -27,3 +27,16 @@ def test_sources(spark, tmp_path):
     df = read_table(spark, str(tmp_path / "t"), "k", "body")
     write_reports(check(df), str(tmp_path / "out"))
     assert '"counts_by_rule":{"overused-intensifiers":1}' in spark.read.text(str(tmp_path / "out")).first()["value"]
+
+
+def test_spread_keeps_rows(spark, tmp_path):
+    from quillmark.sources.files import spread
+
+    spark.range(50).coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    dealt = spread(one)
+    assert dealt.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in dealt.collect()) == list(range(50))
+    spark.range(50).repartition(9).write.parquet(f"{tmp_path}/many")
+    many = spark.read.parquet(f"{tmp_path}/many")
+    assert spread(many) is many
