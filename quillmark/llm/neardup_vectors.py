@@ -14,6 +14,7 @@ expanded into pairs; joins go by bucket and adaptive execution may split them.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,11 @@ from quillmark.llm.ann import usable
 from quillmark.llm.common import written
 from quillmark.llm.components import components
 
+#: Share of pairs right at the threshold that may meet in no table, at any hash length.
+MISS = 5e-4
+#: A length that would need more tables than this gives way to a shorter one, which finds as much in larger buckets.
+MOST_TABLES = 64
+
 HASHES = "node long, w long, label string, u array<double>, codes array<long>, probes array<struct<code:long,own:int>>"
 
 
@@ -65,6 +71,29 @@ def table_codes(u: np.ndarray, tables: int, length: int, probes: int, seed: int)
     return np.stack(own, 1).astype(np.int64), probed
 
 
+@lru_cache(maxsize=64)
+def tables_needed(dims: int, length: int, probes: int, least: float, seed: int) -> int:
+    """Tables after which at most MISS of random pairs of cosine ``least`` have met in none, by one table's rate on drawn pairs."""
+    dims, r = max(2, dims), np.random.default_rng([seed, dims])
+    a, z = (r.normal(size=(max(128, 65536 // dims), dims)) for _ in range(2))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= (z * a).sum(1, keepdims=True) * a
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    tried = 20
+    (own_a, probed_a), (own_b, probed_b) = (table_codes(u, tried, length, probes, seed) for u in (a, least * a + math.sqrt(max(0.0, 1 - least * least)) * z))
+    met = [(probed_a[t] == own_b[:, t, None]).any(1) | (probed_b[t] == own_a[:, t, None]).any(1) for t in range(tried)]
+    rate = max(float(np.mean(met)), 1 / np.size(met))
+    return 1 if rate >= 1 else math.ceil(math.log(MISS) / math.log1p(-rate))
+
+
+def hashing(n: int, dims: int, tables: int, probes: int, least: float, seed: int) -> tuple[int, int]:
+    """(length, tables) for ``n`` vectors of at most ``dims`` components: the length follows n, the tables follow the length."""
+    length = max(2, round(math.log(max(n, 2)) / math.log(128)))
+    while length > 1 and tables_needed(dims, length, probes, least, seed) > MOST_TABLES:
+        length -= 1
+    return length, max(tables, tables_needed(dims, length, probes, least, seed))
+
+
 def near_duplicates(
     spark: SparkSession,
     vectors: DataFrame,
@@ -75,6 +104,7 @@ def near_duplicates(
     tables: int = 10,
     probes: int = 3,
     seed: int = 11,
+    length: int | None = None,
 ) -> DataFrame:
     """(key, n_links, component_id, kept) for every row.
 
@@ -83,14 +113,19 @@ def near_duplicates(
     not null. Vectors that are null, zero or hold null or non-finite components, and rows with a null
     key, link with nothing (a null key has a null component and isn't kept). A repeated row of one key is
     a copy like any other. Lengths may differ; vectors of different lengths never link.
-    The hash length grows with the logarithm of the number of rows, so buckets don't.
+    The hash length grows with the logarithm of the number of rows, so buckets don't. A longer hash meets
+    less often, so ``tables`` is the least number of tables: it is raised with the length (a length given
+    is kept) until a pair right at the threshold is missed with probability MISS at most.
     """
     group = F.col(label).cast("string") if label else F.lit("")
     base = vectors.select(F.col(key).cast("long").alias("k"), group.alias("label"), F.col(embedding).cast("array<double>").alias("e"))
     good = base.where(F.col("k").isNotNull() & F.col("label").isNotNull() & usable("e")).withColumn("h", F.xxhash64("label", "e"))
     nodes = good.groupBy("h").agg(F.min("k").alias("node"), F.count("*").alias("w"), F.any_value("e").alias("e"), F.any_value("label").alias("label"))
-    n = nodes.count()
-    length = max(2, round(math.log(max(n, 2)) / math.log(128)))
+    n, dims = nodes.agg(F.count("*"), F.coalesce(F.max(F.size("e")), F.lit(1))).first()
+    if length is None:
+        length, tables = hashing(n, dims, tables, probes, least, seed)
+    else:
+        tables = max(tables, tables_needed(dims, length, probes, least, seed))
 
     def work(batches):
         import pyarrow as pa

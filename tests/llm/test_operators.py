@@ -179,6 +179,27 @@ def test_near_vectors(spark):
     assert all(got[i].component_id == 50 and got[i].n_links >= 9 for i in range(50, 60))  # vector 0 has another label
 
 
+@pytest.mark.parametrize("length", [3, 4])
+def test_near_vectors_of_long_hashes(spark, length):
+    r = np.random.default_rng(8)
+    a, z = r.normal(size=(2, 600, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= (z * a).sum(1, keepdims=True) * a
+    b = 0.931 * a + np.sqrt(1 - 0.931**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([a, b]))]
+    got = neardup_vectors.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), length=length)
+    found = got.where("n_links > 0").count() / 2
+    print(f"length {length}: {found} of 600 pairs at cosine 0.931")
+    assert 598 <= found <= 600
+
+
+def test_hash_length_keeps_recall():
+    for n in (10**4, 10**6, 10**8):
+        length, tables = neardup_vectors.hashing(n, 64, 10, 3, 0.93, 11)
+        assert tables >= 10 and neardup_vectors.tables_needed(64, length, 3, 0.93, 11) <= tables
+    assert neardup_vectors.hashing(10**8, 64, 10, 3, 0.93, 11)[1] > 2 * neardup_vectors.hashing(10**4, 64, 10, 3, 0.93, 11)[1]
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u", None), (4, "u", ""), (5, "u v", "é" * 70000), (6, "g", "\x1f\x8b\x08" * 50), (None, "n", "only")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
