@@ -6,7 +6,9 @@ functions validate them, nested CASE expressions are the trees of
 
 Patterns are written so that a long run of digits or letters costs linear time
 and no deep recursion: matches may begin only at the start of a run, or where
-the match before ended, which leaves the matches the same.
+the match before ended, which leaves the matches the same, and runs of any
+length are possessive. Credentials and addresses have no longest size; parts of
+16 characters or more joined by dots (JWT) are one candidate.
 """
 
 from __future__ import annotations
@@ -19,15 +21,19 @@ from quillmark.llm.pii_model import CUES, FEATURES, KINDS, WINDOW, fitted
 BASE = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
-    "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++\.[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){{0,1000}}",
+    "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++\.[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
+_DOT = r"(?:\.|\(dot\)|\[dot\])"
+#: Labels between the first and the last. A plain dot joins labels only without spaces or with one on either side: "x.com. And so" ends at com.
+_JOIN = r"(?:\.| \. | ?(?:\(dot\)|\[dot\]) ?)"
+_LABELS = rf"(?:[A-Za-z0-9-]++{_JOIN}(?=[A-Za-z]{{2}}|[A-Za-z0-9-]++{_JOIN}[A-Za-z0-9]))*+"
 GENERATORS = {
-    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,128}[0-9])[A-Za-z0-9+/_-]{16,128}(?![A-Za-z0-9+/_-])",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+(?:\.[A-Za-z0-9+/_-]{16,}+)*+",
     "account": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){8,18}(?![0-9A-Za-z])",
-    "address": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,64} ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z]{2,12}",
+    "address": rf"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++ ?{_DOT} ?(?:{_LABELS}[A-Za-z]{{2,}}+|[A-Za-z]{{2,}}+)",
     "local_phone": r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
 

@@ -78,6 +78,20 @@ def examples(n: int = 3000, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
             cue = pick(["call ", "phone ", "tel: ", "fax ", "mobile "]) if good else pick(["order ", "model ", "sku ", "", f"{word()} "])
         x.append(features(kind, span, lead + cue))
         y.append(float(good))
+    for _ in range(n // 10):  # long ones
+        kind, good = pick(("secret", "address")), bool(r.random() < 0.5)
+        if kind == "secret":
+            size = int(r.integers(64, 2000))
+            span = pick([chars(hexes, size), chars(base + "-_", size), ".".join(chars(base + "-_", k) for k in (36, size, 43))]) if good else pick([
+                chars(hexes, int(r.integers(64, 129))), "/".join(word() for _ in range(size // 5)) + chars(dig, 4), chars(dig, size), chars(base + "+/", size),
+            ])
+            cue = pick(["token = \"", "secret: ", "api_key=", "password = '", "TOKEN = \"", "bearer "]) if good else pick(["commit ", "", "build ", "version ", "", f"{word()} "])
+        else:
+            labels = [word() for _ in range(int(r.integers(2, 5)))] + [pick(["com", "org", "photography", "international"])]
+            span = f"{word()}{pick(['.', ''])}{word()}{pick([' (at) ', '(at)', '[at]'])}{pick(['.', '(dot)', ' [dot] ']).join(labels)}" if good else f"{word()} (at) {' . '.join(labels)}"
+            cue = ""
+        x.append(features(kind, span, f"{word()} {word()} " + cue))
+        y.append(float(good))
     return np.array(x), np.array(y)
 
 

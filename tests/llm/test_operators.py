@@ -336,6 +336,20 @@ def test_pii(spark):
     assert clean[1] == 'so token = "[SECRET]" end' and clean[3] == "call [LOCAL_PHONE] or [EMAIL] now" and clean[2].startswith("commit 0")
 
 
+def test_pii_has_no_longest_span(spark):
+    r = random.Random(6)
+    run = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_") for _ in range(k))
+    cases = [(f'{before} token = "', s, '" end', kind) for before in ("so", "é😀") for kind, s in [("secret", "a1" + run(k)) for k in (60, 126, 127, 400, 20000)] + [("secret", f"eyJ0{run(32)}.{run(200)}.{run(43)}")]]
+    cases += [("write joe (at) ", "", "", None), ("to ", "joe (at) mail.example.com", ". Then", "address"), ("to ", "joe(at)a.mail.3com.co.uk", ", or", "address")]
+    cases += [("to ", "joe [at] mail [dot] example [dot] com", " soon", "address"), ("to ", "joe(at)example.international", " soon", "address"), ("to ", "joe(at)example.com", ". And so", "address")]
+    cases += [("to ", "a@b" + ".c" * 3000, " end", "email"), ("commit ", "", "0123456789abcdef0123 done", None)]
+    df = spark.createDataFrame([(i, a + b + c) for i, (a, b, c, _) in enumerate(cases)], "doc_id long, text string")
+    for row in pii.spans(df).collect():
+        before, span, _, kind = cases[row.doc_id]
+        want = [(kind, len(before), len(before) + len(span))] if kind else []
+        assert [(s.kind, s.start, s.end) for s in row.spans] == want, (row.text[:80], row.spans)
+
+
 def test_pii_features_agree(spark):
     cases = [("secret", "AbC-12_3xyzABCDEF", 'k token = "'), ("account", "123-45-6789", "my ssn: "), ("local_phone", "(212) 555-0100", "call "), ("address", "joe(at)x.org", "")]
     for kind, span, before in cases:
