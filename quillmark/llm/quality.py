@@ -151,19 +151,21 @@ def held_out(key: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, most_bytes: int = 24 << 20, key: str = "doc_id", text: str = "text", label: str = "quality") -> Network:
     """Fit on labelled rows that aren't held out: the ``sample`` first in hash order of the key, half of each label.
 
-    ``most_bytes`` bounds what the driver holds of them: rows beyond it, in that order, are left out whole.
+    ``most_bytes`` bounds what the driver holds of them. A row that doesn't fit is left out whole, and those after
+    it are taken on; a label with a text of at most half of the bound keeps a row: each label has half of the bound.
     """
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(key)).select(key, F.col(label).alias("_y"))
     order = F.xxhash64(F.lit("quality"), key)
     picked = [known.where(F.col("_y") == y).dropDuplicates([key]).orderBy(order, key).limit(sample // 2) for y in (0, 1)]
     few = picked[0].unionByName(picked[1])
     rows = docs.select(key, text).join(F.broadcast(few), key).select(key, F.col(text).cast("binary").alias("_b"), "_y")
-    got, held = [], 0
+    rows = rows.where(F.coalesce(F.length("_b"), F.lit(0)) <= most_bytes // 2)
+    got, held = [], {0: 0, 1: 0}
     for r in rows.orderBy(order, key).toLocalIterator():
-        held += len(r["_b"] or b"")
-        if held > most_bytes:
-            break
-        got.append((bytes(r["_b"] or b""), r["_y"]))
+        size = len(r["_b"] or b"")
+        if held[r["_y"]] + size <= most_bytes // 2:
+            held[r["_y"]] += size
+            got.append((bytes(r["_b"] or b""), r["_y"]))
     return fit([b for b, _ in got], np.array([y for _, y in got]))
 
 

@@ -380,6 +380,20 @@ def test_quality(spark):
     assert quality.score(empty(spark), quality.train(docs, labels.limit(0))).count() == 0
 
 
+def test_quality_sample_survives_long_texts(spark, monkeypatch):
+    rows = [(i, "x" * 10 + str(i), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "fit", lambda texts, y: (texts, y))
+    whole, marks = quality.train(docs, labels)
+    assert len(whole) > 40
+    for at in (0, 1, len(whole) // 2):
+        long = docs.withColumn("text", F.when(F.col("text") == whole[at].decode(), F.repeat(F.lit("y"), 3000)).otherwise(F.col("text")))
+        assert quality.train(long, labels, most_bytes=2000)[0] == whole[:at] + whole[at + 1 :]
+    one = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.repeat(F.lit("y"), 400)).otherwise(F.col("text")))
+    assert (quality.train(one, labels, most_bytes=2000)[1] == 1).sum() == (marks == 1).sum()
+
+
 def test_pipeline(spark, corpus, tmp_path):
     import corpus_pipeline
 
