@@ -25,10 +25,14 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 5-word shingles at 80 percent, directly or through others, the one with the smallest doc_id."""
+    """Of documents linked by 5-word shingles at 80 percent, directly or through others, the one with the smallest doc_id.
+
+    Rows of one doc_id are one document for the links: if it is kept, so is one row of each different text it has.
+    """
     found = jaccard.jaccard_components(spark, docs, words=5, percent=80)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    named = named.withColumn("_text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).dropDuplicates(["doc_id", "_text"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

@@ -413,3 +413,14 @@ def test_pipeline(spark, corpus, tmp_path):
         out.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
     assert corpus_pipeline.run(spark, str(tmp_path)).columns[:2] == ["doc_id", "start"]
+
+
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    r = random.Random(7)
+    a, b, c = (words(r, 40) for _ in range(3))
+    rows = [(1, a), (1, b), (1, a), (2, a), (3, c), (3, c), (4, None), (4, "")]
+    out = corpus_pipeline.deduplicate(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    got = sorted((x.doc_id, x.text or "") for x in out.collect())
+    assert got == sorted([(1, a), (1, b), (3, c), (4, "")])
