@@ -256,8 +256,10 @@ def jaccard_components(
     mixed = placed.groupBy("tok").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("tok")
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "tok"))  # a node has a prefix at most
     small = F.sequence(F.lit(1), F.lit(LEVELS[0] - 1))
+    # sets that need fewer than LEVELS[0] matches, and all sets that can link with one of those
+    tiny = F.col("n").cast("long") * (percent * percent) <= (LEVELS[0] - 1) * 10000
     ranked = placed.withColumn("rank", rank).join(mixed, "tok").withColumn(
-        "level", F.explode(F.filter(F.when(F.col("n") <= 2 * LEVELS[0], F.concat(small, F.array(*map(F.lit, LEVELS)))).otherwise(F.array(*map(F.lit, LEVELS))), lambda x: (x <= F.col("l")) & (x <= F.col("rank"))))
+        "level", F.explode(F.filter(F.when(tiny, F.concat(small, F.array(*map(F.lit, LEVELS)))).otherwise(F.array(*map(F.lit, LEVELS))), lambda x: (x <= F.col("l")) & (x <= F.col("rank"))))
     )
     ranked = ranked.join(nodes.select("node", "n", *_BITS), ["node", "n"])
     sides = [ranked.select("tok", "level", *(F.col(x).alias(f"{p}_{x}") for x in ("node", "l", "n", "comp", *_BITS))) for p in "ab"]

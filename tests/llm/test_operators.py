@@ -109,6 +109,15 @@ def test_jaccard(spark, corpus, monkeypatch, n, percent, rounds):
     assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in got))) == sorted(map(str, brute_components(rows, n, percent)))
 
 
+def test_jaccard_small_sets_at_low_percent(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    r = random.Random(2)
+    rows = [(i, " ".join(r.sample([f"v{k}" for k in range(90)], r.randrange(17, 30)))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_components(spark, df, words=1, percent=30).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted(brute_components(rows, 1, 30))
+
+
 def test_parity_sketches_bound_differences():
     from quillmark.llm.jaccard import parity
 
