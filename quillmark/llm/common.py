@@ -7,6 +7,7 @@ folder that ``spark.checkpoint.dir`` names, as ordinary Parquet.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ _MADE: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared folder. Where none is set, a local session (as in tests) gets a temporary one; a cluster gets an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillmark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -69,17 +72,20 @@ _RNG = np.random.default_rng(20240229)
 BYTE_CODE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_POW: dict[str, np.ndarray] = {}
+_POW: dict[bool, np.ndarray] = {}
+#: Powers that a worker keeps; longer tables live as long as they are used.
+KEPT_POWERS = 1 << 21
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """MULT**i modulo 2**64 for i < n (or of its inverse)."""
-    key = "inv" if inverse else "pow"
-    have = _POW.get(key)
+    have = _POW.get(inverse)
     if have is None or len(have) < n:
         base = np.full(max(n, 1 << 16), np.uint64(_INV) if inverse else MULT)
         base[0] = 1
-        have = _POW[key] = np.cumprod(base, dtype=np.uint64)
+        have = np.cumprod(base, dtype=np.uint64)
+        if len(have) <= KEPT_POWERS:
+            _POW[inverse] = have
     return have[:n]
 
 

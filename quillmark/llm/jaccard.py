@@ -11,8 +11,9 @@ Sets that share l shingles of their l-prefixes still share one when each leaves
 out its l - 1 most frequent ones, so only the rest makes candidates; the full
 prefixes then decide whether a candidate shares enough.
 
-Frequencies come from a count sketch of fixed size over all texts. Any order
-gives right results, so the sketch's errors cost time only.
+Frequencies come from a count sketch over all texts: about one counter for
+BYTES_A_COUNTER bytes of text, 2**MOST_COUNTERS (64 MB where it is broadcast) at
+most. Any order gives right results, so the sketch's errors cost time only.
 
 Equal sets are one node. Candidates are settled in two steps, so a group of
 near copies never becomes all its pairs: first, in a few rounds, each node is
@@ -23,13 +24,13 @@ are verified exactly. No pair that could still join two components is skipped.
 A parity sketch of 512 bits (each shingle flips one) goes with each node into
 that last join: two sketches differ in no more bits than their sets differ in
 shingles, so pairs whose sketches are too far apart can't link, whatever their
-texts, and never become rows.
+texts, and never become rows. Verification is a join of the sets of the texts
+that stand in a pair, intersected in the JVM: no text goes to Python twice for it.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,11 +43,11 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _A = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
-#: Counters of the sketch (powers of two); blocks of it that are summed apart.
-SKETCH, BLOCKS = 1 << 18, 64
+#: Bytes of text for each counter of the sketch, the least and the greatest number of counters (powers of two); blocks of it that are summed apart.
+BYTES_A_COUNTER, LEAST_COUNTERS, MOST_COUNTERS, BLOCKS = 2048, 12, 24, 64
 #: Values of l that a set may take (a set that can't share so many takes all it must share);
 #: cost of a verification in postings read; star rounds before the exact step.
-LEVELS, VERIFY_COST, ROUNDS = (8, 16, 32), 400.0, 5
+LEVELS, VERIFY_COST, ROUNDS = (8, 16, 32), 400.0, 2
 #: Longs of the parity sketch.
 PARITY = 8
 _BITS = [f"p{i}" for i in range(PARITY)]
@@ -90,6 +91,11 @@ def _sets(batch, column: str, n: int):
         yield from enumerate(shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n), lo)
 
 
+def counters(n_bytes: int) -> int:
+    """Size of the count sketch for so many bytes of text."""
+    return 1 << min(MOST_COUNTERS, max(LEAST_COUNTERS, (n_bytes // BYTES_A_COUNTER).bit_length()))
+
+
 def prefix(s: np.ndarray, counts: np.ndarray, floor: float, percent: int) -> tuple[np.ndarray, int]:
     """The adaptive prefix of a set and its l."""
     n = len(s)
@@ -118,11 +124,12 @@ def jaccard_components(
     key are one node of the graph, each with its own set; repeated rows simply repeat.
     """
     base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
+    size = counters(base.agg(F.sum(F.octet_length("t"))).first()[0] or 0)
 
     def scan(batches):
         import pyarrow as pa
 
-        counts = np.zeros(SKETCH, np.int64)
+        counts = np.zeros(size, np.int32)
         for b in batches:
             n, dig, bits = np.zeros(b.num_rows, np.int64), [None] * b.num_rows, np.zeros((PARITY, b.num_rows), np.int64)
             for i, s in _sets(b, "t", words):
@@ -151,15 +158,15 @@ def jaccard_components(
     def add_up(key_, rows):
         import pandas as pd
 
-        total = np.zeros(SKETCH // BLOCKS, np.int64)
+        total = np.zeros(size // BLOCKS, np.int64)
         for b in rows.counts:
-            total += np.frombuffer(b, np.int64)
+            total += np.frombuffer(b, np.int32)
         return pd.DataFrame({"block": [key_[0]], "counts": [total.tobytes()]})
 
     summed = seen.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(add_up, "block int, counts binary").collect()
-    counts = np.zeros(SKETCH, np.int64)  # fixed size, whatever the input
+    counts = np.zeros(size, np.int64)
     for r in summed:
-        w = SKETCH // BLOCKS
+        w = size // BLOCKS
         counts[r["block"] * w : (r["block"] + 1) * w] = np.frombuffer(r["counts"], np.int64)
     floor = float(np.median(counts))
     shared = spark.sparkContext.broadcast(counts.astype(np.float32))
@@ -211,36 +218,31 @@ def jaccard_components(
         shared_ = met.where(fits).groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need")
         return shared_.groupBy("a").agg(F.max(F.struct("c", F.xxhash64("b").alias("o"), "b")).alias("m")).select("a", F.col("m.b").alias("b"))
 
-    def holds(batches):
+    def members(batches):
         import pyarrow as pa
 
-        kept: dict[tuple, np.ndarray] = {}
-
-        def set_of(id_, column, i):
-            raw = np.frombuffer(column[i].as_buffer(), np.uint8)
-            at = (id_, len(raw), zlib.crc32(raw))
-            if at not in kept:
-                if len(kept) > 256:
-                    kept.clear()
-                kept[at] = shingle_sets(raw, np.array([0, len(raw)]), words)[0]
-            return kept[at]
-
         for b in batches:
-            x, y = b.column(0).to_pylist(), b.column(1).to_pylist()
-            ok = []
-            for i in range(b.num_rows):
-                p, q = set_of(x[i], b.column(2), i), set_of(y[i], b.column(3), i)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield b.filter(pa.array(ok, pa.bool_())).select([0, 1])
+            ids, data_off = b.column(0), buffers(b.column(1))
+            data, off = data_off
+            for lo, hi in runs(off):
+                sets_ = shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], words)
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets_])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(ends, np.concatenate(sets_).view(np.int64))], ["id", "s"])
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that reach the threshold; only texts that are in a pair are moved on."""
-        pairs = written(spark, pairs, f"jaccard-pairs-{name}")
-        ids = written(spark, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"jaccard-ids-{name}")
-        texts = written(spark, rows.join(ids, "id", "left_semi"), f"jaccard-texts-{name}")
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-        return written(spark, both.select("a", "b", "ta", "tb").mapInArrow(holds, "a long, b long").distinct(), f"jaccard-links-{name}")
+        """The pairs (a, b) that reach the threshold; only sets that are in a pair are moved on."""
+        at = {x: scratch(spark, f"jaccard-{x}-{name}") for x in ("pairs", "members", "links")}
+        pairs.write.parquet(at["pairs"])
+        pairs = spark.read.schema("a long, b long").parquet(at["pairs"])
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        rows.join(ids, "id", "left_semi").mapInArrow(members, "id long, s array<long>").write.parquet(at["members"])
+        held = spark.read.schema("id long, s array<long>").parquet(at["members"])
+        both = pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("c"))
+        both.where(f"100L * c >= {percent} * (n - c)").select("a", "b").distinct().write.parquet(at["links"])
+        drop(spark, at["pairs"])
+        drop(spark, at["members"])
+        return spark.read.schema("a long, b long").parquet(at["links"])
 
     def placed_by(links: DataFrame | None) -> DataFrame:
         if links is None:
@@ -275,7 +277,9 @@ def jaccard_components(
     tokens = live.join(few, "node", "left_semi").groupBy("node").agg(F.collect_list("tok").alias("toks"))
     both = pairs.join(tokens.select(F.col("node").alias("a"), F.col("toks").alias("ta")), "a").join(tokens.select(F.col("node").alias("b"), F.col("toks").alias("tb")), "b")
     pairs = both.where(F.size(F.array_intersect("ta", "tb")) >= F.col("need")).select("a", "b")
-    links = near.unionByName(verified(pairs, "rest"))
+    links = verified(pairs, "rest")
+    if near is not None:
+        links = near.unionByName(links)
     final = components(spark, links)
     named = nodes.select("set", "node").join(final, "node", "left").select("set", F.coalesce("root", "node").alias("c"))
     # rows of one key may hold several sets: their classes are one component

@@ -12,8 +12,8 @@ no shuffle, and a task that is run again gives the same sequences.
 
 from __future__ import annotations
 
+import json
 import zlib
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 END_ID = 0
-#: Pieces that wait for a bin at once, and words whose ids are kept, in each worker.
-POOL, KEPT_WORDS = 4096, 400_000
+#: Pieces that wait for a bin at once, and words whose ids are kept, in each task.
+POOL, KEPT_WORDS = 4096, 250_000
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
@@ -40,13 +40,13 @@ class Encoder:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks or public_tokenizers.path(RANKS), "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.full = Tokenizer.from_file(file or public_tokenizers.path(TOKENIZER))
-        self.special = sorted(x.content for x in self.full.get_added_tokens_decoder().values())
+        self.file, self.full = file or public_tokenizers.path(TOKENIZER), None
+        with open(self.file, encoding="utf-8") as f:
+            self.special = sorted(x["content"] for x in json.load(f)["added_tokens"])
         self.mixed = re.compile(r"\s \s?|\s(?<! ) | \s").search
         self.kept: dict[str, bytes] = {}
 
@@ -56,6 +56,10 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if any(x in text for x in self.special):
+            if self.full is None:  # large, and rarely needed
+                from tokenizers import Tokenizer
+
+                self.full = Tokenizer.from_file(self.file)
             return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self.mixed(text):
             return self._ids(text)
@@ -73,11 +77,6 @@ class Encoder:
         return b"".join(out)
 
 
-@lru_cache(maxsize=2)
-def encoder(file: str | None = None, ranks: str | None = None) -> Encoder:
-    return Encoder(file, ranks)
-
-
 class Packer:
     """Bins for pieces given one by one; ``out`` gets (item, start, length, sequence, offset)."""
 
@@ -191,7 +190,7 @@ def pack(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = encoder(file, ranks)
+        encode = Encoder(file, ranks)  # of this task: a worker that goes on to other work holds none
         packer = Packer(limits, cut, TaskContext.get().partitionId() << 33)
         end = np.array([END_ID], "<u4").tobytes()
         key_type = [None]
