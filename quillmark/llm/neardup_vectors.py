@@ -8,7 +8,11 @@ is filed in its own bucket of every table and also looks into the next best ones
 precision, reaches the threshold are links.
 
 Equal vectors of a label are one node with a weight, so copies are never
-expanded into pairs; joins go by bucket and adaptive execution may split them.
+expanded into pairs. A bucket with many visitors is dealt into blocks of about
+BLOCK, and every two blocks meet in a cell of their own, so no bucket is one
+task's work. Inside a cell pairs exist as numpy indices only: what leaves it is a
+count by node and a spanning forest of its links. A pair that meets in several
+buckets counts in the first alone, which both nodes' codes tell.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm.ann import usable
-from quillmark.llm.common import written
+from quillmark.llm.common import mix, written
 from quillmark.llm.components import components
 
 #: Share of pairs right at the threshold that may meet in no table, at any hash length.
@@ -29,7 +33,10 @@ MISS = 5e-4
 #: A length that would need more tables than this gives way to a shorter one, which finds as much in larger buckets.
 MOST_TABLES = 64
 
-HASHES = "node long, w long, label string, u array<double>, codes array<long>, probes array<struct<code:long,own:int>>"
+#: Visitors of a block, and pairs whose cosines are taken at once.
+BLOCK, PAIRS = 256, 1 << 15
+HASHES = "node long, w long, label string, dims int, vec binary, codes binary, visits array<struct<t:int,code:int,own:boolean>>"
+VISITS = ("cell", "side", "same", "t", "code", "own", "node", "w", "label", "dims", "vec", "codes")
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -94,6 +101,91 @@ def hashing(n: int, dims: int, tables: int, probes: int, least: float, seed: int
     return length, max(tables, tables_needed(dims, length, probes, least, seed))
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def folded(probed: list) -> np.ndarray:
+    """codes[row, table, probe] in 32 bits; the first probe is the row's own bucket."""
+    return (mix(np.stack(probed, 1).astype(np.uint64)) >> np.uint64(33)).astype(np.int32)
+
+
+def pairs_of(side: np.ndarray, same: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs that meet: within a cell of one block all, within one of two blocks those of different sides. ``first``: each cell's first row, and the end."""
+    end = np.repeat(first[1:], np.diff(first))
+    at = np.arange(len(side))
+    n = end - at - 1
+    a = np.repeat(at, n)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + a + 1
+    keep = same[a] | (side[a] != side[b])
+    return a[keep], b[keep]
+
+
+def meetings(t, least: float, tables: int, kind):
+    """Batches (a, b, n): by node the weight of its new links (b null), and (node, root) of a spanning forest of the links (n null)."""
+    import pyarrow as pa
+
+    col = {k: t.column(i) for i, k in enumerate(VISITS)}
+    plain = {k: col[k].to_numpy() for k in ("cell", "side", "same", "t", "code", "own", "node", "w", "dims")}
+    label = col["label"].combine_chunks().dictionary_encode()
+    label = (label.combine_chunks() if isinstance(label, pa.ChunkedArray) else label).indices.to_numpy(zero_copy_only=False)
+    for d in np.unique(plain["dims"]):
+        rows = np.flatnonzero(plain["dims"] == d)
+        x = {k: v[rows] for k, v in plain.items()}
+        name, take = label[rows], pa.array(rows)
+        vec = unit(np.frombuffer(b"".join(col["vec"].take(take).to_pylist()), kind).reshape(len(rows), d))
+        codes = np.frombuffer(b"".join(col["codes"].take(take).to_pylist()), np.int32).reshape(len(rows), tables, -1)
+        cell = x["cell"]
+        first = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
+        lo = 0
+        while lo < len(first) - 1:  # cells with together about PAIRS pairs
+            size = np.cumsum(np.diff(first[lo:]) ** 2)
+            hi = lo + max(1, int(np.searchsorted(size, PAIRS, "right")))
+            begin = first[lo]
+            a, b = (i + begin for i in pairs_of(x["side"][begin : first[hi]], x["same"][begin : first[hi]], first[lo : hi + 1] - begin))
+            ok = (x["own"][a] | x["own"][b]) & (x["node"][a] != x["node"][b]) & (name[a] == name[b]) & (x["t"][a] == x["t"][b]) & (x["code"][a] == x["code"][b])
+            a, b = a[ok], b[ok]
+            a, b = np.where(x["node"][a] < x["node"][b], a, b), np.where(x["node"][a] < x["node"][b], b, a)
+            for k in range(0, len(a), PAIRS):
+                yield linked(x, vec, codes, a[k : k + PAIRS], b[k : k + PAIRS], least)
+            lo = hi
+
+
+def linked(x: dict, vec: np.ndarray, codes: np.ndarray, a: np.ndarray, b: np.ndarray, least: float):
+    import pyarrow as pa
+
+    near = np.einsum("ij,ij->i", vec[a], vec[b]) >= least
+    a, b = a[near], b[near]
+    own_a, own_b = codes[a, :, :1], codes[b, :, :1]
+    a_in_b, b_in_a = (own_a == codes[b]).any(2), (own_b == codes[a]).any(2)
+    table, at = x["t"][a], np.arange(len(a))
+    earlier = ((a_in_b | b_in_a) & (np.arange(codes.shape[1]) < table[:, None])).any(1)
+    twice = a_in_b[at, table] & b_in_a[at, table] & (x["code"][a] != own_a[at, table, 0])  # they also meet in a's own bucket
+    a, b = a[~(earlier | twice)], b[~(earlier | twice)]
+    ids, back = np.unique(np.concatenate([x["node"][a], x["node"][b]]), return_inverse=True)
+    weight = np.bincount(back, np.concatenate([x["w"][b], x["w"][a]]).astype(np.float64), len(ids)).astype(np.int64)
+    i, j, root = back[: len(a)], back[len(a) :], np.arange(len(ids))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, i, root[j])
+        np.minimum.at(low, j, low[i])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    tied = np.flatnonzero(root != np.arange(len(ids)))
+    none = lambda n: pa.nulls(n, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([ids, ids[tied]])), pa.concat_arrays([none(len(ids)), pa.array(ids[root[tied]])]),
+            pa.concat_arrays([pa.array(weight), none(len(tied))]),
+        ],
+        ["a", "b", "n"],
+    )
+
+
 def near_duplicates(
     spark: SparkSession,
     vectors: DataFrame,
@@ -118,6 +210,7 @@ def near_duplicates(
     is kept) until a pair right at the threshold is missed with probability MISS at most.
     """
     group = F.col(label).cast("string") if label else F.lit("")
+    single = vectors.schema[embedding].dataType.simpleString() == "array<float>"
     base = vectors.select(F.col(key).cast("long").alias("k"), group.alias("label"), F.col(embedding).cast("array<double>").alias("e"))
     good = base.where(F.col("k").isNotNull() & F.col("label").isNotNull() & usable("e")).withColumn("h", F.xxhash64("label", "e"))
     nodes = good.groupBy("h").agg(F.min("k").alias("node"), F.count("*").alias("w"), F.any_value("e").alias("e"), F.any_value("label").alias("label"))
@@ -132,57 +225,55 @@ def near_duplicates(
 
         for b in batches:
             vec = b.column(3).to_pylist()
-            dims = np.array([len(v) for v in vec])
-            for d in np.unique(dims):
-                at = np.flatnonzero(dims == d)
-                x = np.array([vec[i] for i in at], np.float64)
-                x /= np.abs(x).max(1, keepdims=True)
-                u = x / np.linalg.norm(x, axis=1, keepdims=True)
-                own, probed = table_codes(u, tables, length, probes, seed)
-                rows = []
-                for r in range(len(at)):
-                    rows.append([{"code": int(c) * tables + t, "own": int(j == 0)} for t in range(tables) for j, c in enumerate(probed[t][r])])
+            sizes = np.array([len(v) for v in vec])
+            for d in np.unique(sizes):
+                at = np.flatnonzero(sizes == d)
+                x = np.array([vec[i] for i in at], kind)
+                codes = folded(table_codes(unit(x), tables, length, probes, seed)[1])
+                visits = [
+                    [{"t": t, "code": c, "own": j == 0} for t, row in enumerate(r) for j, c in enumerate(row) if c not in row[:j]] for r in codes.tolist()
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(b.column(i).take(pa.array(at)) for i in range(3)),
-                        pa.array(list(u), pa.list_(pa.float64())),
-                        pa.array((own * tables + np.arange(tables)).tolist(), pa.list_(pa.int64())),
-                        pa.array(rows, pa.list_(pa.struct([("code", pa.int64()), ("own", pa.int32())]))),
+                        *(b.column(i).take(pa.array(at)) for i in range(3)), pa.array(np.full(len(at), d, np.int32)),
+                        pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary()),
+                        pa.array(visits, pa.list_(pa.struct([("t", pa.int32()), ("code", pa.int32()), ("own", pa.bool_())]))),
                     ],
-                    ["node", "w", "label", "u", "codes", "probes"],
-                )
+                    ["node", "w", "label", "dims", "vec", "codes", "visits"],
+                )
 
+    kind = np.float32 if single else np.float64
     hashed = written(spark, nodes.select("node", "w", "label", "e").mapInArrow(work, HASHES), "vector-codes")
-    flat = hashed.select("node", "w", "label", "u", "codes", F.explode("probes").alias("p"))
-    a = flat.select(*(F.col(c).alias(f"a_{c}") for c in ("node", "w", "label", "u", "codes")), F.col("p.code").alias("a_code"), F.col("p.own").alias("own"))
-    b = flat.where("p.own = 1").select(*(F.col(c).alias(f"b_{c}") for c in ("node", "w", "label", "u", "codes")), F.col("p.code").alias("b_code"))
-    before = F.slice(F.col("a_codes"), 1, F.pmod("a_code", F.lit(tables)).cast("int"))
-    seen = F.when(F.col("own") == 1, F.arrays_overlap(before, F.slice(F.col("b_codes"), 1, F.pmod("a_code", F.lit(tables)).cast("int")))).otherwise(
-        F.arrays_overlap("a_codes", "b_codes")
-    )
-    met = a.join(
-        b,
-        (F.col("a_code") == F.col("b_code")) & (F.col("a_label") == F.col("b_label")) & (F.col("a_node") != F.col("b_node"))
-        & ((F.col("own") == 0) | (F.col("a_node") < F.col("b_node"))) & (F.size("a_u") == F.size("b_u")) & ~seen,
-    )
-    cosine = F.aggregate(F.zip_with("a_u", "b_u", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    links = written(
-        spark,
-        met.where(cosine >= least)
-        .select(
-            F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"),
-            F.when(F.col("a_node") < F.col("b_node"), F.col("a_w")).otherwise(F.col("b_w")).alias("aw"),
-            F.when(F.col("a_node") < F.col("b_node"), F.col("b_w")).otherwise(F.col("a_w")).alias("bw"),
-        )
-        .groupBy("a", "b").agg(F.max("aw").alias("aw"), F.max("bw").alias("bw")),
-        "vector-links",
-    )
-    degree = (
-        links.select(F.col("a").alias("node"), F.col("bw").alias("n"))
-        .unionByName(links.select(F.col("b").alias("node"), F.col("aw").alias("n")))
-        .groupBy("node").agg(F.sum("n").alias("n"))
+    bucket = F.xxhash64("label", "dims", "v.t", "v.code").alias("bucket")
+    met = hashed.select("label", "dims", F.explode("visits").alias("v")).groupBy(bucket).agg(F.count("*").alias("n"), F.max("v.own").alias("any_own"))
+    met = written(spark, met.where("n > 1 and any_own").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "vector-buckets")
+    visits = hashed.select("*", F.explode("visits").alias("v")).drop("visits").withColumn("bucket", F.xxhash64("label", "dims", "v.t", "v.code")).join(met, "bucket")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = visits.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
+    dealt = dealt.select(
+        cell.alias("cell"), (F.col("mine") > F.col("other")).alias("side"), (F.col("mine") == F.col("other")).alias("same"), "v.t", "v.code", "v.own",
+        "node", "w", "label", "dims", "vec", "codes",
     )
-    roots = components(spark, links)
+
+    def settle(batches):
+        import pyarrow as pa
+
+        kept = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([b])])
+            cells = t.column(0).to_numpy()
+            whole = int(np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))[-1]) if len(cells) else 0
+            kept = t.slice(whole)
+            if whole:
+                yield from meetings(t.slice(0, whole), least, tables, kind)
+        if kept is not None and kept.num_rows:
+            yield from meetings(kept, least, tables, kind)
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    found = written(spark, dealt.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(settle, "a long, b long, n long"), "vector-links")
+    degree = found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    roots = components(spark, found.where("b is not null"))
     by_hash = (
         nodes.select("h", "node", "w").join(degree, "node", "left").join(roots, "node", "left")
         .select("h", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("root", "node").alias("root"))
