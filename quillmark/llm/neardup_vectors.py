@@ -230,14 +230,15 @@ def near_duplicates(
                 at = np.flatnonzero(sizes == d)
                 x = np.array([vec[i] for i in at], kind)
                 codes = folded(table_codes(unit(x), tables, length, probes, seed)[1])
-                visits = [
-                    [{"t": t, "code": c, "own": j == 0} for t, row in enumerate(r) for j, c in enumerate(row) if c not in row[:j]] for r in codes.tolist()
-                ]
+                fresh = np.stack([(codes[:, :, :j] != codes[:, :, j : j + 1]).all(2) for j in range(codes.shape[2])], 2)
+                table, place = (np.broadcast_to(v, codes.shape)[fresh] for v in (np.arange(tables)[:, None], np.arange(codes.shape[2])))
+                visits = pa.StructArray.from_arrays([pa.array(table.astype(np.int32)), pa.array(codes[fresh]), pa.array(place == 0)], ["t", "code", "own"])
+                visits = pa.ListArray.from_arrays(np.append(0, np.cumsum(fresh.sum((1, 2)))).astype(np.int32), visits)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(b.column(i).take(pa.array(at)) for i in range(3)), pa.array(np.full(len(at), d, np.int32)),
                         pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary()),
-                        pa.array(visits, pa.list_(pa.struct([("t", pa.int32()), ("code", pa.int32()), ("own", pa.bool_())]))),
+                        visits,
                     ],
                     ["node", "w", "label", "dims", "vec", "codes", "visits"],
                 )
@@ -247,12 +248,12 @@ def near_duplicates(
     bucket = F.xxhash64("label", "dims", "v.t", "v.code").alias("bucket")
     met = hashed.select("label", "dims", F.explode("visits").alias("v")).groupBy(bucket).agg(F.count("*").alias("n"), F.max("v.own").alias("any_own"))
     met = written(spark, met.where("n > 1 and any_own").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "vector-buckets")
-    visits = hashed.select("*", F.explode("visits").alias("v")).drop("visits").withColumn("bucket", F.xxhash64("label", "dims", "v.t", "v.code")).join(met, "bucket")
+    visits = hashed.select("node", "label", "dims", F.explode("visits").alias("v")).select("node", bucket, "v").join(met, "bucket")  # no vector moves yet
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = visits.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
-    dealt = dealt.select(
-        cell.alias("cell"), (F.col("mine") > F.col("other")).alias("side"), (F.col("mine") == F.col("other")).alias("same"), "v.t", "v.code", "v.own",
+    dealt = dealt.select("node", "v", "mine", "other", cell.alias("cell")).join(hashed.drop("visits"), "node").select(
+        "cell", (F.col("mine") > F.col("other")).alias("side"), (F.col("mine") == F.col("other")).alias("same"), "v.t", "v.code", "v.own",
         "node", "w", "label", "dims", "vec", "codes",
     )
 
