@@ -8,24 +8,35 @@ at least one of m substrings, so probing every index entry within r // m and
 then counting bits retrieves *all* codes within r. Those are ranked by their
 float distance in double precision.
 
-The index is dealt into shards by a hash of the row, the queries into blocks;
-a task holds one shard and one block, both of bounded size.
+The radius is measured, not guessed: the true neighbours of CALIBRATION queries,
+found among all rows, tell how many bits apart neighbours are. Queries that get
+fewer than k answers within it are searched again with a larger one.
+
+Rows stay where they are stored: a task indexes its rows, SHARD by SHARD, and
+answers a block of queries (broadcast, of bounded size) from the index. More
+queries than a block holds take more passes over the table, not more copies of it.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FOUND = "query_id long, vec_id long, score double"
+from quillmark.llm.common import written
+
+FOUND = "query_id long, vec_id long, score double, apart int"
+#: Queries whose true neighbours set the radius, and the share of these neighbours that it must hold.
+CALIBRATION, HELD = 64, 0.99
 
 
 class Codes:
-    """Mean, rotations and search radius; pickles small (a few tens of KB)."""
+    """Mean and rotations; pickles small (a few tens of KB)."""
 
-    def __init__(self, mean: np.ndarray, turns: np.ndarray, radius: int, substring: int):
-        self.mean, self.turns, self.radius, self.substring = mean, turns, radius, substring
+    def __init__(self, mean: np.ndarray, turns: np.ndarray, substring: int):
+        self.mean, self.turns, self.substring = mean, turns, substring
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         """Packed codes, one row of bytes a vector."""
@@ -40,58 +51,61 @@ def _itq(v: np.ndarray, r: np.random.Generator, rounds: int = 25) -> np.ndarray:
     return turn
 
 
-def learn(x: np.ndarray, bits: int = 256, substring: int = 16, k: int = 10, recall: float = 0.99, seed: int = 5) -> Codes:
-    """Rotations from a sample, and the radius that holds ``recall`` of the k nearest pairs inside it."""
+def learn(x: np.ndarray, bits: int = 256, substring: int = 16, seed: int = 5) -> Codes:
+    """Rotations from a sample; a whole number of substrings, one at least."""
     r = np.random.default_rng(seed)
-    d = x.shape[1]
     mean = x.mean(0)
-    v = x - mean
-    turns = np.concatenate([_itq(v, r) for _ in range(max(1, -(-bits // d)))], axis=1)
-    turns = turns[:, : max(substring, turns.shape[1] // substring * substring)]
-    codes = Codes(mean, turns, 0, substring)
-    c = codes.encode(x)
-    far = []
-    for i in range(0, len(x), max(1, len(x) // 400)):
-        dist = ((x - x[i]) ** 2).sum(1)
-        dist[i] = np.inf
-        near = np.argsort(dist, kind="stable")[: min(k, len(x) - 1)]
-        far.append(np.bitwise_count(c[near] ^ c[i]).sum(1))
-    codes.radius = int(np.quantile(np.concatenate(far), recall)) if far and len(x) > 1 else turns.shape[1]
-    return codes
+    turns = np.concatenate([_itq(x - mean, r) for _ in range(max(1, -(-max(bits, substring) // x.shape[1])))], axis=1)
+    return Codes(mean, turns[:, : max(bits, substring) // substring * substring], substring)
+
+
+@lru_cache(maxsize=4)
+def ball(width: int, reach: int) -> np.ndarray:
+    """All numbers of ``width`` bits with at most ``reach`` bits set, fewest first."""
+    every = np.arange(1 << width, dtype=np.uint32)
+    weight = np.bitwise_count(every)
+    return every[np.argsort(weight, kind="stable")][: int((weight <= reach).sum())]
 
 
 class Index:
-    """Multi-index over one shard: by substring, the distinct values and the rows that have each."""
+    """Multi-index over one shard: by substring, a table from its value to the rows that have it."""
 
     def __init__(self, codes: np.ndarray, substring: int):
-        self.codes, width = codes, substring // 8
+        self.codes, self.width = codes, substring
+        size = substring // 8
+        self.keys = [self._value(codes[:, lo : lo + size]) for lo in range(0, codes.shape[1] - codes.shape[1] % size, size)]
         self.parts = []
-        for lo in range(0, codes.shape[1] - codes.shape[1] % width, width):
-            part = np.ascontiguousarray(codes[:, lo : lo + width])
-            keys = part.view(f"V{width}").ravel()
-            order = np.argsort(keys.view(f">u{width}") if width in (1, 2, 4, 8) else keys, kind="stable")
-            same = np.ones(len(order), bool)
-            same[1:] = (part[order[1:]] != part[order[:-1]]).any(1)
-            begin = np.flatnonzero(same)
-            self.parts.append((lo, width, part[order[begin]], np.append(begin, len(order)), order))
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows whose code is within ``radius`` bits, by pigeonhole probing and a full count."""
+        for keys in self.keys:
+            begin = np.zeros((1 << substring) + 1, np.int32)
+            np.cumsum(np.bincount(keys, minlength=1 << substring), out=begin[1:])
+            self.parts.append((begin, np.argsort(keys, kind="stable").astype(np.int32)))
+        self.probed = 0
+
+    @staticmethod
+    def _value(part: np.ndarray) -> np.ndarray:
+        value = np.zeros(len(part), np.uint32)
+        for column in part.T:
+            value = value << np.uint32(8) | column
+        return value
+
+    def within(self, code: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """All rows whose code is within ``radius`` bits, and how many bits each is away: by probing every
+        substring's table at each value within radius // substrings bits of the query's, then a full count."""
+        size = self.width // 8
+        masks = ball(self.width, min(self.width, radius // max(1, len(self.parts))))
         hit = np.zeros(len(self.codes), bool)
-        reach = radius // max(1, len(self.parts))
-        for lo, width, values, begin, order in self.parts:
-            near = np.flatnonzero(np.bitwise_count(values ^ code[lo : lo + width]).sum(1, dtype=np.int64) <= reach)
-            if len(near):
-                sizes = begin[near + 1] - begin[near]
-                at = np.repeat(begin[near] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-                hit[order[at]] = True
+        for i, (begin, order) in enumerate(self.parts):
+            at = masks ^ self._value(code[None, i * size : (i + 1) * size])[0]
+            lo, n = begin[at], begin[at + 1] - begin[at]
+            lo, n = lo[n > 0], n[n > 0]
+            hit[order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
         rows = np.flatnonzero(hit)
-        c = self.codes[rows]
-        pad = -c.shape[1] % 8
+        self.probed += len(rows)
+        c, pad = self.codes[rows], -self.codes.shape[1] % 8
         if pad:
             c, code = np.pad(c, ((0, 0), (0, pad))), np.pad(code, (0, pad))
         far = np.bitwise_count(np.ascontiguousarray(c).view(np.uint64) ^ np.ascontiguousarray(code).view(np.uint64)).sum(1, dtype=np.int64)
-        return rows[far <= radius]
+        return rows[far <= radius], far[far <= radius]
 
 
 def usable(embedding: str = "embedding"):
@@ -109,17 +123,17 @@ def search(
     key: str = "vec_id",
     embedding: str = "embedding",
     sample: int = 4096,
-    shard_rows: int = 16_384,
-    block_rows: int = 1_024,
+    shard_rows: int = 65_536,
+    block_rows: int = 32_768,
     bits: int = 256,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, by Euclidean distance.
 
     Ties go to the smaller id; a row is no candidate of a query of the same id. Vectors that are
     null, zero or hold null or non-finite components, and rows with a null id, take no part;
-    a vector whose length differs from the first sampled one's takes none either. Where fewer than
-    k rows lie within the radius in a shard, that shard offers all its rows, so a query always
-    gets k answers if there are k candidates. Repeated rows of one id count once.
+    a vector whose length differs from the first sampled one's takes none either. A query gets k
+    answers if there are k candidates: where the radius holds fewer, it grows for that query, to all
+    bits in the end. Repeated rows of one id count once, by the nearest; a repeated query is asked once.
     ``sample`` bounds the vectors that the rotations are learned from (the first in hash order).
     """
     base = vectors.where(F.col(key).isNotNull() & usable(embedding)).select(
@@ -129,52 +143,92 @@ def search(
     if not few:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = len(few[0]["e"])
-    codes = learn(np.array([r["e"] for r in few if len(r["e"]) == dim]), bits=bits, k=k)
+    codes = learn(np.array([r["e"] for r in few if len(r["e"]) == dim]), bits=bits)
     base = base.where(F.size("e") == dim)
     asked = queries.where(F.col(key).isNotNull() & usable(embedding)).select(
         F.col(key).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e")
-    ).where(F.size("e") == dim)
-    n, nq = base.count(), asked.count()
-    shards = max(2 * spark.sparkContext.defaultParallelism, -(-n // shard_rows))
-    blocks = max(1, -(-nq // block_rows))
-    left = base.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    right = asked.withColumn("block", F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.lit(blocks)).cast("int")).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    )
-
-    def work(rows, wanted):
-        import pandas as pd
-
-        out: list = []
-        if len(rows) and len(wanted):
-            rows = rows.drop_duplicates("vec_id").sort_values("vec_id")
-            wanted = wanted.drop_duplicates("vec_id")
-            ids, x = rows.vec_id.to_numpy(), np.stack(rows.e.to_numpy())
-            index = Index(codes.encode(x), codes.substring)
-            q = np.stack(wanted.e.to_numpy())
-            for qid, v, code in zip(wanted.vec_id.to_numpy(), q, codes.encode(q), strict=True):
-                near = index.within(code, codes.radius)
-                near = near[ids[near] != qid]
-                if len(near) < k:
-                    near = np.flatnonzero(ids != qid)
-                far = np.sqrt(((x[near] - v) ** 2).sum(1))
-                if len(near) > k:
-                    kth = np.partition(far, k - 1)[k - 1]
-                    few = np.flatnonzero(far <= kth)
-                    near, far = near[few], far[few]
-                best = np.lexsort((ids[near], far))[:k]
-                out += zip([qid] * len(best), ids[near[best]], far[best], strict=True)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(work, FOUND)
-    best = found.groupBy("query_id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best")
-    )
-    return best.select("query_id", F.posexplode("best").alias("rank", "b")).select(
-        "query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score")
-    )
+    ).where(F.size("e") == dim).dropDuplicates(["vec_id"])
+    blocks = max(1, -(-asked.count() // block_rows))
+    asked = written(spark, asked.withColumn("block", F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.lit(blocks)).cast("int")), "ann-queries")
+    bits = codes.turns.shape[1]
+    every = base.agg(F.count_distinct("vec_id")).first()[0] <= k + 1
+
+    def answers(some: DataFrame, radius: int, name: str) -> DataFrame:
+        """The k nearest within ``radius`` bits of each query in ``some``, one pass over the rows by block."""
+        found = None
+        for block in range(blocks):
+            rows = some.where(F.col("block") == block).select("vec_id", "e").collect()  # block_rows or few more
+            if rows:
+                got = base.mapInArrow(_answering(codes, [r["vec_id"] for r in rows], np.array([r["e"] for r in rows]), radius, k, shard_rows), FOUND)
+                found = got if found is None else found.unionByName(got)
+        if found is None:
+            return spark.createDataFrame([], FOUND)
+        near = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        one = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"), F.min("apart").alias("apart"))
+        return written(spark, one.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k), f"ann-{name}")
+
+    # every query's neighbours in a table of k candidates are all of them
+    radius = bits
+    if not every:
+        few = asked.orderBy(F.xxhash64(F.lit("c"), "vec_id"), "vec_id").limit(CALIBRATION)
+        apart = answers(few, bits, "calibration").agg(F.percentile("apart", F.lit(HELD))).first()[0]
+        radius = bits if apart is None else int(np.ceil(apart))
+    best, left = None, asked
+    while True:
+        got = answers(left, radius, "answers")
+        full = got.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+        if radius < bits:
+            left = written(spark, left.join(full, "vec_id", "left_anti"), "ann-left")
+            again = left.count()
+        else:
+            again = 0
+        done = got if not again else got.join(left.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
+        best = done if best is None else best.unionByName(done)
+        if not again:
+            break
+        radius = min(bits, radius + 2 * bits // codes.substring)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _answering(codes: Codes, asked: list[int], q: np.ndarray, radius: int, k: int, shard_rows: int):
+    """A function over Arrow batches of (vec_id, e): by shard, each query's k nearest rows within the radius."""
+    q_codes = codes.encode(q)
+
+    def shard(parts: list):
+        import pyarrow as pa
+
+        ids = np.concatenate([p.column(0).to_numpy() for p in parts])
+        x = np.concatenate([p.column(1).flatten().to_numpy() for p in parts]).reshape(len(ids), -1)
+        index, out = Index(codes.encode(x), codes.substring), []
+        for i, qid in enumerate(asked):
+            near, apart = index.within(q_codes[i], radius)
+            other = ids[near] != qid
+            near, apart = near[other], apart[other]
+            far = ((x[near] - q[i]) ** 2).sum(1)
+            if len(near) > k:  # repeated ids may take k places: as many more
+                most = k + len(near) - len(np.unique(ids[near]))
+                if len(near) > most:
+                    few = np.flatnonzero(far <= np.partition(far, most - 1)[most - 1] * (1 + 1e-12))
+                    near, apart = near[few], apart[few]
+            score = np.sqrt(np.cumsum((x[near] - q[i]) ** 2, axis=1)[:, -1])  # added in order, as a plain loop does
+            order = np.lexsort((ids[near], score))
+            _, once = np.unique(ids[near][order], return_index=True)
+            order = order[np.sort(once)][:k]  # each id by its nearest row
+            out.append((np.full(len(order), qid), ids[near][order], score[order], apart[order].astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score", "apart"])
+
+    def work(batches):
+        parts, held = [], 0
+        for b in batches:
+            parts.append(b)
+            held += b.num_rows
+            if held >= shard_rows:
+                yield shard(parts)
+                parts, held = [], 0
+        if held:
+            yield shard(parts)
+
+    return work
 
 
 def op1_ann(spark, sf_dir):

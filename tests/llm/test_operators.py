@@ -170,7 +170,36 @@ def test_index_retrieves_all_within_radius():
     index = ann.Index(codes, 16)
     for radius in (0, 10, 24, 40):
         far = np.bitwise_count(codes ^ codes[7]).sum(1)
-        assert index.within(codes[7], radius).tolist() == np.flatnonzero(far <= radius).tolist()
+        rows, apart = index.within(codes[7], radius)
+        assert rows.tolist() == np.flatnonzero(far <= radius).tolist() and apart.tolist() == far[rows].tolist()
+
+
+def test_index_probes_few_rows_of_clustered_vectors():
+    r = np.random.default_rng(4)
+    x = np.repeat(r.normal(size=(100, 32)), 50, axis=0) + 0.05 * r.normal(size=(5000, 32))
+    codes = ann.learn(x[::3])
+    packed = codes.encode(x)
+    index, hits = ann.Index(packed, codes.substring), 0
+    true = [np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[1:11] for q in range(0, 5000, 100)]
+    radius = int(np.quantile([np.bitwise_count(packed[t] ^ packed[q]).sum() for q, ts in zip(range(0, 5000, 100), true) for t in ts], 0.99))
+    for q, t in zip(range(0, 5000, 100), true):
+        hits += len(np.intersect1d(index.within(packed[q], radius)[0], t))
+    share = index.probed / (50 * len(x))
+    print(f"radius {radius}, share of rows probed {share:.3f}")
+    assert hits >= 0.98 * 500 and share < 0.5
+
+
+def test_search_edges(spark):
+    r = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(60, 8)))]
+    rows += [(3, r.normal(size=8).tolist()), (4, rows[4][1]), (70, [1.0] * 5), (71, None), (72, rows[5][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = ann.search(spark, df, df.where("vec_id in (3, 5, 70, 71)"), k=10, shard_rows=7, block_rows=1).collect()
+    assert {x.query_id for x in got} == {3, 5} and len(got) == 20 and len({(x.query_id, x.vec_id) for x in got}) == 20
+    first = [x for x in got if x.query_id == 5 and x["rank"] == 1][0]
+    assert (first.vec_id, first.score) == (72, 0.0)
+    small = df.where("vec_id < 5")
+    assert sorted((x.query_id, x.vec_id) for x in ann.search(spark, small, small, k=10).collect()) == [(a, b) for a in range(5) for b in range(5) if a != b]
 
 
 def test_near_vectors(spark):
