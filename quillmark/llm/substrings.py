@@ -10,8 +10,13 @@ go into a suffix array (linear grouping construction), whose neighbours with
 by a hash of their common part, are left out of it beforehand.
 
 A group with more than GROUP_PIECES distinct pieces (a passage that very many
-texts share, each in other company) would be one task's work, so its windows
-are matched one by one instead, as pairs of 64-bit hashes, counted on the map side.
+texts share, each in other company) would be one task's work, so it is split.
+Equal windows hold their minimizer at the same place, so windows go into blocks
+of neighbouring places, and what all windows of a block have in common must be
+equal too: place and common part name a smaller group. Its pieces, cut to the
+block, are again copies (equal byte by byte) or go into a suffix array. Groups
+still too large are split by the next smaller block of SPLITS; at one window a
+block, a group is one string.
 """
 
 from __future__ import annotations
@@ -29,17 +34,16 @@ K = 64
 MOST_WINDOWS = 512
 #: Bytes of a text that are looked at together (longer texts by overlapping segments).
 SEGMENT = 1 << 23
-GROUP_PIECES = 4096
+GROUP_PIECES, SPLITS = 1024, (64, 8, 1)
 #: Windows that are judged together before the suffix array.
 BLOCK = 8
 #: Bytes of pieces that one suffix array takes; a group is never split.
 ARRAY_BYTES = 1 << 15
-_OTHER = np.random.default_rng(977).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
-def sums(data: np.ndarray, codes: np.ndarray = BYTE_CODE) -> np.ndarray:
+def sums(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(codes[data] * powers(len(data)), out=out[1:])
+    np.cumsum(BYTE_CODE[data] * powers(len(data)), out=out[1:])
     return out
 
 
@@ -119,49 +123,49 @@ def repeated_windows(pieces: list[bytes], length: int) -> list[np.ndarray]:
     return [np.flatnonzero(hit[f : f + len(p)]) for f, p in zip(first, pieces, strict=True)]
 
 
-def shared_parts(pieces: list[bytes], minis: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """(piece, first window, last window + 1): windows that can repeat within their groups.
+def blocks_of(pieces: list[bytes], minis: np.ndarray, length: int, width: int):
+    """(piece, first window, last window + 1, key): windows by their minimizer's place, ``width`` neighbouring places together.
 
-    Equal windows hold their minimizer at equal places. By that place windows fall into blocks of BLOCK; what
-    all windows of a block have in common is hashed, and a block whose hash no other piece has can't repeat.
-    A piece that holds its minimizer more than once is kept whole.
+    Equal windows of one group have equal keys: the place, and a hash of what all windows of the block have in
+    common. A piece may hold its minimizer several times; the leftmost in a window is the window's own.
     """
-    whole = [(i, 0, len(p) - length + 1) for i, p in enumerate(pieces)]
-    k = min(K, length)
-    if length <= 4 * BLOCK:
-        return whole
+    k, width = min(K, length), min(width, length)
     data = np.frombuffer(b"".join(pieces), np.uint8)
     size = np.array([len(p) for p in pieces])
     off = np.concatenate([[0], np.cumsum(size)])
     total, inv = sums(data), powers(len(data) + 1, True)
-    row = np.repeat(np.arange(len(pieces)), size)[: len(data) - k + 1]
+    row = np.repeat(np.arange(len(pieces)), size)[: max(0, len(data) - k + 1)]
     there = mix((total[k:] - total[:-k]) * inv[: len(row)]) == minis[row]
     there &= np.arange(len(row)) + k <= off[row + 1]
     at = np.flatnonzero(there)
-    rows, first, times = np.unique(row[at], return_index=True, return_counts=True)
-    rows, first = rows[times == 1], first[times == 1]
-    place = at[first] - off[rows]
-    windows = size[rows] - length + 1
-    lo_block, hi_block = (place - windows + 1) // BLOCK, place // BLOCK
-    many = hi_block - lo_block + 1
-    who = np.repeat(np.arange(len(rows)), many)
-    block = hi_block[who] - (np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many))
-    begin = off[rows][who] + place[who] - BLOCK * block
-    core = length - BLOCK + 1
-    h = mix((total[begin + core] - total[begin]) * inv[begin] + minis[rows][who]) + block.astype(np.uint64)
-    _, back, counts = np.unique(h, return_inverse=True, return_counts=True)
+    row = row[at]
+    place = at - off[row]
+    first = np.zeros(len(at), np.int64)  # the first window whose minimizer stands here
+    first[1:] = np.where(row[1:] == row[:-1], place[:-1] + 1, 0)
+    last = np.minimum(place, size[row] - length)
+    row, place, first, last = (x[first <= last] for x in (row, place, first, last))
+    low, high = (place - last) // width, (place - first) // width
+    many = high - low + 1
+    who = np.repeat(np.arange(len(row)), many)
+    block = high[who] - (np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many))
+    begin = off[row][who] + place[who] - width * block
+    core = length - width + 1
+    key = mix(mix((total[begin + core] - total[begin]) * inv[begin] + minis[row][who]) + block.astype(np.uint64))
+    return row[who], np.maximum(first[who], place[who] - width * block - width + 1), np.minimum(last[who], place[who] - width * block) + 1, key
+
+
+def shared_parts(pieces: list[bytes], minis: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """(piece, first window, last window + 1): windows that can repeat within their groups, those of blocks whose key another block has."""
+    row, first, last, key = blocks_of(pieces, minis, length, BLOCK)
+    _, back, counts = np.unique(key, return_inverse=True, return_counts=True)
     keep = counts[back] > 1
-    who, block = who[keep], block[keep]
-    a = np.maximum(0, place[who] - BLOCK * block - BLOCK + 1)
-    b = np.minimum(windows[who], place[who] - BLOCK * block + 1)
     out: list[tuple[int, int, int]] = []
-    for i, x, y in zip(rows[who].tolist(), a.tolist(), b.tolist(), strict=True):
+    for i, x, y in zip(row[keep].tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
         if out and out[-1][0] == i and out[-1][2] == x:
             out[-1] = (i, out[-1][1], y)
         else:
             out.append((i, x, y))
-    single = set(rows.tolist())
-    return out + [w for w in whole if w[0] not in single]
+    return out
 
 
 def islands(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,56 +231,74 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int) -> DataFrame:
 
         def settle(rows):
             rid, lo, hi = [], [], []
-            minis = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-            parts = shared_parts([r[4] for r in rows], minis, length)
-            for (i, x, y), at in zip(parts, repeated_windows([rows[i][4][x : y + length - 1] for i, x, y in parts], length), strict=True):
+            minis = np.array([r[1] for r in rows], np.int64).view(np.uint64)
+            parts = shared_parts([r[5] for r in rows], minis, length)
+            for (i, x, y), at in zip(parts, repeated_windows([rows[i][5][x : y + length - 1] for i, x, y in parts], length), strict=True):
                 r = rows[i]
-                if r[3] == 1 and len(at):
+                if r[4] == 1 and len(at):
                     a, b = islands(at)
-                    rid += [r[1]] * len(a)
-                    lo += (a + r[2] + x).tolist()
-                    hi += (b + r[2] + x).tolist()
+                    rid += [r[2]] * len(a)
+                    lo += (a + r[3] + x).tolist()
+                    hi += (b + r[3] + x).tolist()
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rid, lo, hi)], names)
 
         rows, held, last = [], 0, None
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for r in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if r[0] != last and held >= ARRAY_BYTES:
                     yield settle(rows)
                     rows, held = [], 0
                 last = r[0]
                 rows.append(r)
-                held += len(r[4])
+                held += len(r[5])
         if rows:
             yield settle(rows)
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    small = fetched.where(f"d <= {GROUP_PIECES}").select("mini", "rid", "start", "n", "piece")
-    sorted_ = small.repartition(parts, "mini").sortWithinPartitions("mini", "rid", "start").mapInArrow(sort_groups, "rid long, lo long, hi long")
-
-    def windows(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for r in range(b.num_rows):
-                p = np.frombuffer(b.column(3)[r].as_buffer(), np.uint8)
-                n = len(p) - length + 1
-                lo = np.arange(n)
-                h = [span_hashes(sums(p, c), lo, lo + length).view(np.int64) for c in (BYTE_CODE, _OTHER)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, b.column(0)[r].as_py())), pa.array(lo + b.column(1)[r].as_py()), pa.array(np.full(n, b.column(2)[r].as_py())), *map(pa.array, h)],
-                    ["rid", "at", "n", "h1", "h2"],
-                )
-
-    single = fetched.where(f"d > {GROUP_PIECES}").select("rid", "start", "n", "piece").mapInArrow(windows, "rid long, at long, n long, h1 long, h2 long")
-    single = written(spark, single, "windows")
-    again = single.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-    lone = single.where("n = 1").join(again, ["h1", "h2"], "left_semi").select("rid", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
+    def split(width: int):
+        def work(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                for lo in range(0, b.num_rows, 1024):
+                    mini, rid, start, n, piece = (b.column(i).slice(lo, 1024) for i in range(5))
+                    raw = piece.to_pylist()
+                    row, first, last, key = blocks_of(raw, mini.to_numpy().view(np.uint64), length, width)
+                    cut = [raw[i][x : y + length - 1] for i, x, y in zip(row.tolist(), first.tolist(), last.tolist(), strict=True)]
+                    at = pa.array(row)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.view(np.int64)), mini.take(at), rid.take(at), pa.array(start.to_numpy()[row] + first), n.take(at), pa.array(cut, pa.binary())],
+                        ["key", "mini", "rid", "start", "n", "piece"],
+                    )
+
+        return work
+
+    whole = F.col("mini").alias("key")
+    groups = fetched.where(f"d <= {GROUP_PIECES}").select(whole, "mini", "rid", "start", "n", "piece")
+    large = fetched.where(f"d > {GROUP_PIECES}").select("mini", "rid", "start", "n", "piece")
+    ends = (F.col("start") + F.octet_length("piece") - length + 1).alias("hi")
+    alike = []
+    for width in SPLITS:
+        if not large.limit(1).count():
+            break
+        cuts = written(spark, large.mapInArrow(split(width), "key long, mini long, rid long, start long, n long, piece binary"), f"blocks-{width}")
+        kinds_ = cuts.groupBy("key", "piece").agg(F.sum("n").alias("n"), F.min(F.struct("mini", "rid", "start")).alias("at"))
+        kinds_ = written(spark, kinds_.select("key", "at.*", "n", "piece"), f"block-kinds-{width}")
+        again = kinds_.where("n > 1").select("key", "piece")
+        alike.append(cuts.where("n = 1").join(again, ["key", "piece"], "left_semi").select("rid", F.col("start").alias("lo"), ends))
+        sized = kinds_.groupBy("key").agg(F.count("*").alias("d"), F.min("n").alias("least")).where("d > 1 and least = 1").select("key", "d")
+        sized = kinds_.join(sized, "key")
+        fits = sized if width == SPLITS[-1] else sized.where(f"d <= {GROUP_PIECES}")
+        groups = groups.unionByName(fits.select("key", "mini", "rid", "start", "n", "piece"))
+        large = sized.where(f"d > {GROUP_PIECES}").select("mini", "rid", "start", "n", "piece")
 
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    sorted_ = groups.repartition(parts, "key").sortWithinPartitions("key", "rid", "start").mapInArrow(sort_groups, "rid long, lo long, hi long")
     copied = live.join(kinds.where("n > 1").select("mini", "dig"), ["mini", "dig"], "left_semi").select(
         "rid", F.col("start").alias("lo"), (F.col("start") + F.col("windows")).alias("hi")
     )
-    found = copied.unionByName(sorted_).unionByName(lone)
+    found = copied.unionByName(sorted_)
+    for more in alike:
+        found = found.unionByName(more)
     return found.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -291,7 +313,8 @@ def without_repeats(
     A byte goes if a string of ``length`` bytes over it also starts anywhere else: in another row or the
     same one, overlapping or not; judged on the input. Null texts are empty: nothing to remove. Repeated
     rows are copies of each other and lose all that is ``length`` bytes or longer. Rows with a null key
-    are treated like any other. Memory of a task: one text, or one group of at most GROUP_PIECES pieces.
+    are treated like any other. Memory of a task: one text, or one group of at most GROUP_PIECES pieces
+    (ARRAY_BYTES of smaller ones).
     """
     base = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).select(
         "k", F.xxhash64("k", "t").alias("rid"), "t"
@@ -334,3 +357,17 @@ def without_repeats(
 def op3_substrings(spark, sf_dir):
     """200-byte strings that repeat anywhere in ``documents`` removed from every whole text."""
     return without_repeats(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Texts as hexadecimal digits, so that places are bytes.
+OP3_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT r, i, substr(h, 2 * i + 1, 400) AS s FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d)),
+hit AS (SELECT r, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)),
+run AS (SELECT r, min(i) AS lo, max(i) + 200 AS hi FROM (SELECT r, i, sum(step) OVER (PARTITION BY r ORDER BY i) AS g FROM
+  (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS step FROM hit)) GROUP BY r, g),
+cut AS (SELECT d.r, lo, hi, substr(h, 2 * coalesce(lag(hi) OVER (PARTITION BY d.r ORDER BY lo), 0) + 1, 2 * (lo - coalesce(lag(hi) OVER (PARTITION BY d.r ORDER BY lo), 0))) AS part FROM run JOIN d USING (r)),
+kept AS (SELECT r, count(*) AS n, sum(hi - lo) AS gone, max(hi) AS last, string_agg(part, '' ORDER BY lo) AS head FROM cut GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(gone, 0)::bigint AS n_removed, coalesce(n, 0)::bigint AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
