@@ -1,11 +1,10 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A text is its UTF-8 bytes in blocks of STRIDE. A chunk is two neighbouring
-blocks, so chunks overlap by half and together cover every byte of the text,
-however long. Each byte has a learned vector, and a block has one channel that
-tells how far it repeats the bytes LAGS before it; each filter is a learned
-weight over a chunk. A filter's largest response over the whole text and its
-mean response go through a learned combination to one probability.
+A text is its UTF-8 bytes in blocks of STRIDE. A chunk is SPAN neighbouring
+blocks, so chunks overlap in all but one and together cover every byte of the
+text, however long. Each byte has a learned vector; each filter is a learned
+weight over a chunk. A filter's largest response over the whole text is all that
+is kept of it, and a small learned layer combines these into one probability.
 
 The network is fitted on the driver, on a bounded sample of labelled rows
 (``sample`` rows at most); scoring is one pass over the texts without shuffle.
@@ -19,38 +18,24 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.common import buffers, runs
 
-STRIDE, DIM, FILTERS = 8, 6, 16
+STRIDE, SPAN, DIM, FILTERS, HIDDEN = 2, 6, 6, 32, 12
 PAD = 256
-LAGS = range(2, 2 * STRIDE + 1)
-WIDTH = STRIDE * DIM + 1
+WIDTH = STRIDE * DIM
+#: Bytes that are scored together (a longer text by itself, part by part).
+PART = 1 << 17
 THRESHOLD = 0.3
 
 
 def blocks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Padded blocks (n, STRIDE) of the rows' bytes and each row's first block; at least two blocks a row."""
+    """Padded blocks (n, STRIDE) of the rows' bytes and each row's first block; a row ends with SPAN - 1 blocks of padding."""
     size = np.diff(off)
-    n = np.maximum(2, (size + STRIDE - 1) // STRIDE)
+    n = (size + STRIDE - 1) // STRIDE + SPAN - 1
     first = np.concatenate([[0], np.cumsum(n)])
     flat = np.full(int(first[-1]) * STRIDE, PAD, np.int16)
     flat[np.arange(len(data)) + np.repeat(first[:-1] * STRIDE - off[:-1], size)] = data
     return flat.reshape(-1, STRIDE), first
 
 
-def repeats(blk: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """By block, the largest share over LAGS of its bytes that equal the byte so far before; 0 in a row's first two blocks."""
-    flat = blk.ravel()
-    best = np.zeros(len(blk), np.uint8)
-    real = flat != PAD
-    same = np.zeros(len(flat), bool)
-    for lag in LAGS:
-        np.equal(flat[lag:], flat[:-lag], out=same[lag:])
-        same &= real
-        np.maximum(best, np.bitwise_count(np.packbits(same)), out=best)
-    best[first[:-1]] = 0
-    best[first[:-1] + 1] = 0
-    return best.astype(np.float32) / STRIDE
-
-
 class Network:
     """Parameters and the two passes; float32 throughout."""
 
@@ -58,58 +43,74 @@ class Network:
         r = np.random.default_rng(seed)
         self.p = {
             "emb": r.normal(0, 0.5, (257, DIM)),
-            "w": r.normal(0, (2 * WIDTH) ** -0.5, (2, WIDTH, FILTERS)),
+            "w": r.normal(0, (SPAN * WIDTH) ** -0.5, (SPAN, WIDTH, FILTERS)),
             "b": np.zeros(FILTERS),
-            "v": r.normal(0, 0.3, 2 * FILTERS),
+            "u": r.normal(0, FILTERS**-0.5, (FILTERS, HIDDEN)),
+            "d": np.zeros(HIDDEN),
+            "v": r.normal(0, 0.3, HIDDEN),
             "c": np.zeros(1),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.p["emb"][PAD] = 0
 
-    def inputs(self, blk: np.ndarray, first: np.ndarray) -> np.ndarray:
-        x = np.empty((len(blk), WIDTH), np.float32)
-        x[:, :-1] = self.p["emb"][blk].reshape(len(blk), -1)
-        x[:, -1] = repeats(blk, first)
-        return x
-
-    def responses(self, x: np.ndarray) -> np.ndarray:
-        """ReLU of each filter at each pair of neighbouring blocks."""
-        y = x @ self.p["w"][0]
-        y[:-1] += x[1:] @ self.p["w"][1]
-        y += self.p["b"]
-        return np.maximum(y, 0, out=y)
-
-    def pooled(self, blk: np.ndarray, first: np.ndarray):
-        x = self.inputs(blk, first)
-        y = self.responses(x)
-        y[first[1:] - 1] = 0  # a row's last block begins no chunk
-        top = np.maximum.reduceat(y, first[:-1], axis=0)
-        mean = np.add.reduceat(y, first[:-1], axis=0) / (np.diff(first) - 1)[:, None]
-        return x, y, np.concatenate([top, mean], 1)
-
-    def score(self, blk: np.ndarray, first: np.ndarray) -> np.ndarray:
-        z = self.pooled(blk, first)[2].astype(np.float64) @ self.p["v"].astype(np.float64) + float(self.p["c"][0])
-        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    def responses(self, blk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs by block, and each filter's response to the chunk that begins there (the last SPAN - 1 blocks begin none)."""
+        x = self.p["emb"][blk].reshape(len(blk), WIDTH)
+        n = len(blk) - SPAN + 1
+        y = x[:n] @ self.p["w"][0]
+        for j in range(1, SPAN):
+            y += x[j : n + j] @ self.p["w"][j]
+        return x, y
+
+    def largest(self, blk: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs, responses, and by row each filter's largest response (0 at least)."""
+        x, y = self.responses(blk)
+        for j in range(1, SPAN):  # a chunk doesn't reach into the next row
+            y[first[1:-1] - j] = -np.inf
+        begin = np.minimum(first[:-1], len(y) - 1)
+        top = np.maximum.reduceat(y, begin, axis=0) if len(y) else np.zeros((len(begin), FILTERS), np.float32)
+        return x, y, np.maximum(top + self.p["b"], 0)
+
+    def combine(self, top: np.ndarray) -> np.ndarray:
+        h = np.maximum(top.astype(np.float64) @ self.p["u"] + self.p["d"], 0)
+        return 1 / (1 + np.exp(-np.clip(h @ self.p["v"] + float(self.p["c"][0]), -60, 60)))
+
+    def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """By row, the probability of label 1. A long row is taken part by part; the largest of its parts' responses count."""
+        tops = np.zeros((len(off) - 1, FILTERS), np.float32)
+        for lo, hi in runs(off, PART):
+            if off[hi] - off[lo] <= 2 * PART:
+                tops[lo:hi] = self.largest(*blocks(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))[2]
+                continue
+            for at in range(off[lo], off[hi], PART):  # parts overlap by a chunk
+                part = data[at : min(off[hi], at + PART + STRIDE * (SPAN - 1))]
+                blk, first = blocks(part, np.array([0, len(part)]))
+                inner = len(blk) if at + PART >= off[hi] else PART // STRIDE + SPAN - 1
+                tops[lo] = np.maximum(tops[lo], self.largest(blk[:inner], np.minimum(first, inner))[2][0])
+        return self.combine(tops)
 
     def grads(self, blk, first, target, weight):
-        x, y, h = self.pooled(blk, first)
-        s = 1 / (1 + np.exp(-np.clip(h @ self.p["v"] + self.p["c"][0], -60, 60)))
+        x, y, top = self.largest(blk, first)
+        h = top @ self.p["u"] + self.p["d"]
+        live = np.maximum(h, 0)
+        s = 1 / (1 + np.exp(-np.clip(live @ self.p["v"] + self.p["c"][0], -60, 60)))
         d = ((s - target) * weight / weight.sum()).astype(np.float32)
-        g = {"v": h.T @ d, "c": np.array([d.sum()], np.float32)}
-        n = np.diff(first)
-        dy = np.repeat(d[:, None] * self.p["v"][FILTERS:] / (n - 1)[:, None], n, axis=0)
-        row = np.repeat(np.arange(len(n)), n)
-        top = (y == h[row, :FILTERS]) & (y > 0)
-        dy += top * (d[:, None] * self.p["v"][:FILTERS])[row]
-        dy *= y > 0
-        g["b"] = dy.sum(0)
-        g["w"] = np.stack([x.T @ dy, x[1:].T @ dy[:-1]])
-        dx = dy @ self.p["w"][0].T
-        dx[1:] += dy[:-1] @ self.p["w"][1].T
+        dh = d[:, None] * self.p["v"] * (h > 0)
+        g = {"v": live.T @ d, "c": np.array([d.sum()], np.float32), "u": top.T @ dh, "d": dh.sum(0)}
+        dtop = (dh @ self.p["u"].T) * (top > 0)
+        g["b"] = dtop.sum(0)
+        # only the chunk with a filter's largest response has a gradient
+        row, f = np.nonzero(dtop)
+        at = np.array([first[i] + np.argmax(y[first[i] : first[i + 1] - SPAN + 1, k]) for i, k in zip(row, f, strict=True)], np.int64)
+        pull = dtop[row, f]
+        g["w"] = np.zeros_like(self.p["w"])
         g["emb"] = np.zeros_like(self.p["emb"])
-        dx = np.ascontiguousarray(dx[:, :-1]).reshape(-1, DIM)
-        for k in range(DIM):
-            g["emb"][:, k] = np.bincount(blk.ravel(), dx[:, k], 257)
+        for j in range(SPAN):
+            part = np.zeros((FILTERS, WIDTH), np.float32)
+            np.add.at(part, f, x[at + j] * pull[:, None])
+            g["w"][j] = part.T
+            back = (self.p["w"][j][:, f].T * pull[:, None]).reshape(-1, DIM)
+            np.add.at(g["emb"], blk[at + j].ravel(), back)
         g["emb"][PAD] = 0
         return g
 
@@ -184,9 +185,7 @@ def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
         net.p = params
         for b in batches:
             data, off = buffers(b.column(b.schema.get_field_index(text)))
-            out = np.empty(len(off) - 1)
-            for lo, hi in runs(off, 1 << 19):
-                out[lo:hi] = net.score(*blocks(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))
+            out = net.score(data, off)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, "score"])
 
     return kept.mapInArrow(work, schema)

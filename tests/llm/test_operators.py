@@ -428,6 +428,31 @@ def test_quality(spark):
     assert quality.score(empty(spark), quality.train(docs, labels.limit(0))).count() == 0
 
 
+def plain_score(net, text):
+    """One document at a time, chunk by chunk, in double precision."""
+    p, n = {k: v.astype("f8") for k, v in net.p.items()}, quality.STRIDE * quality.SPAN
+    raw = list(text.encode()) + [quality.PAD] * (-len(text.encode()) % quality.STRIDE + quality.STRIDE * (quality.SPAN - 1))
+    w, best = p["w"].reshape(n * quality.DIM, -1), np.zeros(quality.FILTERS)
+    for at in range(0, len(raw) - n + 1, quality.STRIDE):
+        best = np.maximum(best, p["emb"][raw[at : at + n]].ravel() @ w + p["b"])
+    return 1 / (1 + np.exp(-(np.maximum(best @ p["u"] + p["d"], 0) @ p["v"] + p["c"][0])))
+
+
+def test_quality_scores_against_plain_loop(spark, monkeypatch):
+    r = random.Random(3)
+    texts = ["", "a", "ab", "ü", "x" * 15, words(r, 5), words(r, 300), words(r, 2000), words(r, 2000)] + [words(r, r.randrange(30)) for _ in range(40)]
+    net = quality.Network(3)
+    net.p["b"] += 0.1
+    rows = [(i, t, "clash", 0.25) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, rows[5], (None, texts[6], "n", None)], "doc_id long, text string, label string, score double").repartition(2)
+    for part in (quality.PART, 512):
+        monkeypatch.setattr(quality, "PART", part)
+        out = quality.score(df, net).collect()
+        assert len(out) == len(rows) + 2 and out[0].label in ("clash", "n")
+        for x in out:
+            assert x.score == pytest.approx(plain_score(net, x.text or ""), rel=1e-4), (part, x.text[:30])
+
+
 def test_quality_sample_survives_long_texts(spark, monkeypatch):
     rows = [(i, "x" * 10 + str(i), i % 2) for i in range(60)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
