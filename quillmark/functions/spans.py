@@ -75,7 +75,34 @@ def byte_slice(text: Column, start: Column, end: Column) -> Column:
     return F.decode(F.substring(F.encode(text, "UTF-8"), start + 1, end - start), "UTF-8")
 
 
-def _once(value: Column, use) -> Column:
+def cut(raw: Column, start: Column, end: Column) -> Column:
+    """Bytes between two character edges as a string; ``raw`` is binary, bound by ``once`` so that a cut costs its own length."""
+    return F.substring(raw, start + 1, end - start).cast("string")
+
+
+#: Items that a fold takes together: results are appended to arrays no longer than this, and these to one another.
+FOLD = 64
+
+
+def folded(n: Column, first: Column, kind: str, step) -> Column:
+    """array<kind>: ``step(pos, i)`` for i < n gives (next pos, array to append); time in proportion to n but for a 64th of its square."""
+    empty = F.expr(f"cast(array() as array<{kind}>)")
+    start = lambda pos, out: F.struct(pos.cast("int").alias("pos"), out.alias("out"))
+
+    def one(s: Column, i: Column) -> Column:
+        pos, more = step(s["pos"], i)
+        return start(pos, F.concat(s["out"], more))
+
+    def block(s: Column, b: Column) -> Column:
+        part = F.aggregate(F.sequence(b * FOLD, F.least(b * FOLD + (FOLD - 1), n - 1)), start(s["pos"], empty), one)
+        return once(part, lambda x: start(x["pos"], F.concat(s["out"], F.array(x["out"]))))
+
+    none = F.expr(f"cast(array() as array<array<{kind}>>)")
+    blocks = F.sequence(F.lit(0), F.floor((n - 1) / FOLD).cast("int"))
+    return F.when(n > 0, F.flatten(F.aggregate(blocks, start(first, none), block, lambda s: s["out"]))).otherwise(empty)
+
+
+def once(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once for several uses inside higher-order functions."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -88,19 +115,16 @@ def find_all(text: Column, pattern: str | Column, base: Column | None = None) ->
     p = F.lit(java(pattern)) if isinstance(pattern, str) else pattern
     both = F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("ms"), F.call_function("split", text, p, F.lit(-1)).alias("gs"))
     first = F.lit(0) if base is None else base
-    empty = F.expr(f"cast(array() as array<{SPAN}>)")
 
     def walk(z: Column) -> Column:
-        def step(s: Column, i: Column) -> Column:
-            at = s["pos"] + F.octet_length(z["gs"][i])
+        def step(pos: Column, i: Column):
+            at = pos + F.octet_length(z["gs"][i])
             to = at + F.octet_length(z["ms"][i])
-            span = F.struct(at.cast("int").alias("start"), to.cast("int").alias("end"), z["ms"][i].alias("m"))
-            return F.struct(to.cast("int").alias("pos"), F.concat(s["out"], F.array(span)).alias("out"))
+            return to, F.array(F.struct(at.cast("int").alias("start"), to.cast("int").alias("end"), z["ms"][i].alias("m")))
 
-        many = F.aggregate(F.sequence(F.lit(0), F.size(z["ms"]) - 1), F.struct(first.cast("int").alias("pos"), empty.alias("out")), step, lambda s: s["out"])
-        return F.when(F.size(z["ms"]) > 0, many).otherwise(empty)
+        return folded(F.size(z["ms"]), first, SPAN, step)
 
-    return _once(both, walk)
+    return once(both, walk)
 
 
 def pieces(text: Column, pattern: str, keep: bool, base: Column | None = None) -> Column:
@@ -108,21 +132,18 @@ def pieces(text: Column, pattern: str, keep: bool, base: Column | None = None) -
     p = java(pattern)
     both = F.struct(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("ms"), F.split(text, p, -1).alias("gs"))
     first = F.lit(0) if base is None else base
-    empty = F.expr(f"cast(array() as array<{SENT}>)")
 
     def walk(z: Column) -> Column:
-        def step(s: Column, i: Column) -> Column:
+        def step(pos: Column, i: Column):
             mark = F.coalesce(F.get(z["ms"], i), F.lit(""))
             body = F.concat(z["gs"][i], mark) if keep else z["gs"][i]
-            to = s["pos"] + F.octet_length(body)
-            piece = F.struct(body.alias("text"), s["pos"].alias("start"), to.cast("int").alias("end"))
-            after = to if keep else to + F.octet_length(mark)
-            return F.struct(after.cast("int").alias("pos"), F.concat(s["out"], F.array(piece)).alias("out"))
+            to = pos + F.octet_length(body)
+            piece = F.struct(body.alias("text"), pos.alias("start"), to.cast("int").alias("end"))
+            return to if keep else to + F.octet_length(mark), F.array(piece)
 
-        many = F.aggregate(F.sequence(F.lit(0), F.size(z["gs"]) - 1), F.struct(first.cast("int").alias("pos"), empty.alias("out")), step, lambda s: s["out"])
-        return F.filter(many, lambda x: x["text"].rlike(f"[^{SPACES}]"))
+        return F.filter(folded(F.size(z["gs"]), first, SENT, step), lambda x: x["text"].rlike(f"[^{SPACES}]"))
 
-    return _once(both, walk)
+    return once(both, walk)
 
 
 def paragraphs(text: Column) -> Column:
@@ -146,7 +167,7 @@ def islands(items: Column, holds, least: int) -> Column:
             F.expr("cast(array() as array<struct<i:int,j:int>>)")
         )
 
-    return _once(F.transform(items, holds), runs)
+    return once(F.transform(items, holds), runs)
 
 
 def overlaps(start: Column, end: Column, ranges: Column, kind: str) -> Column:

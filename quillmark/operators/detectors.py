@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import patterns as P
-from quillmark.functions.spans import at_most, byte_slice, fields, find_all, first_words, fold, islands, java, paragraphs, sentences, trim
+from quillmark.functions.spans import at_most, cut, fields, find_all, first_words, fold, folded, islands, java, once, paragraphs, sentences, trim
 
 VIOLATION = "struct<rule_id:string,start_index:int,end_index:int,matched_text:string,explanation:string,suggested_change:string,ord:int>"
 
@@ -49,13 +49,13 @@ def _hits(rule: str, pattern: str) -> Column:
 
 def _slice(rule: str, items: Column, runs: Column, explain=None) -> Column:
     """Violations for runs of sentences."""
-    return F.transform(
-        runs,
-        lambda r: _v(
-            rule, items[r["i"]]["start"], items[r["j"]]["end"], byte_slice(_c("_text"), items[r["i"]]["start"], items[r["j"]]["end"]),
-            explain(r["j"] - r["i"] + 1) if explain else None,
-        ),
-    )
+
+    def one(raw: Column, r: Column) -> Column:
+        start, end = items[r["i"]]["start"], items[r["j"]]["end"]
+        return _v(rule, start, end, cut(raw, start, end), explain(r["j"] - r["i"] + 1) if explain else None)
+
+    some = lambda rs: once(_c("_raw"), lambda raw: F.transform(rs, lambda r: one(raw, r)))
+    return once(runs, lambda rs: F.when(F.size(rs) > 0, some(rs)).otherwise(_empty()))
 
 
 def single(rule: str) -> Column:
@@ -77,32 +77,34 @@ def parenthetical() -> Column:
 
 
 def em_dash() -> Column:
-    """A dash counts unless its line holds nothing else."""
+    """A dash counts unless its line holds nothing else: such a line is one match, told apart by its size or, if it is one dash, by what stands beside it."""
     rule = "em-dash-pivot"
-    chars = find_all(_c("_text"), P.DASH)
+    blank = P.SPACES.replace(r"\n", "")
+    found = find_all(_c("_text"), rf"(?m)^(?=[{blank}\x{{2014}}\x{{2013}}]++$)[{blank}]*+{P.DASH}[{blank}\x{{2014}}\x{{2013}}]*+|{P.DASH}")
+    edge = lambda raw, at: (at < 0) | (at >= F.octet_length(raw)) | (cut(raw, at, at + 1) == "\n")
 
-    def alone(s: Column) -> Column:
-        head = F.substring_index(byte_slice(_c("_text"), F.lit(0), s["start"]), "\n", -1)
-        tail = F.substring_index(byte_slice(_c("_text"), s["end"], F.octet_length(_c("_text"))), "\n", 1)
-        return trim(F.regexp_replace(F.concat(head, tail), java(P.DASH), "")) == ""
+    def counts(raw: Column, s: Column) -> Column:
+        return (F.length(s["m"]) == 1) & ~(edge(raw, s["start"] - 1) & edge(raw, s["end"]))
 
-    found = F.transform(F.filter(chars, lambda s: ~alone(s)), lambda s: _v(rule, s["start"], s["end"], s["m"]))
-    return _when(_c("_text").contains("—") | _c("_text").contains("–"), found)
+    some = once(_c("_raw"), lambda raw: F.filter(found, lambda s: counts(raw, s)))
+    return _when(_c("_text").contains("—") | _c("_text").contains("–"), F.transform(some, lambda s: _v(rule, s["start"], s["end"], s["m"])))
 
 
 def negation_pivot() -> Column:
     rule = "negation-pivot"
     gate = _any(["not", "n't", "nt", "n’t", "never", "no longer"])
-    first = find_all(_c("_text"), P.PIVOT_FIRST)
+    # the blanks after a first sentence go with it: no match begins with one
+    first = find_all(_c("_text"), P.PIVOT_FIRST + r"[ \t]*+")
 
-    def second(s: Column) -> Column:
-        rest = byte_slice(_c("_text"), s["end"], F.octet_length(_c("_text")))
+    def second(raw: Column, s: Column) -> Column:
         subject = F.regexp_extract(s["m"], java(P.PIVOT_FIRST), 1)
-        again = F.concat(F.lit(r"^[ \t]+\Q"), subject, F.lit(r"\E" + java(P.PIVOT_SECOND)))
-        more = F.call_function("regexp_extract", rest, again, F.lit(0))
+        again = F.concat(F.lit(r"^\Q"), subject, F.lit(r"\E" + java(P.PIVOT_SECOND)))
+        rest = cut(raw, s["end"], s["end"] + F.octet_length(subject) + 4 * 124)  # as far as the pattern can reach
+        more = F.when(s["m"].rlike(r"[ \t]$"), F.call_function("regexp_extract", rest, again, F.lit(0))).otherwise("")
         return F.struct(s["start"].alias("start"), (s["end"] + F.octet_length(more)).alias("end"), F.concat(s["m"], more).alias("m"), (more != "").alias("ok"))
 
-    stitched = F.transform(F.filter(F.transform(first, second), lambda s: s["ok"]), lambda s: _v(rule, s["start"], s["end"], s["m"]))
+    both = once(_c("_raw"), lambda raw: F.transform(first, lambda s: second(raw, s)))
+    stitched = F.transform(F.filter(both, lambda s: s["ok"]), lambda s: _v(rule, s["start"], s["end"], s["m"]))
     return _when(
         gate,
         F.concat(
@@ -127,8 +129,8 @@ def question() -> Column:
     rule = "question-then-answer"
 
     def in_paragraph(p: Column) -> Column:
-        segs = find_all(p["text"], P.SEGMENT, p["start"])
-        pairs = F.zip_with(segs, F.slice(segs, 2, F.greatest(F.size(segs), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        found = find_all(p["text"], P.SEGMENT, p["start"])
+        pairs = once(found, lambda segs: F.zip_with(segs, F.slice(segs, 2, F.greatest(F.size(segs), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
 
         def answered(x: Column) -> Column:
             a, b = trim(x["a"]["m"]), trim(x["b"]["m"])
@@ -226,31 +228,38 @@ def anaphora() -> Column:
     """Runs of three or more sentences with one opening; two-word openings first, scanning on after a run."""
     rule = "anaphora-abuse"
 
+    def ends(o: Column, k: str) -> Column:
+        """By sentence, the end of the run of equal openings that it stands in, from the last sentence to the first."""
+        n = F.size(o)
+
+        def step(pos: Column, i: Column):
+            at = n - 1 - i
+            end = F.when((i > 0) & (F.get(o, at + 1)[k] == o[at][k]), pos).otherwise(at + 1)
+            return end, F.array(end.cast("int"))
+
+        return F.reverse(folded(n, F.lit(0), "int", step))
+
     def scan(o: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(o) - 1)
-        same = lambda i, k: (o[i][k] != "") & (F.coalesce(F.get(o, i + 1)[k], F.lit("")) == o[i][k]) & (F.coalesce(F.get(o, i + 2)[k], F.lit("")) == o[i][k])
-        begins = F.filter(at, lambda i: same(i, "two") | same(i, "one"))
-        until = lambda i, k: F.coalesce(F.get(F.filter(at, lambda j: (j > i) & (o[j][k] != o[i][k])), F.lit(0)), F.size(o))
-        empty = F.expr(f"cast(array() as array<{VIOLATION}>)")
-
-        def step(s: Column, i: Column) -> Column:
-            key = F.when(same(i, "two"), o[i]["two"]).otherwise(o[i]["one"])
-            end = F.when(same(i, "two"), until(i, "two")).otherwise(until(i, "one")).cast("int")
+        both = F.zip_with(once(ends(o, "two"), lambda x: x), once(ends(o, "one"), lambda x: x), lambda x, y: F.struct(x.alias("two"), y.alias("one")))
+        return once(both, lambda e: runs(o, e, F.filter(at, lambda i: long(o, e, i, "two") | long(o, e, i, "one"))))
 
-            def grown(e: Column) -> Column:
-                v = _v(
-                    rule, _c("_sents")[i]["start"], _c("_sents")[e - 1]["end"], byte_slice(_c("_text"), _c("_sents")[i]["start"], _c("_sents")[e - 1]["end"]),
-                    F.concat(F.lit('"'), key, F.lit('..." repeated '), (e - i).cast("string"), F.lit(" times")),
-                )
-                return F.struct(e.alias("pos"), F.concat(s["out"], F.array(v)).alias("out"))
+    def long(o: Column, e: Column, i: Column, k: str) -> Column:
+        return (o[i][k] != "") & (e[i][k] - i >= 3)
 
-            return F.when(i < s["pos"], s).otherwise(F.element_at(F.transform(F.array(end), grown), 1))
+    def runs(o: Column, e: Column, begins: Column) -> Column:
+        def step(raw: Column, b: Column, pos: Column, j: Column):
+            i = b[j]
+            two = long(o, e, i, "two")
+            end, key = F.when(two, e[i]["two"]).otherwise(e[i]["one"]), F.when(two, o[i]["two"]).otherwise(o[i]["one"])
+            start, stop = _c("_sents")[i]["start"], _c("_sents")[end - 1]["end"]
+            v = _v(rule, start, stop, cut(raw, start, stop), F.concat(F.lit('"'), key, F.lit('..." repeated '), (end - i).cast("string"), F.lit(" times")))
+            return F.when(i < pos, pos).otherwise(end), F.when(i < pos, _empty()).otherwise(F.array(v))
 
-        return F.when(
-            F.size(begins) > 0, F.aggregate(begins, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda s: s["out"])
-        ).otherwise(empty)
+        found = once(begins, lambda b: once(_c("_raw"), lambda raw: folded(F.size(b), F.lit(0), VIOLATION, lambda pos, j: step(raw, b, pos, j))))
+        return found
 
-    return _when(F.size(_c("_sents")) >= 3, F.element_at(F.transform(F.array(openers()), scan), 1))
+    return _when(F.size(_c("_sents")) >= 3, once(openers(), scan))
 
 
 def trench() -> Column:
@@ -314,7 +323,7 @@ def _build(rule: str) -> Column:
 def prepared(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` and the shared columns: text without nulls, folded text, paragraphs, sentences."""
     t = docs.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    t = t.withColumns({"_fold": fold(F.col("_text")), "_paras": paragraphs(F.col("_text")), "_sents": sentences(F.col("_text"))})
+    t = t.withColumns({"_raw": F.col("_text").cast("binary"), "_fold": fold(F.col("_text")), "_paras": paragraphs(F.col("_text")), "_sents": sentences(F.col("_text"))})
     return t.withColumn("_psents", F.when(F.size("_paras") == 1, F.array("_sents")).otherwise(F.transform("_paras", lambda p: sentences(p["text"], p["start"]))))
 
 
@@ -322,12 +331,14 @@ def detect(docs: DataFrame, text: str = "text", rules: list[str] | None = None)
     """``docs`` and ``violations``: array<VIOLATION> in detector order, duplicates by (rule, start, end) removed, first kept."""
     wanted = [r for r in P.ORDER if rules is None or r in rules]
     found = prepared(docs, text).withColumn("violations", F.concat(*(column(r) for r in wanted)))
-    return deduplicated(found.drop("_text", "_fold", "_paras", "_sents", "_psents"))
+    return deduplicated(found.drop("_text", "_raw", "_fold", "_paras", "_sents", "_psents"))
 
 
 def deduplicated(df: DataFrame, column_: str = "violations") -> DataFrame:
-    """Keep the first violation per (rule, start, end), in order."""
-    key = lambda v: F.struct(v["rule_id"], v["start_index"], v["end_index"])
-    keys = F.transform(column_, key)
-    fresh = F.filter(column_, lambda v, i: F.array_position(keys, key(v)) == i + 1)
-    return df.withColumn(column_, F.when(F.size(F.array_distinct(keys)) == F.size(column_), F.col(column_)).otherwise(fresh))
+    """Keep the first violation per (rule, start, end), in order: of equal neighbours in sorted order the first stays."""
+    key = lambda v: F.concat_ws(":", v["start_index"].cast("string"), v["end_index"].cast("string"), v["rule_id"])
+    placed = F.array_sort(F.transform(column_, lambda v, i: F.struct(key(v).alias("k"), i.alias("i"))))
+    fresh = once(placed, lambda s: F.filter(s, lambda x, j: (j == 0) | (F.get(s, j - 1)["k"] != x["k"])))
+    kept = once(F.array_sort(F.transform(fresh, lambda x: x["i"])), lambda at: F.transform(at, lambda i: F.col(column_)[i]))
+    distinct = F.size(F.array_distinct(F.transform(column_, key))) == F.size(column_)
+    return df.withColumn(column_, F.when(distinct, F.col(column_)).otherwise(kept))
