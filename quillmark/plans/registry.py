@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,7 +141,10 @@ LEFT JOIN (SELECT * FROM {_sql_values(_RANGES, 'doc_id, a, b, kind')}) r ON r.do
 def _restore(spark, sf):
     d = _docs(spark, sf).select("doc_id", "text")
     start, end = F.lit(0), F.octet_length(F.substring("text", 1, 9)).cast("int")
-    return d.select("doc_id", restore(F.col("text"), start, end, F.lit("?")).alias("inside"), restore(F.col("text"), F.lit(5), F.octet_length("text") + 1, F.lit("?")).alias("beyond"))
+    # to the text's end for plain texts of even ids, one byte beyond it for all others
+    fits = (F.col("doc_id") % 2 == 0) & F.col("text").rlike(r"^[\x00-\x7F]{6,}\z")
+    last = F.octet_length("text") + F.when(fits, 0).otherwise(1)
+    return d.select("doc_id", restore(F.col("text"), start, end, F.lit("?")).alias("inside"), restore(F.col("text"), F.lit(5), last, F.lit("?")).alias("beyond"))
 
 
 def _chunks(spark, sf):
@@ -148,13 +152,18 @@ def _chunks(spark, sf):
     return J.chunked(d).select("doc_id", "chunk_id", F.octet_length("chunk").alias("bytes"), F.md5(F.col("chunk").cast("binary")).alias("digest"))
 
 
-_CHUNK_SQL = f"""WITH RECURSIVE src AS MATERIALIZED (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM ({seeded_sql()})),
+def _chunk_tables(src: str) -> str:
+    """src(doc_id, text) and f, whose ``done`` are the chunks of the long texts."""
+    return f"""RECURSIVE src AS MATERIALIZED (SELECT doc_id, text FROM ({src})),
 p AS MATERIALIZED (SELECT doc_id, string_split_regex(text, '\\n\\n+') AS ps FROM src WHERE strlen(text) > {J.CHUNK_ABOVE}),
 f AS (SELECT doc_id, 0 AS i, ''::varchar AS now, 0 AS size, 0 AS chunk_id, NULL::varchar AS done, NULL::int AS done_id FROM p
 UNION ALL SELECT doc_id, i + 1,
  CASE WHEN shut THEN para ELSE joined END, CASE WHEN shut THEN strlen(para) + 2 ELSE grown END, chunk_id + shut::int, CASE WHEN shut OR i + 1 = n THEN joined END, chunk_id
  FROM (SELECT *, (grown >= {J.CHUNK_SIZE} AND i + 1 < n) AS shut FROM (SELECT f.doc_id, f.i, f.chunk_id, ps[i + 1] AS para, len(ps) AS n,
-   CASE WHEN f.i = 0 THEN ps[i + 1] ELSE now || chr(10) || chr(10) || ps[i + 1] END AS joined, (size + strlen(ps[i + 1]) + 2)::int AS grown FROM f JOIN p USING (doc_id) WHERE i < len(ps))))
+   CASE WHEN f.i = 0 THEN ps[i + 1] ELSE now || chr(10) || chr(10) || ps[i + 1] END AS joined, (size + strlen(ps[i + 1]) + 2)::int AS grown FROM f JOIN p USING (doc_id) WHERE i < len(ps))))"""
+
+
+_CHUNK_SQL = f"""WITH {_chunk_tables(f"SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM ({seeded_sql()})")}
 SELECT doc_id, done_id AS chunk_id, strlen(done)::int AS bytes, md5(done) AS digest FROM f WHERE done IS NOT NULL
 UNION ALL SELECT doc_id, 0, strlen(text)::int, md5(text) FROM src WHERE strlen(text) <= {J.CHUNK_ABOVE}"""
 
@@ -187,9 +196,9 @@ FROM ({seeded_sql()}), {_sql_values([(i, *a[:3]) for i, a in enumerate(_ANSWERS)
 
 
 def _fixed_judge(system, prompt, schema):
-    """Stands in for a model: finds the first word, fails on texts about rivers, rewrites to upper case."""
+    """Stands in for a model: finds the first word, fails on texts about rivers, rewrites backwards."""
     if "rewritten" in schema["properties"]:
-        return {"rewritten": f"  {prompt.upper()}\n"}
+        return {"rewritten": f"  {prompt[::-1]}\n"}
     passage = prompt.split("Text to analyze:\n\n", 1)[1]
     if "the river rose" in passage:
         raise RuntimeError("no answer")
@@ -197,13 +206,42 @@ def _fixed_judge(system, prompt, schema):
     return json.dumps({"violations": [{"ruleId": "throat-clearing", "matchedText": word, "explanation": "first word", "suggestedChange": ""}]})
 
 
-def _status(spark, sf):
+def _status(tier: str):
+    def run(spark, sf):
+        d = _seeded(spark, sf).select("doc_id", "text")
+        return J.judged(d, _fixed_judge, tier).select("doc_id", F.size("found").alias("n_found"), F.col("error").isNull().alias("ran"))
+
+    return run
+
+
+def _fail_open(spark, sf):
+    """Both tiers, chosen automatically: a failed one is recorded and adds nothing."""
+    d = J.with_model(_seeded(spark, sf).select("doc_id", "text"), _fixed_judge, "high", True)
+    return d.select("doc_id", F.size("extra").alias("n_found"), F.col("llm.sentence.ran").alias("sentence_ran"), F.col("llm.document.ran").alias("document_ran"))
+
+
+def _fail_closed(spark, sf):
+    """A tier that was asked for and fails raises: by tier, whether it did, over all documents and over those that don't fail."""
     d = _seeded(spark, sf).select("doc_id", "text")
-    return J.judged(d, _fixed_judge, "sentence").select("doc_id", F.size("found").alias("n_found"), F.col("error").isNull().alias("ran"))
+
+    def raises(docs, effort):
+        try:
+            J.with_model(docs, _fixed_judge, effort, False)
+        except J.JudgeError:
+            return True
+        return False
+
+    calm = d.where(~F.col("text").contains("the river rose"))
+    return spark.createDataFrame([(e, raises(d, e), raises(calm, e)) for e in ("off", "low")], "effort string, all_docs boolean, calm_docs boolean")
+
+
+#: What the fixed judge finds: the first word of each chunk that isn't about rivers.
+_STATUS_SQL = f"""WITH {_chunk_tables(seeded_sql())}, c AS (SELECT doc_id, done AS chunk FROM f WHERE done IS NOT NULL UNION ALL SELECT doc_id, text FROM src WHERE strlen(text) <= {J.CHUNK_ABOVE})"""
+_STATUS_COLUMNS = """count(DISTINCT CASE WHEN NOT contains(chunk, 'the river rose') AND string_split(chunk, ' ')[1] <> '' THEN string_split(chunk, ' ')[1] END)::int AS n_found, bool_or(NOT contains(chunk, 'the river rose')) AS ran"""
 
 
 def _rewrite(spark, sf):
-    d = spark.createDataFrame(list(enumerate(CARRIERS)), "doc_id int, text string")
+    d = _seeded(spark, sf).select("doc_id", "text")
     return J.rewritten(d, _fixed_judge, ["hedge-stack", "em-dash-pivot"]).select("doc_id", F.octet_length("rewritten").alias("bytes"), F.array_join("applied_rules", ",").alias("applied"))
 
 
@@ -220,29 +258,96 @@ def _hints(spark, sf):
     return spark.createDataFrame([(i, *h) for i, h in enumerate(J.rewrite_hints([" hedge-stack", "", "almost-hedge", "hedge-stack "]))], "pos int, id string, rewrite_hint string")
 
 
+#: Source around each whole seeded text, by hand: pieces of prose (kept) and of markup or code (blanked), the expected ranges
+#: (n in all; those that suppression looks at: kind, first and last byte from the frame's or, after the text, from the text's end).
+_FRAMES = {
+    "markdown": {
+        "before": [("---\ntitle: x\n---\n", 0), ("# Very crucial ", 1), ("`code`", 0), ("\n\n", 1)],
+        "after": [
+            ("\n\n- First item here. Two words. All short.\n- Next one. And more. So short.\n\nSee [the link]", 1), ("(http://a.b/c(d) \"robust\")", 0), (" and ", 1), ("`vital`", 0), (".\n\n", 1),
+            ("```\ncrucial code\n```\n\n    robust code\n\n<div>vital</div>\n", 0),
+        ],
+        "n": 5, "ranges": [("heading", 17, 39, False), ("list-item", 2, 43, True), ("list-item", 43, 75, True)],
+    },
+    "html": {
+        "before": [
+            ("<!doctype html>\n<html><head><title>Very crucial page</title><script>let crucial = 1;</script></head>\n<body><!-- vital --><h1 class=\"robust\">", 0), ("Really? Yes!", 1), ("</h1>\n<p>\n\n", 0),
+        ],
+        "after": [
+            ("\n\n</p><ul><li>", 0), ("First item here. Two words. All short.", 1), ("</li>\n<li>", 0), ("Next one. And more. So short.", 1), ("</li></ul><pre>robust</pre> <code>vital</code>\n<p title='crucial'>", 0),
+            ("The end &amp; more.", 1), ("</p></body></html>\n", 0),
+        ],
+        "n": 7, "ranges": [("heading", 140, 152, False), ("list-item", 14, 52, True), ("list-item", 62, 91, True)],
+    },
+    "js": {
+        "before": [("// A note.\n\n/** Doc line. */\n", 1), ("const a = '", 0), ("It is crucial.", 1), ("'; const b = /vital/; const c = `", 0), ("robust ", 1), ("${vital}", 0), (" end", 1), ("`;\n", 0)],
+        "after": [("\nlet d = crucial;\n", 0)], "n": 6, "ranges": [("jsdoc", 12, 28, False)],
+    },
+    "jsx": {
+        "before": [("/** Doc. */", 1), (" export const A = () => <p title=\"", 0), ("robust", 1), ("\">", 0), ("It is vital. ", 1), ("{crucial}</p>;\n", 0)],
+        "after": [("\n", 0)], "n": 4, "ranges": [("jsdoc", 0, 11, False)],
+    },
+    "ts": {"before": [("const x: Array<string> = ['", 0), ("crucial", 1), ("'];\n", 0)], "after": [], "n": 2, "ranges": []},
+    "tsx": {"before": [("const f = <T,>(x: T) => x; const y = <b>", 0), ("robust", 1), ("</b>;\n", 0)], "after": [], "n": 2, "ranges": []},
+}
+
+
+MARKUP = ("markdown", "html")
+
+
+def _frame(kind: str, side: str, blank: bool = False) -> str:
+    return "".join(re.sub(r"[^\n]", " ", t) if blank and not kept else t for t, kept in _FRAMES[kind][side])
+
+
 def _marked(kind: str):
-    """Snippets in a language with paragraphs of the seed around them."""
-    wrap = {
-        "markdown": ("---\ntitle: x\n---\n# Head `code`\n\n", "\n\n- First item here. Two words. All short.\n- Next one. And more. So short.\n\nSee [the link](http://a.b/c(d) \"robust\") and `vital`.\n\n```\ncrucial code\n```\n\n    robust code\n\n<div>vital</div>\n"),
-        "js": ("// A note.\n\n/** Doc line. */\nconst a = 'It is crucial.'; const b = /vital/; const c = `robust ${vital} end`;\n/* ", " */\nlet d = crucial;\n"),
-        "jsx": ("/** Doc. */ export const A = () => <p title=\"robust\">It is vital. {crucial}</p>;\n// ", "\n"),
-        "ts": ("const x: Array<string> = ['crucial'];\n/* ", " */"),
-        "tsx": ("const f = <T,>(x: T) => x; const y = <b>robust</b>;\n/* ", " */"),
-    }[kind]
-
-    def docs(spark):
-        rows = [(i, wrap[0] + (c if kind == "markdown" else c.replace("*/", "").replace("\n", " ")) + wrap[1], kind) for i, c in enumerate(CARRIERS)]
-        return mask(spark.createDataFrame(rows, "doc_id int, text string, lang string"))
+    """Every whole seeded text inside a frame: as a comment (of documentation, for odd ids), or as plain paragraphs of Markdown or HTML."""
+
+    def docs(spark, sf):
+        d = _seeded(spark, sf).select("doc_id", "text")
+        if kind in MARKUP:
+            text = F.ltrim(F.regexp_replace(F.regexp_replace("text", r"[^\p{L} .,;:?!\n]", ""), "\n +", "\n"))
+        else:
+            text = F.concat(F.when(F.col("doc_id") % 2 == 1, "/** ").otherwise("/* "), F.regexp_replace("text", r"\*/", "* /"), F.lit(" */"))
+        return mask(d.select("doc_id", F.concat(F.lit(_frame(kind, "before")), text, F.lit(_frame(kind, "after"))).alias("text"), F.lit(kind).alias("lang")))
 
     return docs
 
 
+def _framed_sql(kind: str) -> str:
+    """raw(doc_id, t), src (masked) and orig (as it is), the masks as they are marked in _FRAMES."""
+    nl = lambda x: " || chr(10) || ".join(O.lit(part) for part in x.split("\n"))
+    if kind in MARKUP:
+        t = r"ltrim(regexp_replace(regexp_replace(text, '[^\p{L} .,;:?!\n]', '', 'g'), '\n +', chr(10), 'g'))"
+    else:
+        t = "CASE WHEN doc_id % 2 = 1 THEN '/** ' ELSE '/* ' END || replace(text, '*/', '* /') || ' */'"
+    side = lambda blank: f"{nl(_frame(kind, 'before', blank))} || t || {nl(_frame(kind, 'after', blank))}"
+    return f"raw AS MATERIALIZED (SELECT doc_id, {t} AS t FROM ({seeded_sql()})), src AS MATERIALIZED (SELECT doc_id, {side(True)} AS text FROM raw), orig AS (SELECT doc_id, {side(False)} AS text, strlen(t) AS n FROM raw)"
+
+
 def _mask_query(kind: str):
-    return lambda spark, sf: _marked(kind)(spark).select("doc_id", F.md5(F.col("masked").cast("binary")).alias("masked"), F.size("ranges").alias("n_ranges"))
+    return lambda spark, sf: _marked(kind)(spark, sf).select("doc_id", F.md5(F.col("masked").cast("binary")).alias("masked"), F.size("ranges").alias("n_ranges"))
+
+
+def _mask_sql(kind: str) -> str:
+    return f"WITH {_framed_sql(kind)} SELECT doc_id, md5(text) AS masked, {_FRAMES[kind]['n']}::int AS n_ranges FROM src"
 
 
 def _suppress_query(kind: str):
-    return lambda spark, sf: _rows_rule(check(_marked(kind)(spark), lang="lang", masked="masked"))
+    return lambda spark, sf: _rows_rule(check(_marked(kind)(spark, sf), lang="lang", masked="masked"))
+
+
+def _suppress_sql(kind: str) -> str:
+    at = len(_frame(kind, "before"))
+    places = [(k, f"{a} + n + {at}" if after else str(a), f"{b} + n + {at}" if after else str(b), "true") for k, a, b, after in _FRAMES[kind]["ranges"]]
+    if kind not in MARKUP:
+        places.append(("jsdoc", str(at), f"{at} + n", "doc_id % 2 = 1"))
+    meets = lambda k: " + ".join(f"(({a}) < end_index AND ({b}) > start_index AND {when})::int" for x, a, b, when in places if x == k)
+    if kind in MARKUP:
+        drop = f"(rule_id = 'dramatic-fragment' AND {meets('heading')} > 0) OR (rule_id = 'staccato-burst' AND {meets('list-item')} >= 2)"
+    else:
+        drop = f"rule_id = 'dramatic-fragment' AND {meets('jsdoc')} > 0"
+    return f"""WITH {_framed_sql(kind)}, found AS MATERIALIZED ({_ALL})
+SELECT doc_id, rule_id, start_index, end_index, decode(encode(orig.text)[start_index + 1:end_index]) AS matched_text FROM found JOIN orig USING (doc_id) WHERE NOT ({drop})"""
 
 
 def _rows_rule(df: DataFrame) -> DataFrame:
@@ -306,16 +411,19 @@ def queries() -> dict:
         "overlaps": _overlap("any"),
         "count_overlapping": _overlap("count"),
         "restore_matched_text": _restore,
-        "mask_html": lambda s, d: _pages(s, d).select("doc_id", F.md5(F.col("masked").cast("binary")).alias("masked"), F.size("ranges").alias("n_ranges")),
+        "mask_pages": lambda s, d: _pages(s, d).select("doc_id", F.md5(F.col("masked").cast("binary")).alias("masked"), F.size("ranges").alias("n_ranges")),
         "html_violations": lambda s, d: _rows_rule(check(_pages(s, d).drop("lang").withColumn("lang", F.lit("text")), lang="lang", masked="masked")),
-        "suppress_html": lambda s, d: _rows_rule(check(_pages(s, d), lang="lang", masked="masked")),
+        "suppress_pages": lambda s, d: _rows_rule(check(_pages(s, d), lang="lang", masked="masked")),
         "chunk_text": _chunks,
         "resolve_llm_matches": _located,
         "dedupe_rule_match": _first_by_match,
-        "llm_status": _status,
+        "llm_status": _status("sentence"),
+        "llm_document": _status("document"),
+        "llm_fail_open": _fail_open,
+        "llm_fail_closed": _fail_closed,
         "rewrite": _rewrite,
     }
-    for kind in ("markdown", "js", "jsx", "ts", "tsx"):
+    for kind in _FRAMES:
         q[f"mask_{kind}"] = _mask_query(kind)
         q[f"suppress_{kind}"] = _suppress_query(kind)
     return q
@@ -349,11 +457,21 @@ def oracle_sql() -> dict[str, str]:
         "resolve_effort": _effort_sql(),
         "overlaps": _overlap_sql("any"),
         "count_overlapping": _overlap_sql("count"),
-        "restore_matched_text": "SELECT doc_id, substr(text, 1, 9) AS inside, '?' AS beyond FROM documents",
+        "restore_matched_text": """SELECT doc_id, substr(text, 1, 9) AS inside, CASE WHEN b <= strlen(text) THEN decode(encode(text)[a + 1:b]) ELSE '?' END AS beyond
+FROM (SELECT doc_id, text, 5 AS a, strlen(text) + CASE WHEN doc_id % 2 = 0 AND regexp_full_match(text, '[\\x00-\\x7F]{6,}') THEN 0 ELSE 1 END AS b FROM documents)""",
         "chunk_text": _CHUNK_SQL,
         "resolve_llm_matches": _LOCATED_SQL,
         "dedupe_rule_match": _FIRST_SQL,
+        "llm_status": f"{_STATUS_SQL} SELECT doc_id, {_STATUS_COLUMNS} FROM c GROUP BY doc_id",
+        "llm_document": f"SELECT doc_id, {_STATUS_COLUMNS} FROM (SELECT doc_id, text AS chunk FROM ({seeded_sql()})) GROUP BY doc_id",
+        "llm_fail_open": f"""{_STATUS_SQL}, a AS (SELECT doc_id, {_STATUS_COLUMNS} FROM c GROUP BY doc_id), b AS (SELECT doc_id, {_STATUS_COLUMNS} FROM (SELECT doc_id, text AS chunk FROM src) GROUP BY doc_id)
+SELECT doc_id, (a.n_found + b.n_found)::int AS n_found, a.ran AS sentence_ran, b.ran AS document_ran FROM a JOIN b USING (doc_id)""",
+        "llm_fail_closed": f"SELECT e AS effort, e = 'low' AND (SELECT bool_or(contains(text, 'the river rose') AND strlen(text) <= {J.CHUNK_ABOVE}) FROM ({seeded_sql()})) AS all_docs, false AS calm_docs FROM (VALUES ('off'), ('low')) v(e)",
+        "rewrite": f"SELECT doc_id, strlen({O._trim('text')})::int AS bytes, 'hedge-stack,em-dash-pivot' AS applied FROM ({seeded_sql()})",
     }
+    for kind in _FRAMES:
+        o[f"mask_{kind}"] = _mask_sql(kind)
+        o[f"suppress_{kind}"] = _suppress_sql(kind)
     return o
 
 
