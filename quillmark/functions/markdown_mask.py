@@ -19,6 +19,7 @@ _ATX = re.compile(rb"#{1,6}(?:[ \t]|\r?$)")
 _SETEXT = re.compile(rb"(?:=+|-+)[ \t]*\r?$")
 _RULE = re.compile(rb"(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})\r?$")
 _ITEM = re.compile(rb"([-+*]|\d{1,9}[.)])(?=[ \t\r]|$)")
+_TICKS = re.compile(rb"`+")
 _DEF = re.compile(rb"\[(?:[^\[\]\\]|\\.)+\]:[ \t]*(?:<[^<>\n]*>|[^\s<]\S*)(?:[ \t]+(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?[ \t]*\r?$")
 #: Names that begin an HTML block of the sixth kind.
 _BLOCK_TAGS = (
@@ -248,14 +249,17 @@ class _Reader:
         for lo, hi in self.inline:
             i = lo
             opened: list[int] = []
+            unclosed: set[int] = set()  # sizes of backtick runs that nothing closes in the rest of the paragraph
             s = self.src
             while i < hi:
                 c = s[i : i + 1]
                 if c == b"\\":
                     i += 2
                 elif c == b"`":
-                    run = len(s[i:hi]) - len(s[i:hi].lstrip(b"`"))
-                    m = re.compile(rb"(?<!`)`{%d}(?!`)" % run).search(s, i + run, hi)
+                    run = _TICKS.match(s, i, hi).end() - i
+                    m = None if run in unclosed else re.compile(rb"(?<!`)`{%d}(?!`)" % run).search(s, i + run, hi)
+                    if m is None:
+                        unclosed.add(run)
                     if m:
                         self.masks.append((i, m.end()))
                         i = m.end()

@@ -5,11 +5,14 @@ follows template literals into their substitutions, and in the jsx dialects
 reads elements. It approximates a full parser: where `<` could be a type
 argument or an element in tsx, a name with `,` or `extends` after it is taken
 for type parameters. Malformed source ends a token at the end of the text.
+What nests (templates, elements, tags, substitutions) are generators that yield
+the part inside them to ``lex``, which keeps the stack, so no depth is too deep.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Generator
 
 from quillmark.functions.html_mask import blank
 
@@ -20,6 +23,23 @@ _WORD = re.compile(rb"[A-Za-z0-9_$\x80-\xff]+")
 _BEFORE_VALUE = set(b"return typeof instanceof in of new delete void throw case do else yield await default extends".split())
 
 
+#: Yields the steps of a nested part and is sent its result.
+Steps = Generator["Steps", object, object]
+
+
+def lex(steps: Steps) -> object:
+    """The result of ``steps``, nested ones on a stack of their own."""
+    stack, result = [steps], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(result))
+            result = None
+        except StopIteration as end:
+            stack.pop()
+            result = end.value
+    return result
+
+
 class Lexer:
     def __init__(self, src: bytes, jsx: bool, typed: bool):
         self.s, self.n, self.jsx, self.typed = src, len(src), jsx, typed
@@ -54,7 +74,7 @@ class Lexer:
         self.keep(lo, j, "string-literal")
         return min(self.n, j + (j < self.n and self.s[j] == q))
 
-    def template(self, i: int) -> int:
+    def template(self, i: int) -> Steps:
         lo = j = i + 1
         while j < self.n and self.s[j] != 96:
             if self.s[j] == 92:
@@ -64,7 +84,7 @@ class Lexer:
             elif self.s.startswith(b"${", j):
                 self.keep(lo, j, "string-literal")
                 self.value_next = True
-                lo = j = self.code(j + 2, b"}")
+                lo = j = yield self.code(j + 2, b"}")
             else:
                 j += 1
         j = min(j, self.n)
@@ -99,9 +119,9 @@ class Lexer:
                 return False
         return True
 
-    def element(self, i: int) -> int:
+    def element(self, i: int) -> Steps:
         """From '<' to the end of the element."""
-        j, closed = self.tag(i)
+        j, closed = yield self.tag(i)
         if closed:
             return j
         lo = j
@@ -112,17 +132,17 @@ class Lexer:
                 if re.compile(rb"<\s*/").match(self.s, j):
                     e = self.s.find(b">", j)
                     return self.n if e < 0 else e + 1
-                lo = j = self.element(j)
+                lo = j = yield self.element(j)
             elif c == 123:
                 self.keep(lo, j, "jsx-text")
                 self.value_next = True
-                lo = j = self.code(j + 1, b"}")
+                lo = j = yield self.code(j + 1, b"}")
             else:
                 j += 1
         self.keep(lo, j, "jsx-text")
         return self.n
 
-    def tag(self, i: int) -> tuple[int, bool]:
+    def tag(self, i: int) -> Steps:
         """The offset after an opening tag and whether it closes itself."""
         j = i + 1
         while j < self.n:
@@ -136,14 +156,14 @@ class Lexer:
                 j = min(self.n, e + 1)
             elif c == 123:
                 self.value_next = True
-                j = self.code(j + 1, b"}")
+                j = yield self.code(j + 1, b"}")
             elif self.s.startswith((b"//", b"/*"), j):
                 j = self.comment(j)
             else:
                 j += 1
         return self.n, True
 
-    def code(self, i: int, until: bytes = b"") -> int:
+    def code(self, i: int, until: bytes = b"") -> Steps:
         """Code up to the bracket that closes it (its offset plus one), or to the end."""
         depth = 0
         while i < self.n:
@@ -156,13 +176,13 @@ class Lexer:
                 i = self.string(i)
                 self.value_next = False
             elif c == b"`":
-                i = self.template(i)
+                i = yield self.template(i)
                 self.value_next = False
             elif c == b"/" and self.value_next:
                 i = self.regexp(i)
                 self.value_next = False
             elif c == b"<" and self.element_begins(i):
-                i = self.element(i)
+                i = yield self.element(i)
                 self.value_next = False
             elif m := _WORD.match(self.s, i):
                 self.value_next = m.group() in _BEFORE_VALUE
@@ -186,10 +206,7 @@ def mask(text: str, dialect: str) -> tuple[str, list[tuple[int, int, str]]]:
     """The masked text and its ranges (start, end, kind) in bytes, in document order."""
     src = text.encode("utf-8", "surrogatepass")
     lexer = Lexer(src, *DIALECTS[dialect])
-    try:
-        lexer.code(0)
-    except RecursionError:  # nesting beyond reason: what was read stays, the rest is masked
-        pass
+    lex(lexer.code(0))
     buf = bytearray(src)
     blank(buf, 0, len(buf))
     spans = sorted(lexer.spans)

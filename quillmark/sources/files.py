@@ -54,10 +54,7 @@ def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
     """Deal the rows of a small input over all cores.
 
     A Parquet file is split at row groups only, so a few files may hold all rows in fewer tasks than there are
-    cores. Inputs of as many files or splits as would fill the cluster anyway are returned as they are: no shuffle
-    for those, whatever their size.
+    cores. Inputs of as many splits as there are cores are returned as they are: no shuffle, whatever their size.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores or df.rdd.getNumPartitions() > per_core * cores:
-        return df
-    return df.repartition(per_core * cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(per_core * cores)

@@ -112,3 +112,36 @@ def test_find_all_matches_python(spark):
         got = [[(s.start, s.end, s.m) for s in r.f] for r in df.select("t", find_all(F.col("t"), p).alias("f")).collect()]
         want = [[(len(t[: m.start()].encode()), len(t[: m.end()].encode()), m.group()) for m in re.finditer(p, t)] for t in texts]
         assert got == want
+
+
+@pytest.mark.parametrize("rule,unit", [
+    ("anaphora-abuse", "Water moves on. Water moves by. Water moves up. Birds sing now. Trees grow tall here. "),
+    ("heres-the-kicker", "Here's the kicker. It ran. "),
+    ("em-dash-pivot", "A word — and more.\n—\n"),
+    ("negation-pivot", "Mayor doesn't walk in town anymore. Mayor rides a tall grey horse now. "),
+    ("staccato-burst", "We ran. We hid. They came. Then it was over and everyone in the whole town went home to sleep for a while. "),
+])
+def test_long_hostile_documents(spark, rule, unit):
+    """Twice the text takes about twice the time (with room for a busy machine), and gives twice the rows."""
+    import time
+
+    from quillmark.operators.detectors import detect
+
+    took, rows = [], []
+    for kb in (1, 256, 512):
+        df = spark.createDataFrame([(1, unit * (kb * 1024 // len(unit.encode())))], "doc_id int, text string")
+        t = time.time()
+        rows.append(detect(df, rules=[rule]).select(F.size("violations")).first()[0])
+        took.append(time.time() - t)
+    assert rows[1] > 100 and abs(rows[2] - 2 * rows[1]) <= 3
+    assert took[2] < 3.2 * took[1] + 2
+
+
+def test_duplicates_in_long_lists(spark):
+    from quillmark.operators.detectors import deduplicated, detect
+
+    df = detect(spark.createDataFrame([(1, "A word — and more. " * 20_000)], "doc_id int, text string"), rules=["em-dash-pivot"])
+    twice = df.withColumn("violations", F.concat("violations", F.reverse("violations")))
+    assert deduplicated(twice).select(F.size("violations")).first()[0] == 20_000
+    few = deduplicated(detect(spark.createDataFrame([(1, "A — b — c")], "doc_id int, text string"), rules=["em-dash-pivot"]).withColumn("violations", F.flatten(F.array("violations", F.reverse("violations")))))
+    assert [v.start_index for v in few.first().violations] == [2, 8]

@@ -74,3 +74,29 @@ def test_registry_and_languages():
         assert resolve_lang(flag, path) == want, (flag, path)
     with pytest.raises(UsageError):
         resolve_lang("cobol", None)
+
+
+def test_deep_nesting_is_no_limit():
+    from quillmark.functions.script_mask import mask as script
+
+    n = 10_000
+    for src, kept in [
+        ("const a = " + "<b>in" * n + "</b>" * n + "; // the end", "in"), ("let t = " + "`x${" * n + "1" + "}`" * n + "; // the end", "x"), ("f = <p a={" * n + "1" + "}>t</p>" * n + "; // the end", "t"),
+    ]:
+        masked, ranges = script(src, "jsx")
+        assert masked.endswith("// the end") and masked.count(kept) >= n and "const" not in masked and "let" not in masked
+        assert len(masked) == len(src) and ranges[-1][2] == "comment"
+
+
+def test_unclosed_backticks_take_linear_time():
+    import time
+
+    from quillmark.functions.markdown_mask import mask as markdown
+
+    def took(n):
+        t = time.process_time()
+        markdown("word `` and ` more ``` x\n".replace("` ", "`") * 1 + "a ``` b " * n)
+        return time.process_time() - t
+
+    took(100)
+    assert took(20_000) < 8 * took(5_000) + 0.5
