@@ -25,16 +25,55 @@ from quillmark.llm.common import LOWER, buffers, runs, words_of
 #: Fixed phrases: label by phrase.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: The library of templates: label by markup.
+_BSD = """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+<<opt>> 1|a <</opt>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+<<opt>> 2|b <</opt>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+in the documentation and or other materials provided with the distribution {} this software is provided by <<any 1 12>> as is and any express or implied warranties
+including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed
+in no event shall <<any 1 12>> be liable for any direct indirect incidental special exemplary or consequential damages
+including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption
+however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise
+arising in any way out of the use of this software even if advised of the possibility of such damage"""
+_NO_NAMES = """<<opt>> 3|c <</opt>> neither the name of <<any 1 12>> nor the names of its|any contributors may be used to endorse or promote products
+derived from this software without specific prior written permission"""
+
+#: The library of templates: label by markup. Lines that name a license, and whole license texts and notices
+#: (fixed values: public wording) with their optional words and replaceable names.
 TEMPLATES = {
     "apache-2.0": "licensed under <<opt>> the <</opt>> apache license <<opt>> version <</opt>> 2 0",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "apache-2.0-notice": """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
+<<opt>> you may obtain a copy of the license at <<opt>> http|https www apache org licenses license 2 0 <</opt>> <</opt>>
+unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license""",
+    "bsd-2-clause": _BSD.format(""),
+    "bsd-3-clause": _BSD.format(_NO_NAMES),
     "cc-by-nc-4.0": "licensed under <<opt>> a|the <</opt>> cc by nc 4 0",
     "cc-by-4.0": "licensed under <<opt>> a|the <</opt>> <<opt>> creative commons attribution <</opt>> cc by 4 0",
     "copyright-notice": "copyright <<opt>> c <</opt>> <<any 1 8>> all rights reserved",
     "gpl-3.0": "<<opt>> this work is <</opt>> licensed under the gnu general public license <<opt>> version <</opt>> 3",
+    "gpl-3.0-notice": """<<opt>> this program is <</opt>> free software you can redistribute it and or modify it under the terms of the gnu general public license
+as published by the free software foundation either version 3 of the license or <<opt>> at your option <</opt>> any later version
+this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of
+merchantability or fitness for a particular purpose see the gnu general public license for more details""",
+    "isc": """permission to use copy modify and <<opt>> or <</opt>> distribute this software for any purpose with or without fee is hereby granted
+provided that the above copyright notice and this permission notice appear in all copies
+the software is provided as is and <<any 1 8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness
+in no event shall <<any 1 8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits
+whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software""",
     "mit": "<<opt>> this <<any 0 3>> is <</opt>> released|licensed|distributed under <<opt>> the terms of <</opt>> the mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this <<any 1 4>> and associated documentation files",
+    "mit-text": """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+<<opt>> the software <</opt>> to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute
+sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions
+the above copyright notice and this permission notice <<opt>> including the next paragraph <</opt>> shall be included in all copies or substantial portions of the software
+the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+fitness for a particular purpose and noninfringement in no event shall <<any 1 8>> be liable for any claim damages or other liability
+whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software""",
+    "zlib": """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software
+permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely
+subject to the following restrictions <<opt>> 1 <</opt>> the origin of this software must not be misrepresented you must not claim that you wrote the original software
+if you use this software in a product an acknowledgment|acknowledgement in the product documentation would be appreciated but is not required
+<<opt>> 2 <</opt>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+<<opt>> 3 <</opt>> this notice may not be removed or altered from any source distribution""",
 }
 
 SCAN = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places array<struct<label:string,start:int,end:int>>"
@@ -161,7 +200,8 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict | None = None, templ
     """``docs`` with the columns of SCAN in place of the text.
 
     n_base, first_word, last_word and base_labels count the fixed phrases (word numbers
-    from 0), labels adds the templates accepted, ``places`` lists all hits. score is 1 where a
+    from 0), labels adds the templates accepted (whole license texts count only
+    whole: a changed or missing mandatory word rejects them), ``places`` lists all hits. score is 1 where a
     template is accepted, 0.5 with fixed phrases alone, 0 without a hit. Null texts are
     empty: no words, null places of first and last word, empty label strings. Columns of the
     input that bear a name of the result are replaced.

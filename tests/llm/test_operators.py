@@ -353,6 +353,42 @@ def test_licenses(spark):
     assert (got[4].labels, got[4].score) == ("gpl", 0.5) and got[5].labels == "copyright-notice,reserved"
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR
+A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN
+ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_whole_license_texts(spark):
+    def text(label, fill="J. Doe and others", optional=True):
+        m = licenses.TEMPLATES[label]
+        if not optional:
+            while (n := re.sub(r"<<opt>>(?:(?!<<opt>>|<</opt>>).)*<</opt>>", " ", m, flags=re.S)) != m:
+                m = n
+        m = re.sub(r"<<any[^>]*>>", fill, m).replace("<<opt>>", "").replace("<</opt>>", "")
+        return " ".join(w.split("|")[0] for w in m.split())
+
+    whole = ["apache-2.0-notice", "bsd-2-clause", "bsd-3-clause", "gpl-3.0-notice", "isc", "mit-text", "zlib"]
+    rows, want = [(0, MIT), (1, MIT.replace("free of charge", "for a fee")), (2, MIT.replace("THE AUTHORS OR COPYRIGHT HOLDERS", "ACME"))], ["mit-text", "", "mit-text"]
+    for label in whole:
+        t, bare = text(label), text(label, optional=False)
+        words_ = bare.split()
+        for case, ok in ((t.upper(), True), (f"x {bare} y", True), (" ".join(words_[: len(words_) // 2]), False), (" ".join(words_[:-1]), False), (bare.replace(words_[-3], "other"), False)):
+            rows.append((len(rows), case))
+            want.append(label if ok else "")
+    rows += [rows[0], (None, MIT), (999, "word " * 200_000 + MIT)]
+    want += ["mit-text"] * 3
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((str(x.doc_id), ",".join(y for y in x.labels.split(",") if y in whole)) for x in got)
+    assert found == sorted((str(i), w) for (i, _), w in zip(rows, want))
+    assert licenses.scan(empty(spark)).count() == 0
+
+
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
