@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.functions.spans import folded
 from quillmark.llm.pii_model import CUES, FEATURES, KINDS, WINDOW, fitted
 
 BASE = ("email", "ip", "card", "phone")
@@ -74,27 +75,16 @@ VALID = {
 def find(text: Column, pattern: str) -> Column:
     """array<struct<start,end,m>> of the leftmost non-overlapping matches."""
     both = F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("ms"), F.split(text, pattern, -1).alias("gs")))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,m:string>>)")
+    kind = "struct<start:int,end:int,m:string>"
+    empty = F.expr(f"cast(array() as array<{kind}>)")
 
     def places(z: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(z["ms"])),
-            F.struct(F.lit(0).alias("pos"), empty.alias("out")),
-            lambda s, i: F.struct(
-                (s["pos"] + F.length(z["gs"][i - 1]) + F.length(z["ms"][i - 1])).cast("int").alias("pos"),
-                F.concat(
-                    s["out"],
-                    F.array(
-                        F.struct(
-                            (s["pos"] + F.length(z["gs"][i - 1])).cast("int").alias("start"),
-                            (s["pos"] + F.length(z["gs"][i - 1]) + F.length(z["ms"][i - 1])).cast("int").alias("end"),
-                            z["ms"][i - 1].alias("m"),
-                        )
-                    ),
-                ).alias("out"),
-            ),
-            lambda s: s["out"],
-        )
+        def step(pos: Column, i: Column):
+            at = pos + F.length(z["gs"][i])
+            to = at + F.length(z["ms"][i])
+            return to, F.array(F.struct(at.cast("int").alias("start"), to.cast("int").alias("end"), z["ms"][i].alias("m")))
+
+        return folded(F.size(z["ms"]), F.lit(0), kind, step)
 
     return F.flatten(F.transform(both, lambda z: F.when(F.size(z["ms"]) > 0, places(z)).otherwise(empty)))
 

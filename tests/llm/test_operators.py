@@ -426,7 +426,7 @@ def test_pii_has_no_longest_span(spark):
     cases = [(f'{before} token = "', s, '" end', kind) for before in ("so", "é😀") for kind, s in [("secret", "a1" + run(k)) for k in (60, 126, 127, 400, 20000)] + [("secret", f"eyJ0{run(32)}.{run(200)}.{run(43)}")]]
     cases += [("write joe (at) ", "", "", None), ("to ", "joe (at) mail.example.com", ". Then", "address"), ("to ", "joe(at)a.mail.3com.co.uk", ", or", "address")]
     cases += [("to ", "joe [at] mail [dot] example [dot] com", " soon", "address"), ("to ", "joe(at)example.international", " soon", "address"), ("to ", "joe(at)example.com", ". And so", "address")]
-    cases += [("to ", "a@b" + ".c" * 3000, " end", "email"), ("commit ", "", "0123456789abcdef0123 done", None)]
+    cases += [("to ", "a@b" + ".c" * 1500, " end", "email"), ("to ", "a" * 200_000 + "@b" + ".c" * 100_000, " end", "email"), ("commit ", "", "0123456789abcdef0123 done", None)]
     df = spark.createDataFrame([(i, a + b + c) for i, (a, b, c, _) in enumerate(cases)], "doc_id long, text string")
     for row in pii.spans(df).collect():
         before, span, _, kind = cases[row.doc_id]
@@ -434,6 +434,16 @@ def test_pii_has_no_longest_span(spark):
         assert [(s.kind, s.start, s.end) for s in row.spans] == want, (row.text[:80], row.spans)
 
 
+def test_pii_many_spans_empty_and_repeated(spark):
+    rows = [(1, "a@b.co 1.2.3.4 " * 3000, "k"), (2, None, "k"), (2, None, "k"), (None, "a@b.co", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = pii.spans(df).collect()
+    n = {(x.doc_id, len(x.base)) for x in got}
+    assert len(got) == 4 and n == {(1, 6000), (2, 0), (None, 1)}
+    assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in [x for x in got if x.doc_id == 1][0].base) == plain_spans(rows[0][1])
+    assert pii.spans(df.limit(0)).count() == 0
+
+
 def test_pii_features_agree(spark):
     cases = [("secret", "AbC-12_3xyzABCDEF", 'k token = "'), ("account", "123-45-6789", "my ssn: "), ("local_phone", "(212) 555-0100", "call "), ("address", "joe(at)x.org", "")]
     for kind, span, before in cases:
