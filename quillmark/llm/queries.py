@@ -9,6 +9,7 @@ from quillmark.llm.mixing import OP10_SQL, op10_mixing
 from quillmark.llm.neardup_vectors import OP8_SQL, op8_vectors
 from quillmark.llm.packing import op4_packing
 from quillmark.llm.pii import op7_pii
+from quillmark.llm.pii_sql import OP7_SQL
 from quillmark.llm.quality import op2_quality
 from quillmark.llm.substrings import OP3_SQL, op3_substrings
 from quillmark.llm.warc import OP9_SQL, op9_warc
@@ -30,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substrings": OP3_SQL, "op5_jaccard": OP5_SQL, "op8_vectors": OP8_SQL, "op6_licenses": OP6_SQL, "op9_warc": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op3_substrings": OP3_SQL, "op5_jaccard": OP5_SQL, "op8_vectors": OP8_SQL, "op6_licenses": OP6_SQL, "op7_pii": OP7_SQL, "op9_warc": OP9_SQL, "op10_mixing": OP10_SQL}
