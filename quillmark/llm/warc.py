@@ -72,7 +72,12 @@ def _members(batches):
 
 
 def with_revisits(pages: DataFrame, spark: SparkSession, least: int = 0) -> DataFrame:
-    """page_id, url, payload, sha, refers_to: of equal payloads of ``least`` bytes or more the largest page_id is kept."""
+    """page_id, url, payload, sha, refers_to: of equal payloads of ``least`` bytes or more the largest page_id is kept.
+
+    Every row gives one: repeated rows of that page_id all stay whole, as do groups whose page_ids are
+    all null; a null page_id in another group refers to the largest. Null payloads are empty. Columns
+    other than page_id, url and html are not kept.
+    """
     base = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
