@@ -20,7 +20,8 @@ _SETEXT = re.compile(rb"(?:=+|-+)[ \t]*\r?$")
 _RULE = re.compile(rb"(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})\r?$")
 _ITEM = re.compile(rb"([-+*]|\d{1,9}[.)])(?=[ \t\r]|$)")
 _TICKS = re.compile(rb"`+")
-_DEF = re.compile(rb"\[(?:[^\[\]\\]|\\.)+\]:[ \t]*(?:<[^<>\n]*>|[^\s<]\S*)(?:[ \t]+(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?[ \t]*\r?$")
+#: A definition; its destination and its title may each begin on a line of their own, and a title may run over lines.
+_DEF = re.compile(rb"\[(?:[^\[\]\\]|\\.)+\]:[ \t]*\n?[ \t]*(?:<[^<>\n]*>|[^\s<]\S*)(?:(?:[ \t]+|[ \t]*\n[ \t]*)(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?[ \t]*(?:\n|\Z)", re.S)
 #: Names that begin an HTML block of the sixth kind.
 _BLOCK_TAGS = (
     "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -234,10 +235,13 @@ class _Reader:
         close_items(0)
 
     def paragraph(self, para: list[tuple[int, int]]) -> None:
-        while para and (m := _DEF.match(self.src[para[0][0] : para[0][1]].strip())):
-            self.masks.append(para[0])
-            para.pop(0)
-        self.inline_of(para)
+        done = at = 0
+        body = b"\n".join(self.src[lo:hi].strip() for lo, hi in para) if para and self.src[slice(*para[0])].lstrip()[:1] == b"[" else b""
+        while done < len(para) and (m := _DEF.match(body, at)):
+            lines = body.count(b"\n", at, m.end()) + (body[m.end() - 1 : m.end()] != b"\n")
+            self.masks += para[done : done + lines]
+            done, at = done + lines, m.end()
+        self.inline_of(para[done:])
 
     def inline_of(self, para: list[tuple[int, int]]) -> None:
         if para:

@@ -100,3 +100,68 @@ def test_unclosed_backticks_take_linear_time():
 
     took(100)
     assert took(20_000) < 8 * took(5_000) + 0.5
+
+
+#: name, mask, source, what stays, what goes
+CASES = [
+    ('def2', 'markdown', "[ref]:\n  http://far.away\n  'Old title'\n\nText stays.\n", ['Text stays'], ['far.away', 'Old title']),
+    ('def-title-next', 'markdown', '[ref]: http://far.away\n"Old title"\n\nText stays.\n', ['Text stays'], ['far.away', 'Old title']),
+    ('ref link', 'markdown', 'See [the words][ref] now.\n\n[ref]: /u\n', ['the words', 'now'], ['/u']),
+    ('double tick', 'markdown', 'A ``code ` more`` b.\n', ['A ', 'b.'], ['code', 'more']),
+    ('esc tick', 'markdown', 'A \\`not code\\` b.\n', ['not code'], []),
+    ('fence info', 'markdown', '~~~js title\nx\n~~~\nafter\n', ['after'], ['x\n', 'js title']),
+    ('fence longer', 'markdown', '````\n```\ninner\n````\nafter\n', ['after'], ['inner']),
+    ('fence in list', 'markdown', '- item\n\n  ```\n  code\n  ```\n\n  tail\n', ['item', 'tail'], ['code']),
+    ('quote fence', 'markdown', '> ```\n> code\n> ```\n> tail\n', ['tail'], ['code']),
+    ('tilde not closed by tick', 'markdown', '~~~\na\n```\nb\n~~~\nafter\n', ['after'], ['a\n', 'b\n']),
+    ('indent not in para', 'markdown', 'para\n    lazy words\n', ['lazy words'], []),
+    ('setext1', 'markdown', 'Title\n=====\n\nbody\n', ['Title', 'body'], []),
+    ('html comment', 'markdown', 'a\n\n<!-- gone\n\nstill -->\n\nkept\n', ['kept'], ['gone', 'still']),
+    ('inline html', 'markdown', 'x <span class="robust">in</span> y\n', ['in', 'x ', 'y'], ['robust']),
+    ('image', 'markdown', '![alt](a.png "tip") end\n', ['alt', 'end'], ['a.png', 'tip']),
+    ('angle dest', 'markdown', "[l](<a b> 't') end\n", ['l', 'end'], ['a b']),
+    ('nested brackets', 'markdown', '[a [b] c](dest) end\n', ['a [b] c', 'end'], ['dest']),
+    ('email auto', 'markdown', '<me@x.org> kept\n', ['kept'], ['me@x.org']),
+    ('crlf', 'markdown', '# H\r\n\r\n```\r\ncode\r\n```\r\nkept\r\n', ['H', 'kept'], ['code']),
+    ('ordered', 'markdown', '1. one\n2) two\n', ['one', 'two'], []),
+    ('front matter not first', 'markdown', 'x\n\n---\ny: z\n---\n', ['y: z'], []),
+    ('table', 'markdown', '| a | b |\n|---|---|\n| c | d |\n', ['a', 'd'], []),
+    ('html style', 'html', '<style>p{}</style><p>in</p>', ['in'], ['p{}']),
+    ('html attr gt', 'html', '<a title="x>y">in</a>', ['in'], ['x>y']),
+    ('html textarea', 'html', '<textarea>ta</textarea><kbd>k1</kbd><samp>s1</samp>', ['k1', 's1'], ['ta<', 'kbd']),
+    ('html nested code', 'html', '<pre><b>b1</b></pre> out <code>c1<i>c2</i></code> end', ['out', 'end'], ['b1', 'c1', 'c2']),
+    ('html unclosed', 'html', 'a < b and c > d', ['a', 'b and c'], []),
+    ('html upper', 'html', '<SCRIPT>x1</SCRIPT><P>in</P>', ['in'], ['x1']),
+    ('js regex', 'js', "a = b / c / d; // note\nx = /it's/; y = 'str';", ['note', 'str'], ["it's", ' c ']),
+    ('js tpl nest', 'js', '`a ${`b ${c1} d`} e`', ['a ', 'b ', ' d', ' e'], ['c1']),
+    ('js str esc', 'js', "x = 'don\\'t stop'; y1()", ['stop'], ['y1']),
+    ('js import', 'js', "import a from 'mod-path'; x = 'kept';", ['kept'], []),
+    ('jsx attr', 'jsx', "x = <A b='q1' {...c1}>t1 {'s1'} <B/>t2</A>;", ['q1', 't1', 's1', 't2'], ['c1']),
+    ('jsx frag', 'jsx', 'x = <>t1<p>t2</p></>;', ['t1', 't2'], []),
+    ('jsx cmp', 'jsx', "if (a<b && c>d) { e('k1') }", ['k1'], ['a<b']),
+    ('ts gen', 'ts', "let a: Foo<'lit'> = b as Bar<string>; // n1", ['n1'], ['Bar']),
+    ('tsx gen', 'tsx', 'const f = <T extends U>(a: T) => <p>t1</p>;', ['t1'], ['extends']),
+    ('js hashbang', 'js', '#!/usr/bin/env node\n// n1\n', ['n1'], []),
+    ('two definitions', 'markdown', '[a]: /u1\n[b]:\n/u2 (long\ntitle)\nwords [a]\n', ['words'], ['/u1', '/u2', 'long', 'title']),
+    ('text after a title', 'markdown', '[a]: /u1\n"not a title" here\n', ['not a title', 'here'], ['/u1']),
+    ('no destination', 'markdown', '[a]:\n\nkept [b]: inside\n', ['kept', 'inside'], []),
+    ('definition in a quote', 'markdown', '> [a]:\n> /u1\n> kept\n', ['kept'], ['/u1']),
+]
+
+
+@pytest.mark.parametrize("name,mask,src,keep,gone", CASES, ids=[c[0] for c in CASES])
+def test_cases(name, mask, src, keep, gone):
+    _check(MASKS[mask], src, keep, gone)
+
+
+def test_definitions_take_linear_time():
+    import time
+
+    def seconds(n):
+        src = "[a]: /u (x\n" * n
+        t = time.perf_counter()
+        markdown_mask.mask(src)
+        return time.perf_counter() - t
+
+    seconds(1000)
+    assert seconds(40_000) < 5 * max(seconds(20_000), 0.01)
