@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillmark.llm.ann import op1_ann
+from quillmark.llm.filter_audit import OP13_SQL, op13_filters
 from quillmark.llm.jaccard import OP5_SQL, op5_jaccard
 from quillmark.llm.licenses import OP6_SQL, op6_licenses
 from quillmark.llm.mixing import OP10_SQL, op10_mixing
@@ -27,8 +28,18 @@ def queries() -> dict:
         "op8_vectors": op8_vectors,
         "op9_warc": op9_warc,
         "op10_mixing": op10_mixing,
+        "op13_filters": op13_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substrings": OP3_SQL, "op5_jaccard": OP5_SQL, "op8_vectors": OP8_SQL, "op6_licenses": OP6_SQL, "op7_pii": OP7_SQL, "op9_warc": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {
+        "op3_substrings": OP3_SQL,
+        "op5_jaccard": OP5_SQL,
+        "op6_licenses": OP6_SQL,
+        "op7_pii": OP7_SQL,
+        "op8_vectors": OP8_SQL,
+        "op9_warc": OP9_SQL,
+        "op10_mixing": OP10_SQL,
+        "op13_filters": OP13_SQL,
+    }
