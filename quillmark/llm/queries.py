@@ -6,6 +6,7 @@ from quillmark.llm.ann import op1_ann
 from quillmark.llm.filter_audit import OP13_SQL, op13_filters
 from quillmark.llm.jaccard import OP5_SQL, op5_jaccard
 from quillmark.llm.licenses import OP6_SQL, op6_licenses
+from quillmark.llm.manifest import OP12_SQL, op12_manifest
 from quillmark.llm.mixing import OP10_SQL, op10_mixing
 from quillmark.llm.neardup_vectors import OP8_SQL, op8_vectors
 from quillmark.llm.packing import op4_packing
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_vectors": op8_vectors,
         "op9_warc": op9_warc,
         "op10_mixing": op10_mixing,
+        "op12_manifest": op12_manifest,
         "op13_filters": op13_filters,
     }
 
@@ -41,5 +43,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_vectors": OP8_SQL,
         "op9_warc": OP9_SQL,
         "op10_mixing": OP10_SQL,
+        "op12_manifest": OP12_SQL,
         "op13_filters": OP13_SQL,
     }
