@@ -5,6 +5,7 @@ from __future__ import annotations
 from quillmark.llm.ann import op1_ann
 from quillmark.llm.filter_audit import OP13_SQL, op13_filters
 from quillmark.llm.jaccard import OP5_SQL, op5_jaccard
+from quillmark.llm.language import op11_language
 from quillmark.llm.licenses import OP6_SQL, op6_licenses
 from quillmark.llm.manifest import OP12_SQL, op12_manifest
 from quillmark.llm.mixing import OP10_SQL, op10_mixing
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op8_vectors": op8_vectors,
         "op9_warc": op9_warc,
         "op10_mixing": op10_mixing,
+        "op11_language": op11_language,
         "op12_manifest": op12_manifest,
         "op13_filters": op13_filters,
     }
