@@ -22,6 +22,8 @@ from quillmark.llm.common import table, written
 
 ARITY = 8
 DIGEST = 64
+#: Rows of a file of the levels above the leaves; a table of fewer is one file, however many partitions the shuffle has.
+FILE_ROWS = 50_000
 PATH = "array<struct<pre:string,slot:int>>"
 
 
@@ -75,13 +77,19 @@ def place(pre: str, at: Column) -> Column:
     return F.array(F.struct(F.col(pre).alias("pre"), at.cast("int").alias("slot")))
 
 
-def ladder(spark: SparkSession, first: DataFrame, most: int, name: str) -> list[DataFrame]:
-    """Levels above the ``first`` parents, each a written table (g, n, idx, pre, h), up to one node in every group."""
-    levels = [first.select("g", "n", "idx", "pre", "h")]
+def ladder(spark: SparkSession, first: DataFrame, name: str) -> tuple[list[DataFrame], list[int]]:
+    """Levels from the ``first`` parents up to one node in every group, each above them a written table (g, n, idx, pre, h), and how many files suit each."""
+    most, rows, groups = first.agg(F.max("n"), F.count("*"), F.count_if(F.col("idx") == 0)).first()
+    most, levels, files = most or 1, [first.select("g", "n", "idx", "pre", "h")], [_files(rows)]
     while most > 1:
-        most = -(-most // ARITY)
-        levels.append(written(spark, parents(levels[-1]).drop("members"), f"{name}-{len(levels)}"))
-    return levels
+        most, rows = -(-most // ARITY), rows // ARITY + groups
+        levels.append(written(spark, parents(levels[-1]).drop("members").coalesce(_files(rows)), f"{name}-{len(levels)}"))
+        files.append(_files(rows))
+    return levels, files
+
+
+def _files(rows: int) -> int:
+    return rows // FILE_ROWS + 1
 
 
 def tops(levels: list[DataFrame], alone: DataFrame) -> DataFrame:
@@ -92,7 +100,7 @@ def tops(levels: list[DataFrame], alone: DataFrame) -> DataFrame:
     return found
 
 
-def handed_down(spark: SparkSession, levels: list[DataFrame], above: DataFrame, name: str) -> DataFrame:
+def handed_down(spark: SparkSession, levels: list[DataFrame], files: list[int], above: DataFrame, name: str) -> DataFrame:
     """g, idx, pre, up, sub of the lowest level: ``up`` holds the preimages over that node and its places in them.
 
     ``above`` (g, up, sub) has those over each group's last node, and that node's digest.
@@ -105,7 +113,7 @@ def handed_down(spark: SparkSession, levels: list[DataFrame], above: DataFrame,
             over = down.select("g", F.col("idx").alias("_p"), F.col("pre").alias("_pre"), "up", "sub")
             lower = here.where("n > 1").withColumn("_p", F.floor(F.col("idx") / ARITY)).join(over, ["g", "_p"])
             found = found.unionByName(lower.select("g", "idx", "pre", F.concat(place("_pre", F.col("idx") % ARITY), "up").alias("up"), "sub"))
-        down = written(spark, found, f"{name}-down{k}") if k else found
+        down = written(spark, found.coalesce(files[k]), f"{name}-down{k}") if k else found
     return down
 
 
@@ -145,22 +153,20 @@ def manifest(
     placed = ranked(spark, leaves, ["id", "h"], "manifest-order")
     first = written(spark, parents(placed, "id", "other"), "manifest-runs")
     alone = placed.where("n = 1")
-    most = first.agg(F.max("n")).first()[0] or 1
-    levels = ladder(spark, first, most, "manifest")
+    levels, files = ladder(spark, first, "manifest")
     none = F.expr(f"cast(array() as {PATH})")
     # the groups' last nodes are the leaves of a tree of their own
     subs = written(spark, tops(levels, alone), "manifest-subroots")
     top = ranked(spark, subs.select(F.lit("").alias("g"), F.col("g").alias("name"), "h"), ["name"], "manifest-suborder")
     head = written(spark, parents(top, "name"), "manifest-head")
-    most = head.agg(F.max("n")).first()[0] or 1
-    head_levels = ladder(spark, head, most, "manifest-head")
+    head_levels, head_files = ladder(spark, head, "manifest-head")
     root = tops(head_levels, top).first()  # one digest, or none of no rows
     root = F.lit(root["h"] if root else None).cast("string")
-    over = handed_down(spark, head_levels, tops(head_levels, top).select("g", none.alias("up"), root.alias("sub")), "manifest-head")
+    over = handed_down(spark, head_levels, head_files, tops(head_levels, top).select("g", none.alias("up"), root.alias("sub")), "manifest-head")
     above = under(head, over, "name").select(F.col("name").alias("g"), F.col("path").alias("up"), F.col("h").alias("sub"))
     above = written(spark, above.unionByName(top.where("n = 1").select(F.col("name").alias("g"), none.alias("up"), F.col("h").alias("sub"))), "manifest-above")
     # every leaf with the preimages over it
-    paths = under(first, handed_down(spark, levels, above, "manifest"), "id", "other")
+    paths = under(first, handed_down(spark, levels, files, above, "manifest"), "id", "other")
     paths = paths.unionByName(alone.join(above, "g").select("g", "h", "id", "other", "sub", F.col("up").alias("path")))
     folded = fold(F.coalesce("other", "h"), F.col("path"))
     found = paths.select(F.col("id").alias(key), F.col("h").alias("leaf"), F.col("sub").alias("subroot"), root.alias("root"), sha(siblings(F.col("path"))).alias("proof_sha256"), folded.alias("folded_root"))
