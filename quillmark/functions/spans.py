@@ -46,8 +46,8 @@ def java(pattern: str) -> str:
 
 
 def trim(c: Column) -> Column:
-    """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, f"^[{SPACES}]+|[{SPACES}]+$", "")
+    """Without Unicode white space at both ends; a run of blanks inside is passed once."""
+    return F.regexp_replace(c, rf"^[{SPACES}]++|(?<![{SPACES}])[{SPACES}]++\z", "")
 
 
 def fields(c: Column) -> Column:
@@ -107,6 +107,16 @@ def once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+#: Long runs that a pattern may pass over where it doesn't match: a match inside one would have begun with it.
+LONG_BLANKS = r"\n[\t\n\f\r ]{32,}+"
+LONG_NAME = r"[A-Z][\w\x{2019}']{64,}+"
+
+
+def passing(pattern: str, over: str) -> str:
+    """Java's dialect of an RE2 pattern that also matches what it may pass over, so that no run is scanned from each of its places."""
+    return f"(?:{java(pattern)})|{over}"
+
+
 def find_all(text: Column, pattern: str | Column, base: Column | None = None) -> Column:
     """array<SPAN> of the leftmost non-overlapping matches of a (non-empty) RE2 pattern.
 
@@ -128,8 +138,8 @@ def find_all(text: Column, pattern: str | Column, base: Column | None = None) ->
 
 
 def pieces(text: Column, pattern: str, keep: bool, base: Column | None = None) -> Column:
-    """array<SENT>: text cut at the pattern; the separator stays with the piece before it if ``keep``. Blank pieces are dropped."""
-    p = java(pattern)
+    """array<SENT>: text cut at the pattern (Java's dialect); the separator stays with the piece before it if ``keep``. Blank pieces are dropped."""
+    p = pattern
     both = F.struct(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("ms"), F.split(text, p, -1).alias("gs"))
     first = F.lit(0) if base is None else base
 
@@ -147,11 +157,11 @@ def pieces(text: Column, pattern: str, keep: bool, base: Column | None = None) -
 
 
 def paragraphs(text: Column) -> Column:
-    return pieces(text, PARAGRAPH_END, keep=False)
+    return pieces(text, java(PARAGRAPH_END), keep=False)
 
 
 def sentences(text: Column, base: Column | None = None) -> Column:
-    return pieces(text, SENTENCE_END, keep=True, base=base)
+    return pieces(text, r"(?<![.!?])(?:" + java(SENTENCE_END) + ")", keep=True, base=base)  # a run of marks is tried once
 
 
 def islands(items: Column, holds, least: int) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import patterns as P
-from quillmark.functions.spans import at_most, cut, fields, find_all, first_words, fold, folded, islands, java, once, paragraphs, sentences, trim
+from quillmark.functions.spans import LONG_BLANKS, LONG_NAME, at_most, cut, fields, find_all, first_words, fold, folded, islands, java, once, paragraphs, passing, sentences, trim
 
 VIOLATION = "struct<rule_id:string,start_index:int,end_index:int,matched_text:string,explanation:string,suggested_change:string,ord:int>"
 
@@ -62,18 +62,26 @@ def single(rule: str) -> Column:
     return _when(_any(P.gates(rule)), _hits(rule, P.SINGLE.get(rule) or P.word_list(rule)))
 
 
+def solid(found: Column) -> Column:
+    """Without the runs of blanks that a pattern passed over."""
+    return F.filter(found, lambda s: s["m"].rlike(r"[^\t\n\f\r ]"))
+
+
 def listed(rule: str) -> Column:
     """One pass per entry, and only for entries whose gate the text holds."""
     passes = P.list_passes(rule)
-    each = F.array(*(F.struct(F.lit(gate).alias("gate"), F.lit(java(p)).alias("p")) for gate, p in passes))
+    each = F.array(*(F.struct(F.lit(gate).alias("gate"), F.lit(passing(p, LONG_BLANKS) if r"\n\s*" in p else java(p)).alias("p")) for gate, p in passes))
     due = F.filter(each, lambda x: F.contains(_c("_fold"), x["gate"]))
-    found = F.flatten(F.transform(due, lambda x: find_all(_c("_text"), x["p"])))
+    found = solid(F.flatten(F.transform(due, lambda x: find_all(_c("_text"), x["p"]))))
     return _when(_any([g for g, _ in passes]), F.transform(found, lambda s: _v(rule, s["start"], s["end"], s["m"])))
 
 
 def parenthetical() -> Column:
     rule = "parenthetical-qualifier"
-    return F.concat(_when(_c("_text").contains("("), _hits(rule, P.PARENTHESIS)), listed(rule))
+    # nothing after the last bracket can match, however many open there
+    closed = F.left(_c("_text"), F.length(_c("_text")) - F.length(F.substring_index(_c("_text"), ")", -1)))
+    inside = F.transform(find_all(closed, P.PARENTHESIS), lambda s: _v(rule, s["start"], s["end"], s["m"]))
+    return F.concat(_when(_c("_text").contains("(") & _c("_text").contains(")"), inside), listed(rule))
 
 
 def em_dash() -> Column:
@@ -94,7 +102,7 @@ def negation_pivot() -> Column:
     rule = "negation-pivot"
     gate = _any(["not", "n't", "nt", "n’t", "never", "no longer"])
     # the blanks after a first sentence go with it: no match begins with one
-    first = find_all(_c("_text"), P.PIVOT_FIRST + r"[ \t]*+")
+    first = F.filter(find_all(_c("_text"), F.lit(passing(P.PIVOT_FIRST + r"[ \t]*+", LONG_NAME))), lambda s: s["m"].rlike("[.!?]"))
 
     def second(raw: Column, s: Column) -> Column:
         subject = F.regexp_extract(s["m"], java(P.PIVOT_FIRST), 1)
@@ -129,7 +137,8 @@ def question() -> Column:
     rule = "question-then-answer"
 
     def in_paragraph(p: Column) -> Column:
-        found = find_all(p["text"], P.SEGMENT, p["start"])
+        # segments lie side by side: one that doesn't end is not looked for again further on
+        found = find_all(p["text"], F.lit(r"\G" + java(P.SEGMENT)), p["start"])
         pairs = once(found, lambda segs: F.zip_with(segs, F.slice(segs, 2, F.greatest(F.size(segs), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
 
         def answered(x: Column) -> Column:
@@ -177,7 +186,9 @@ def listicle() -> Column:
         def count(s: Column) -> Column:
             return F.size(F.filter(F.split(trim(s["m"]), "\n"), lambda line: line.rlike(java(item))))
 
-        counted = F.transform(find_all(_c("_text"), pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), count(s).alias("n")))
+        # first with items that aren't given back, which take no stack; a text where that fails has few of them
+        whole = F.lit(passing(f"{pattern}+|{pattern}", LONG_BLANKS))
+        counted = F.transform(solid(find_all(_c("_text"), whole)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), count(s).alias("n")))
         return F.transform(
             F.filter(counted, lambda s: s["n"].isin(*P.ROUND_COUNTS)),
             lambda s: _v(rule, s["start"], s["end"], s["m"], F.concat(F.lit(f"{name} list with exactly "), s["n"].cast("string"), F.lit(" items"))),
@@ -271,7 +282,7 @@ def trench() -> Column:
         body = F.substring(s["m"], F.length(lead) + 1, F.length(s["m"]))
         return _v(rule, s["start"] + F.octet_length(lead), s["end"], body)
 
-    found = F.transform(find_all(_c("_text"), P.TRENCH), stripped)
+    found = F.transform(solid(find_all(_c("_text"), F.lit(passing(P.TRENCH, LONG_BLANKS)))), stripped)
     return F.element_at(F.transform(F.array(_when(_any(["the first", "second", "third", "fourth", "fifth"]), found)), lambda v: F.when(F.size(v) >= 2, v).otherwise(_empty())), 1)
 
 

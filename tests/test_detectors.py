@@ -145,3 +145,37 @@ def test_duplicates_in_long_lists(spark):
     assert deduplicated(twice).select(F.size("violations")).first()[0] == 20_000
     few = deduplicated(detect(spark.createDataFrame([(1, "A — b — c")], "doc_id int, text string"), rules=["em-dash-pivot"]).withColumn("violations", F.flatten(F.array("violations", F.reverse("violations")))))
     assert [v.start_index for v in few.first().violations] == [2, 8]
+
+
+FILLERS = [" ", "\n", " \n", "\t", ".", "(", "A’", "1. a\n", "- a\n", "a", "not ", ", ", "Ab doesn't ", "\xa0"]
+
+
+def test_padding_takes_no_time_in_any_rule(spark):
+    """200,000 characters of one filler between words: no rule looks at a run from each of its places, and no list is too long for the stack."""
+    import time
+
+    row = lambda i, n: (i, "Why so? A fine day\n\nShort one.\n\nx" + FILLERS[i] * (n // len(FILLERS[i])) + "y is here. Not now. Not then.")
+    took = []
+    for n in (1000, 200_000):
+        df = spark.createDataFrame([row(i, n) for i in range(len(FILLERS))], "doc_id int, text string").repartition(len(FILLERS), "doc_id")
+        for _ in range(2 if n == 1000 else 1):
+            t = time.time()
+            rows = detect(df).select("doc_id", F.size("violations").alias("n")).collect()
+            spent = time.time() - t
+        took.append(spent)
+        assert len(rows) == len(FILLERS)
+    assert took[1] < took[0] + 2 * len(FILLERS) / 2, took
+
+
+@pytest.mark.parametrize("text,rule,spans", [
+    ("1.  \n2. b\n3. c\n4. d\n5. e", "listicle-instinct", [(0, 24)]),
+    ("- a\n-  \n- c\n- d\n", "listicle-instinct", []),
+    ("\n" * 40 + "The first. \n" + " \n" * 40 + "the second is it.", "listicle-trench-coat", [(40, 49), (132, 142)]),
+    ("end.\n" + "\n" * 50 + "However, no.", "connector-addiction", [(3, 63)]),
+    ("A (one bracket that is open ((((( and long) b ( open at the end of it all", "parenthetical-qualifier", [(2, 43)]),
+    ("X’" + "AB" * 40 + " doesn't sing in church. X’" + "AB" * 40 + " plays the old organ.", "negation-pivot", [(0, 214)]),
+    ("Hm... so? it rains. Why?? tail without an end", "question-then-answer", [(5, 19)]),
+])
+def test_runs_and_lists_as_before(spark, text, rule, spans):
+    found = detect(spark.createDataFrame([(1, text)], "doc_id int, text string"), rules=[rule]).first()["violations"]
+    assert [(v.start_index, v.end_index) for v in found] == spans
