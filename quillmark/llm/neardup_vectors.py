@@ -212,7 +212,9 @@ def near_duplicates(
     group = F.col(label).cast("string") if label else F.lit("")
     single = vectors.schema[embedding].dataType.simpleString() == "array<float>"
     base = vectors.select(F.col(key).cast("long").alias("k"), group.alias("label"), F.col(embedding).cast("array<double>").alias("e"))
-    good = base.where(F.col("k").isNotNull() & F.col("label").isNotNull() & usable("e")).withColumn("h", F.xxhash64("label", "e"))
+    # rows are one node by 128 bits of label and vector, so that no two of some 10**12 vectors are mistaken for one
+    same = F.struct(F.xxhash64("label", "e").alias("one"), F.xxhash64(F.lit("other"), "label", "e").alias("two"))
+    good = base.where(F.col("k").isNotNull() & F.col("label").isNotNull() & usable("e")).withColumn("h", same)
     nodes = good.groupBy("h").agg(F.min("k").alias("node"), F.count("*").alias("w"), F.any_value("e").alias("e"), F.any_value("label").alias("label"))
     n, dims = nodes.agg(F.count("*"), F.coalesce(F.max(F.size("e")), F.lit(1))).first()
     if length is None:
@@ -279,7 +281,7 @@ def near_duplicates(
         nodes.select("h", "node", "w").join(degree, "node", "left").join(roots, "node", "left")
         .select("h", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("root", "node").alias("root"))
     )
-    able = F.when(F.col("k").isNotNull() & F.col("label").isNotNull() & usable("e"), F.xxhash64("label", "e"))
+    able = F.when(F.col("k").isNotNull() & F.col("label").isNotNull() & usable("e"), same)
     return (
         base.select("k", able.alias("h"))
         .join(by_hash, "h", "left")
