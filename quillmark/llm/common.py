@@ -7,6 +7,7 @@ folder that ``spark.checkpoint.dir`` names, as ordinary Parquet.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import re
 import tempfile
 import uuid
@@ -147,8 +148,15 @@ def words_of(data: np.ndarray, offsets: np.ndarray, is_sep: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Longer words are hashed by blake2b: a polynomial modulo 2**64 is the same for certain words of some 1,000 bytes, whatever its base.
+LONG_WORD = 64
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes, the same wherever the word stands."""
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE_CODE[data] * powers(len(data)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(len(data), True)[starts] + (ends - starts).astype(np.uint64))
+    out = mix((total[ends] - total[starts]) * powers(len(data), True)[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
