@@ -71,10 +71,6 @@ def fold(c: Column) -> Column:
     return F.lower(F.translate(c, "ſK", "sk"))
 
 
-def byte_slice(text: Column, start: Column, end: Column) -> Column:
-    return F.decode(F.substring(F.encode(text, "UTF-8"), start + 1, end - start), "UTF-8")
-
-
 def cut(raw: Column, start: Column, end: Column) -> Column:
     """Bytes between two character edges as a string; ``raw`` is binary, bound by ``once`` so that a cut costs its own length."""
     return F.substring(raw, start + 1, end - start).cast("string")
@@ -180,16 +176,30 @@ def islands(items: Column, holds, least: int) -> Column:
     return once(F.transform(items, holds), runs)
 
 
-def overlaps(start: Column, end: Column, ranges: Column, kind: str) -> Column:
-    """Whether a range of the kind meets [start, end)."""
-    return F.exists(ranges, lambda r: (r["kind"] == kind) & (r["start"] < end) & (r["end"] > start))
+def ranks(points: Column, queries: Column) -> Column:
+    """array<int>: for each query, how many points lie below it. One sort of both together: a query's rank is its place less the queries before it."""
+    at = lambda xs, kind: F.transform(xs, lambda x, i: F.struct(x.alias("at"), F.lit(kind).alias("kind"), i.alias("i")))
+    both = F.array_sort(F.concat(at(queries, 0), at(points, 1)))  # of equal places the query comes first
+    asked = F.filter(F.transform(both, lambda x, j: F.struct(x["kind"].alias("kind"), x["i"].alias("i"), j.alias("j"))), lambda x: x["kind"] == 0)
+    placed = F.array_sort(F.transform(asked, lambda x, q: F.struct(x["i"].alias("i"), (x["j"] - q).alias("rank"))))
+    return F.transform(placed, lambda x: x["rank"])
+
+
+def count_overlapping(starts: Column, ends: Column, ranges: Column, kind: str) -> Column:
+    """array<int>: for each span [start, end), how many ranges of the kind meet it; all that begin before its end, less those that end by its start."""
+    own = F.filter(ranges, lambda r: r["kind"] == kind)
+    begun = ranks(F.transform(own, lambda r: r["start"]), ends)
+    over = ranks(F.transform(own, lambda r: r["end"]), F.transform(starts, lambda s: s + 1))
+    return F.zip_with(begun, over, lambda a, b: a - b)
 
 
-def count_overlapping(start: Column, end: Column, ranges: Column, kind: str) -> Column:
-    return F.size(F.filter(ranges, lambda r: (r["kind"] == kind) & (r["start"] < end) & (r["end"] > start)))
+def overlaps(starts: Column, ends: Column, ranges: Column, kind: str) -> Column:
+    """array<boolean>: for each span, whether a range of the kind meets it."""
+    return F.transform(count_overlapping(starts, ends, ranges, kind), lambda n: n > 0)
 
 
-def restore(text: Column, start: Column, end: Column, otherwise: Column) -> Column:
-    """The original bytes of a span where its offsets are valid."""
-    ok = (start >= 0) & (start <= end) & (end <= F.octet_length(text))
-    return F.when(ok, byte_slice(text, start, end)).otherwise(otherwise)
+def restore(raw: Column, start: Column, end: Column, otherwise: Column) -> Column:
+    """The original bytes of a span where its offsets are valid: in order, inside the text and between characters. ``raw`` is binary, bound by ``once``."""
+    inside = lambda at: (F.substring(raw, at + 1, 1) >= F.lit(b"\x80")) & (F.substring(raw, at + 1, 1) < F.lit(b"\xc0"))
+    ok = (start >= 0) & (start <= end) & (end <= F.octet_length(raw)) & ~inside(start) & ~inside(end)
+    return F.when(ok, cut(raw, start, end)).otherwise(otherwise)

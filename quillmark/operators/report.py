@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions.catalogue import RULES, rules
-from quillmark.functions.spans import count_overlapping, overlaps, restore
+from quillmark.functions.spans import count_overlapping, once, restore
 from quillmark.operators.detectors import deduplicated, detect
 
 
@@ -55,21 +55,26 @@ def suppressed(df: DataFrame, family: Column | str, original: str = "text", rang
     """
     lang = F.col(family) if isinstance(family, str) else family
     markup, script = lang.isin("markdown", "html"), lang.isin("js", "jsx", "ts", "tsx")
-    r = F.col(ranges)
-
-    def keep(v: Column) -> Column:
-        s, e = v["start_index"], v["end_index"]
-        fragment, burst = v["rule_id"] == "dramatic-fragment", v["rule_id"] == "staccato-burst"
-        drop = (markup & ((fragment & overlaps(s, e, r, "heading")) | (burst & (count_overlapping(s, e, r, "list-item") >= 2)))) | (
-            script & fragment & overlaps(s, e, r, "jsdoc")
-        )
+    fragment, burst = lambda v: v["rule_id"] == "dramatic-fragment", lambda v: v["rule_id"] == "staccato-burst"
+
+    def met(kind: str, due: Column) -> Column:
+        """By violation, how many ranges of the kind it meets; counted in one sweep, and only where that matters."""
+        at = lambda name: F.transform(column, lambda v: v[name])
+        return F.when(due, count_overlapping(at("start_index"), at("end_index"), F.col(ranges), kind)).alias(kind.replace("-", "_"))
+
+    fragments, bursts = F.exists(column, fragment), F.exists(column, burst)
+    meets = F.struct(met("heading", markup & fragments), met("list-item", markup & bursts), met("jsdoc", script & fragments))
+
+    def keep(m: Column, v: Column, i: Column) -> Column:
+        drop = (fragment(v) & ((F.get(m["heading"], i) > 0) | (F.get(m["jsdoc"], i) > 0))) | (burst(v) & (F.get(m["list_item"], i) >= 2))
         return ~F.coalesce(drop, F.lit(False))
 
-    def whole(v: Column) -> Column:
-        return v.withField("matched_text", restore(F.col(original), v["start_index"], v["end_index"], v["matched_text"]))
+    def whole(raw: Column, v: Column) -> Column:
+        return v.withField("matched_text", restore(raw, v["start_index"], v["end_index"], v["matched_text"]))
 
-    kept = F.transform(F.filter(column, keep), whole)
-    return df.withColumn(column, F.when(markup | script, kept).otherwise(F.col(column)))
+    kept = once(meets, lambda m: F.filter(column, lambda v, i: keep(m, v, i)))
+    restored = once(F.col(original).cast("binary"), lambda raw: F.transform(kept, lambda v: whole(raw, v)))
+    return df.withColumn(column, F.when(markup | script, restored).otherwise(F.col(column)))
 
 
 def report(df: DataFrame, text: str = "text", column: str = "violations") -> DataFrame:

@@ -91,8 +91,6 @@ def _rules_sql(where: str = "") -> str:
 
 _PATHS = ["a.md", "b.MARKDOWN", "c.mdx", "d.html", "e.HTM", "f.js", "g.mjs", "h.cjs", "i.jsx", "j.ts", "k.mts", "l.cts", "m.tsx", "n.txt", "noext", "dir.md/plain", "x.tar.html"]
 _EFFORTS = [(None, None, None, False), (None, None, None, True), (None, True, None, False), (None, False, None, True), (None, None, True, False), (None, None, False, True), (None, True, False, True), ("off", True, True, True), ("LOW", None, True, True), ("high", None, None, False), ("auto", True, None, True), ("auto", None, None, False), ("", None, None, True)]
-_SPANS = [(1, 0, 5), (1, 5, 9), (2, 3, 4), (2, 10, 20), (3, 0, 0), (3, 7, 8)]
-_RANGES = [(1, 4, 6, "heading"), (1, 8, 12, "list-item"), (1, 8, 9, "list-item"), (2, 0, 3, "heading"), (2, 15, 16, "list-item"), (2, 19, 40, "list-item"), (3, 0, 50, "code-block")]
 _ANSWERS = [("hedge-stack", "the", "common", "a"), ("throat-clearing", "THE", "case", "remove all of this now"), ("", "the", "no rule", ""), ("dead-metaphor", "no such words anywhere", "lost", ""), ("balanced-take", "", "no match", ""), ("hedge-stack", "the", "again", "b"), ("pivot-paragraph", "of", "short", "omit"), ("sycophantic-frame", "is", "other", "plain words")]
 
 
@@ -123,28 +121,34 @@ coalesce(flag IN ('', 'auto'), deep IS NULL AND llm IS NULL) AS auto FROM (SELEC
 
 
 def _overlap(kind: str):
+    """Sentences of every document against its paragraphs, every second of them as a range of the kind looked for."""
+
     def run(spark, sf):
-        r = spark.createDataFrame(_RANGES, "doc_id int, start int, end int, kind string").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "kind")).alias("ranges"))
-        v = spark.createDataFrame(_SPANS, "doc_id int, s int, e int").join(F.broadcast(r), "doc_id")  # seven rows
-        out = overlaps(F.col("s"), F.col("e"), F.col("ranges"), "heading") if kind == "any" else count_overlapping(F.col("s"), F.col("e"), F.col("ranges"), "list-item")
-        return v.select("doc_id", "s", "e", out.alias("found"))
+        d = prepared(_seeded(spark, sf).select("doc_id", "text"))
+        ranges = F.transform("_paras", lambda p, i: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.when(i % 2 == 0, "heading").otherwise("list-item").alias("kind")))
+        at = lambda name: F.transform("_sents", lambda s: s[name])
+        of = (overlaps, "heading") if kind == "any" else (count_overlapping, "list-item")
+        found = d.select("doc_id", "_sents", of[0](at("start"), at("end"), ranges, of[1]).alias("found"))
+        rows = found.select("doc_id", F.posexplode(F.arrays_zip("_sents", "found")).alias("pos", "z"))
+        return rows.select("doc_id", "pos", F.col("z._sents.start").alias("s"), F.col("z._sents.end").alias("e"), F.col("z.found").alias("found"))
 
     return run
 
 
 def _overlap_sql(kind: str) -> str:
-    k, out = ("heading", "count(r.a) > 0") if kind == "any" else ("list-item", "count(r.a)::int")
-    return f"""SELECT v.doc_id, s, e, {out} AS found FROM {_sql_values(_SPANS, 'doc_id, s, e')}
-LEFT JOIN (SELECT * FROM {_sql_values(_RANGES, 'doc_id, a, b, kind')}) r ON r.doc_id = v.doc_id AND r.kind = '{k}' AND a < e AND b > s GROUP BY v.doc_id, s, e"""
+    odd, out = (0, "count(r.a) > 0") if kind == "any" else (1, "count(r.a)::int")
+    numbered = lambda of: f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS i, a, b FROM ({of})"
+    return O.over(f"""SELECT v.doc_id, v.i::int AS pos, v.a AS s, v.b AS e, {out} AS found FROM ({numbered(O.SENTS)}) v
+LEFT JOIN ({numbered(O.PARAS)}) r ON r.doc_id = v.doc_id AND r.i % 2 = {odd} AND r.a < v.b AND r.b > v.a GROUP BY v.doc_id, v.i, v.a, v.b""")
 
 
 def _restore(spark, sf):
-    d = _docs(spark, sf).select("doc_id", "text")
+    d = _docs(spark, sf).select("doc_id", F.col("text").cast("binary").alias("raw"), "text")
     start, end = F.lit(0), F.octet_length(F.substring("text", 1, 9)).cast("int")
-    # to the text's end for plain texts of even ids, one byte beyond it for all others
-    fits = (F.col("doc_id") % 2 == 0) & F.col("text").rlike(r"^[\x00-\x7F]{6,}\z")
-    last = F.octet_length("text") + F.when(fits, 0).otherwise(1)
-    return d.select("doc_id", restore(F.col("text"), start, end, F.lit("?")).alias("inside"), restore(F.col("text"), F.lit(5), last, F.lit("?")).alias("beyond"))
+    # to the text's end for even ids, one byte beyond it for all others
+    last = F.octet_length("text") + F.when(F.col("doc_id") % 2 == 0, 0).otherwise(1)
+    got = lambda a, b: restore(F.col("raw"), a, b, F.lit("?"))
+    return d.select("doc_id", got(start, end).alias("inside"), got(F.lit(5), last).alias("beyond"))
 
 
 def _chunks(spark, sf):
@@ -457,8 +461,7 @@ def oracle_sql() -> dict[str, str]:
         "resolve_effort": _effort_sql(),
         "overlaps": _overlap_sql("any"),
         "count_overlapping": _overlap_sql("count"),
-        "restore_matched_text": """SELECT doc_id, substr(text, 1, 9) AS inside, CASE WHEN b <= strlen(text) THEN decode(encode(text)[a + 1:b]) ELSE '?' END AS beyond
-FROM (SELECT doc_id, text, 5 AS a, strlen(text) + CASE WHEN doc_id % 2 = 0 AND regexp_full_match(text, '[\\x00-\\x7F]{6,}') THEN 0 ELSE 1 END AS b FROM documents)""",
+        "restore_matched_text": """SELECT doc_id, substr(text, 1, 9) AS inside, CASE WHEN doc_id % 2 = 0 AND strlen(text) >= 5 AND NOT hex(encode(text)[6:6]) BETWEEN '80' AND 'BF' THEN decode(encode(text)[6:]) ELSE '?' END AS beyond FROM documents""",
         "chunk_text": _CHUNK_SQL,
         "resolve_llm_matches": _LOCATED_SQL,
         "dedupe_rule_match": _FIRST_SQL,
