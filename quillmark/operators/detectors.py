@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.functions import automata
 from quillmark.functions import patterns as P
 from quillmark.functions.spans import LONG_BLANKS, LONG_NAME, at_most, cut, fields, find_all, first_words, fold, folded, islands, java, once, paragraphs, passing, sentences, trim
 
@@ -43,7 +44,7 @@ def _when(gate: Column, found: Column) -> Column:
     return F.when(gate, found).otherwise(_empty())
 
 
-def _hits(rule: str, pattern: str) -> Column:
+def _hits(rule: str, pattern: str | Column) -> Column:
     return F.transform(find_all(_c("_text"), pattern), lambda s: _v(rule, s["start"], s["end"], s["m"]))
 
 
@@ -59,7 +60,11 @@ def _slice(rule: str, items: Column, runs: Column, explain=None) -> Column:
 
 
 def single(rule: str) -> Column:
-    return _when(_any(P.gates(rule)), _hits(rule, P.SINGLE.get(rule) or P.word_list(rule)))
+    """One expression; a list of phrases is one automaton."""
+    gate, phrases = _any(P.gates(rule)), automata.word_list(rule)
+    if rule in P.SECOND_GATES:
+        gate = gate & _c("_fold").rlike(java(P.SECOND_GATES[rule]))
+    return _when(gate, _hits(rule, F.lit(phrases) if phrases else P.SINGLE[rule]))
 
 
 def solid(found: Column) -> Column:
@@ -215,24 +220,20 @@ def gerunds() -> Column:
 def openers() -> Column:
     """array<struct<two,one>> by sentence: its two-word and one-word opening, '' where it has none that counts."""
 
-    def letters(w: Column) -> Column:
-        return F.lower(F.regexp_replace(w, r"[^\p{L}]", ""))
+    def of(l: Column) -> Column:
+        # a conjunction before other words doesn't count
+        return once(F.when((F.size(l) > 1) & F.get(l, F.lit(0)).isin(*P.CONJUNCTIONS), F.slice(l, 2, 2)).otherwise(F.slice(l, 1, 2)), opening)
 
-    def of(words: Column) -> Column:
-        first, second = letters(words[0]), letters(words[1])
-        enough = (F.size(words) >= 2) & (F.octet_length(first) >= 2)
+    def opening(l: Column) -> Column:
+        enough = (F.size(l) >= 2) & (F.octet_length(F.get(l, F.lit(0))) >= 2)
         return F.struct(
-            F.when(enough & ~first.isin(*P.SKIP_TWO), F.concat_ws(" ", first, second)).otherwise("").alias("two"),
-            F.when(enough & ~first.isin(*P.SKIP_ONE), first).otherwise("").alias("one"),
+            F.when(enough & ~F.get(l, F.lit(0)).isin(*P.SKIP_TWO), F.concat_ws(" ", F.get(l, F.lit(0)), F.get(l, F.lit(1)))).otherwise("").alias("two"),
+            F.when(enough & ~F.get(l, F.lit(0)).isin(*P.SKIP_ONE), F.get(l, F.lit(0))).otherwise("").alias("one"),
         )
 
-    def normal(w: Column) -> Column:
-        lead = F.coalesce(letters(F.get(w, F.lit(0))), F.lit(""))
-        return F.when((F.size(w) > 1) & lead.isin(*P.CONJUNCTIONS), F.slice(w, 2, 2)).otherwise(F.slice(w, 1, 2))
-
-    # the first three words decide everything
-    few = F.transform(_c("_sents"), lambda s: normal(first_words(s["text"])))
-    return F.transform(few, lambda w: F.when(F.size(w) >= 2, of(w)).otherwise(F.struct(F.lit("").alias("two"), F.lit("").alias("one"))))
+    # the letters of the first three words decide everything
+    few = lambda s: F.transform(first_words(s["text"]), lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}]+", "")))
+    return F.transform(F.transform(_c("_sents"), few), of)
 
 
 def anaphora() -> Column:
@@ -270,7 +271,12 @@ def anaphora() -> Column:
         found = once(begins, lambda b: once(_c("_raw"), lambda raw: folded(F.size(b), F.lit(0), VIOLATION, lambda pos, j: step(raw, b, pos, j))))
         return found
 
-    return _when(F.size(_c("_sents")) >= 3, once(openers(), scan))
+    def thrice(o: Column) -> Column:
+        """Whether three neighbours have one opening; most texts end here."""
+        same = lambda i, k: (o[i][k] != "") & (o[i][k] == o[i + 1][k]) & (o[i][k] == o[i + 2][k])
+        return F.exists(F.sequence(F.lit(0), F.size(o) - 3), lambda i: same(i, "one") | same(i, "two"))
+
+    return _when(F.size(_c("_sents")) >= 3, once(openers(), lambda o: _when(thrice(o), scan(o))))
 
 
 def trench() -> Column:
