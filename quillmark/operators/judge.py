@@ -2,7 +2,12 @@
 
 A judge is ``judge(system, prompt, schema) -> dict or str``; it runs inside
 ``mapInPandas`` on executors and must be importable there. Nothing here knows
-which model answers. ``command_judge`` wraps a command-line program.
+which model answers. ``CommandJudge`` wraps a command-line program.
+
+Only chunks go to the judge and only answers come back; a document's text meets
+its answers once, by key, and all places are found in one search of it. Answers
+can be kept in a Parquet table by a hash of all that was asked (``ask_all``): a
+rerun, or a pass that goes on after a lost one, asks only what has no answer yet.
 """
 
 from __future__ import annotations
@@ -11,15 +16,18 @@ import json
 import os
 import shutil
 import subprocess
+import uuid
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import patterns as P
 from quillmark.functions.catalogue import BY_ID, REWRITE_DEFAULTS, RULES
-from quillmark.functions.spans import java, trim
+from quillmark.functions.spans import java, once, trim
 from quillmark.operators.detectors import VIOLATION
 from quillmark.operators.masking import UsageError
 
@@ -160,36 +168,87 @@ def sanitized(suggestion: Column, matched: Column) -> Column:
     return F.when(instruction, F.lit("")).otherwise(F.coalesce(suggestion, F.lit("")))
 
 
-def located(text: Column, items: Column) -> Column:
-    """array<VIOLATION> of a model's items in the full text: first place as written, else in any (ASCII) case; the rest is dropped."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    plain = F.translate(text, upper, lower)
+PLACES = "array<struct<start:int,end:int,m:string>>"
+_ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: More needles than this are looked for by one automaton, fewer one by one.
+FEW = 8
+
+
+def _first(text: str, needles: set[str]) -> dict[str, int]:
+    """The first place of each needle that the text holds; many needles in one pass over it."""
+    if len(needles) <= FEW:
+        return {w: at for w in needles if (at := text.find(w)) >= 0}
+    try:
+        from ahocorasick import Automaton
+    except ImportError:
+        return {w: at for w in needles if (at := text.find(w)) >= 0}
+    seeker, found = Automaton(), {}
+    for w in needles:
+        seeker.add_word(w, w)
+    seeker.make_automaton()
+    for last, w in seeker.iter(text):
+        if w not in found:
+            found[w] = last + 1 - len(w)
+            if len(found) == len(needles):
+                break
+    return found
+
+
+def _bytes_before(text: str) -> np.ndarray | None:
+    """UTF-8 bytes before each character and at the end; None where these are the characters themselves."""
+    if text.isascii():
+        return None
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.concatenate([[0], np.cumsum(1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))])
+
+
+def first_places(texts: pd.Series, needles: pd.Series) -> pd.Series:
+    """By row, for each needle its first place as written, else in any (ASCII) case, in bytes; None where it is nowhere or empty."""
+    out = []
+    for t, words in zip(texts, needles, strict=True):
+        words = [] if words is None else list(words)
+        wanted = {w for w in words if w}
+        at = _first(t, wanted) if t and wanted else {}
+        if t and len(at) < len(wanted):
+            lower = {w: w.translate(_ASCII_LOWER) for w in wanted - at.keys()}
+            near = _first(t.translate(_ASCII_LOWER), set(lower.values()))
+            at |= {w: near[x] for w, x in lower.items() if x in near}
+        size = _bytes_before(t) if at else None
+        byte = (lambda i: i) if size is None else (lambda i, size=size: int(size[i]))
+        out.append([{"start": byte(at[w]), "end": byte(at[w] + len(w)), "m": t[at[w] : at[w] + len(w)]} if w in at else None for w in words])
+    return pd.Series(out)
+
+
+def _first_places(texts: pd.Series, needles: pd.Series) -> pd.Series:
+    return first_places(texts, needles)
 
-    def place(x: Column) -> Column:
-        exact = F.instr(text, x["matchedText"])
-        near = F.instr(plain, F.translate(x["matchedText"], upper, lower))
-        return F.struct(x.alias("x"), F.when(exact > 0, exact).otherwise(near).alias("at"))
 
+def located(text: Column, items: Column) -> Column:
+    """array<VIOLATION> of a model's items in the full text: first place as written, else in any (ASCII) case; the rest is dropped.
+
+    One search of the text for all items together.
+    """
     good = F.filter(items, lambda x: (F.coalesce(x["ruleId"], F.lit("")) != "") & (F.coalesce(x["matchedText"], F.lit("")) != ""))
-    found = F.filter(F.transform(good, place), lambda p: p["at"] > 0)
+    places = F.pandas_udf(_first_places, PLACES)(text, F.transform(good, lambda x: x["matchedText"]))
 
-    def violation(p: Column) -> Column:
-        x = p["x"]
-        m = F.substring(text, p["at"], F.length(x["matchedText"]))
-        start = F.octet_length(F.substring(text, F.lit(1), p["at"] - 1))
+    def violation(z: Column) -> Column:
+        x, p = z["x"], z["p"]
         return F.struct(
-            x["ruleId"].alias("rule_id"), start.cast("int").alias("start_index"), (start + F.octet_length(m)).cast("int").alias("end_index"), m.alias("matched_text"),
-            x["explanation"].alias("explanation"), sanitized(x["suggestedChange"], x["matchedText"]).alias("suggested_change"), F.lit(len(P.ORDER)).alias("ord"),
+            x["ruleId"].alias("rule_id"), p["start"].alias("start_index"), p["end"].alias("end_index"), p["m"].alias("matched_text"), x["explanation"].alias("explanation"),
+            sanitized(x["suggestedChange"], x["matchedText"]).alias("suggested_change"), F.lit(len(P.ORDER)).alias("ord"),
         )
 
-    return F.transform(found, violation).cast(f"array<{VIOLATION}>")
+    both = F.zip_with(good, places, lambda x, p: F.struct(x.alias("x"), p.alias("p")))
+    return F.transform(F.filter(both, lambda z: z["p"].isNotNull()), violation).cast(f"array<{VIOLATION}>")
 
 
 def first_by_match(violations: Column) -> Column:
-    """The first per (rule, matched text), in order."""
-    key = lambda v: F.struct(v["rule_id"], v["matched_text"])
-    keys = F.transform(violations, key)
-    return F.filter(violations, lambda v, i: F.array_position(keys, key(v)) == i + 1)
+    """The first per (rule, matched text), in order: of equal neighbours in sorted order the first stays."""
+    placed = F.array_sort(F.transform(violations, lambda v, i: F.struct(v["rule_id"].alias("r"), v["matched_text"].alias("m"), i.alias("i"))))
+    same = lambda a, b: a["r"].eqNullSafe(b["r"]) & a["m"].eqNullSafe(b["m"])
+    fresh = once(placed, lambda s: F.filter(s, lambda x, j: (j == 0) | ~same(F.get(s, j - 1), x)))
+    kept = F.array_sort(F.transform(fresh, lambda x: x["i"]))
+    return once(F.struct(violations.alias("v"), kept.alias("k")), lambda z: F.transform(z["k"], lambda i: z["v"][i]))
 
 
 # ---------------------------------------------------------------- judges
@@ -250,48 +309,111 @@ def _ask(judge, tier: str, passage: str) -> tuple[list[dict], str | None]:
         return [], str(e)[:400] or type(e).__name__
 
 
-def judged(docs: DataFrame, judge, tier: str, key: str = "doc_id", text: str = "text", parallel: int | None = None) -> DataFrame:
+ANSWERS = f"ask string, items {ITEMS}, error string"
+#: Calls of one task between two commits of the answer table.
+CALLS_A_TASK = 64
+
+
+def asked(tier: str, passage: Column) -> Column:
+    """A hash of all that a call depends on: instructions, rules, schema and passage."""
+    fixed = "\0".join([SYSTEM[tier], rule_prompt(tier), json.dumps(SCHEMA, sort_keys=True)])
+    return F.sha2(F.concat(F.lit(fixed + "\0"), passage), 256)
+
+
+def answers(spark: SparkSession, path: str) -> DataFrame:
+    """The table of answers at a path: one row for each thing asked, an answer before an error; empty where there is no table yet."""
+    try:
+        found = spark.read.schema(ANSWERS).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], ANSWERS)
+    best = F.min(F.struct(F.col("error").isNotNull().alias("bad"), "items", "error"))
+    return found.groupBy("ask").agg(best.alias("b")).select("ask", "b.items", "b.error")
+
+
+def ask_all(spark: SparkSession, passages: DataFrame, judge, tier: str, path: str, parallel: int | None = None) -> DataFrame:
+    """The answers to all ``passages`` (column ``chunk``), from the table at ``path`` or asked now and added to it.
+
+    Equal passages are asked once. What is missing is asked in rounds of ``parallel`` tasks (so many calls at a time over
+    the cluster, by default one for each core) of CALLS_A_TASK calls, and every round is committed: a pass that is lost
+    loses one round. What failed is asked again by the next pass.
+    """
+    parallel = parallel or spark.sparkContext.defaultParallelism
+    due = passages.select(asked(tier, F.col("chunk")).alias("ask"), "chunk").dropDuplicates(["ask"])
+    due = due.join(answers(spark, path).where("error is null").select("ask"), "ask", "left_anti")
+    todo = f"{path.rstrip('/')}-todo/{uuid.uuid4().hex[:12]}"  # so that rounds don't cut the documents anew
+    due.write.parquet(todo)
+    rows = spark.read.schema("ask string, chunk string").parquet(todo)
+    rounds = -(-rows.count() // (parallel * CALLS_A_TASK))
+
+    def call(frames):
+        for f in frames:
+            got = [_ask(judge, tier, c) for c in f["chunk"]]
+            yield pd.DataFrame({"ask": f["ask"], "items": [a for a, _ in got], "error": [e for _, e in got]})
+
+    for k in range(rounds):
+        mine = rows.where(F.pmod(F.xxhash64("ask"), F.lit(rounds)) == k).repartition(parallel, "ask")
+        mine.mapInPandas(call, ANSWERS).write.mode("append").parquet(path)
+    return answers(spark, path)
+
+
+def judged(docs: DataFrame, judge, tier: str, key: str = "doc_id", text: str = "text", parallel: int | None = None, path: str | None = None) -> DataFrame:
     """(key, found array<VIOLATION>, error): model findings per document.
 
     The sentence tier asks chunk by chunk; its error is null unless all chunks fail, and repeats over chunks
     are dropped by rule and matched text. The document tier asks once. ``parallel`` bounds the calls at a time.
-    Keys must be unique and not null.
+    Keys must be unique and not null. With ``path``, answers are kept in a table there and asked for once (this
+    runs the calls); without it they are asked for whenever the result is computed.
     """
+    spark = docs.sparkSession
     base = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    parts = chunked(base, "_t") if tier == "sentence" else base.select(key, "_t", F.lit(0).alias("chunk_id"), F.col("_t").alias("chunk"))
-    if parallel:
-        parts = parts.repartition(parallel)
+    parts = chunked(base, "_t").drop("_t") if tier == "sentence" else base.select(key, F.lit(0).alias("chunk_id"), F.col("_t").alias("chunk"))
     kind = base.schema[key].dataType.simpleString()
 
     def call(frames):
         for f in frames:
-            answers = [_ask(judge, tier, c) for c in f["chunk"]]
-            yield pd.DataFrame({key: f[key], "chunk_id": f["chunk_id"], "_t": f["_t"], "items": [a for a, _ in answers], "error": [e for _, e in answers]})
-
-    asked = parts.mapInPandas(call, f"`{key}` {kind}, chunk_id int, _t string, items {ITEMS}, error string")
-    placed = asked.select(key, "chunk_id", "error", located(F.col("_t"), F.col("items")).alias("found"))
-    whole = placed.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("chunk_id", "found", "error"))).alias("parts"), F.count("*").alias("_n"), F.count("error").alias("_bad")
+            got = [_ask(judge, tier, c) for c in f["chunk"]]
+            yield pd.DataFrame({key: f[key], "chunk_id": f["chunk_id"], "items": [a for a, _ in got], "error": [e for _, e in got]})
+
+    if path:
+        known = ask_all(spark, parts, judge, tier, path, parallel)
+        answered = parts.select(key, "chunk_id", asked(tier, F.col("chunk")).alias("ask")).join(known, "ask", "left").drop("ask")
+        answered = answered.withColumn("items", F.coalesce("items", F.expr(f"cast(array() as {ITEMS})")))
+    else:
+        spread = parts.repartition(parallel) if parallel else parts
+        answered = spread.mapInPandas(call, f"`{key}` {kind}, chunk_id int, items {ITEMS}, error string")
+    whole = answered.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("chunk_id", "items", "error"))).alias("parts"), F.count("*").alias("_n"), F.count("error").alias("_bad")
     )
-    found = F.flatten(F.transform("parts", lambda p: p["found"]))
-    return whole.select(
-        key, F.when(F.col("_n") > 1, first_by_match(found)).otherwise(found).alias("found"),
+    # the texts come to their answers, each once
+    placed = base.join(whole, key).select(key, "parts", "_n", "_bad", located(F.col("_t"), F.flatten(F.transform("parts", lambda p: p["items"]))).alias("found"))
+    return placed.select(
+        key, F.when(F.col("_n") > 1, first_by_match(F.col("found"))).otherwise(F.col("found")).alias("found"),
         F.when(F.col("_n") == F.col("_bad"), F.col("parts")[0]["error"]).alias("error"),
     )
 
 
-def with_model(docs: DataFrame, judge, effort: str, auto: bool, key: str = "doc_id", text: str = "text", parallel: int | None = None) -> DataFrame:
+def _settled(df: DataFrame) -> DataFrame:
+    """Computed once: by a checkpoint in the shared folder, or in memory where none is set (a local session)."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+
+
+def with_model(docs: DataFrame, judge, effort: str, auto: bool, key: str = "doc_id", text: str = "text", parallel: int | None = None, path: str | None = None) -> DataFrame:
     """``docs`` with ``extra`` (findings of all tiers) and ``llm``: by tier auto, ran, error.
 
     An automatically chosen pass that fails is recorded; one that was asked for raises JudgeError (this runs the calls).
+    With ``path`` answers are kept in a table there.
     """
     tiers = {"off": (), "low": ("sentence",), "high": ("sentence", "document")}[effort]
     out = docs.withColumn("extra", F.expr(f"cast(array() as array<{VIOLATION}>)"))
     status = []
     for tier in tiers:
-        got = judged(docs, judge, tier, key, text, parallel).withColumnsRenamed({"found": "_f", "error": "_e"})
+        got = judged(docs, judge, tier, key, text, parallel, path).withColumnsRenamed({"found": "_f", "error": "_e"})
         if not auto:
-            got = got.persist()
+            got = got if path else _settled(got)
             bad = got.where("_e is not null").select(key, "_e").first()
             if bad:
                 raise JudgeError(f"{tier} pass: {bad['_e']}")
