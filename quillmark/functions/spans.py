@@ -66,8 +66,8 @@ def first_words(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Lower case for gates: folds also the two letters that case-insensitive patterns take for s and k."""
-    return F.lower(F.translate(c, "ſK", "sk"))
+    """Lower case for gates: folds also the letters outside ASCII that match s, k and i."""
+    return F.lower(F.translate(c, "\u017f\u212a\u0130", "ski"))
 
 
 def cut(raw: Column, start: Column, end: Column) -> Column:

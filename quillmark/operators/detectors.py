@@ -159,7 +159,7 @@ def hedges() -> Column:
     rule = "hedge-stack"
 
     def found(s: Column) -> Column:
-        low = F.lower(s["text"])
+        low = F.lower(F.translate(s["text"], "\u0130", "i"))  # one letter for one
         words = F.filter(F.array(*map(F.lit, P.HEDGES)), lambda h: F.contains(low, h))
         modals = F.filter(F.array(*(F.struct(F.lit(m).alias("w"), low.rlike(java(rf"\b{m}\b")).alias("y")) for m in P.MODALS)), lambda m: m["y"])
         return F.concat(words, F.transform(modals, lambda m: m["w"]))

@@ -179,3 +179,16 @@ def test_padding_takes_no_time_in_any_rule(spark):
 def test_runs_and_lists_as_before(spark, text, rule, spans):
     found = detect(spark.createDataFrame([(1, text)], "doc_id int, text string"), rules=[rule]).first()["violations"]
     assert [(v.start_index, v.end_index) for v in found] == spans
+
+
+def test_letters_whose_lower_case_is_shorter(spark):
+    """Long phrases fold every letter; offsets stay those of the original bytes, also behind letters that shrink."""
+    text = "\u0130\u0130\u212a\u212a Here's the \u212aicker. Th\u0130nk of it as air. Let's unpac\u212a it. STUD\u0130ES SHOW it. It m\u0130ght, perhaps, wor\u212a."
+    rules = ["heres-the-kicker", "pedagogical-aside", "vague-attribution", "hedge-stack"]
+    found = detect(spark.createDataFrame([(1, text)], "doc_id int, text string"), rules=rules).first()["violations"]
+    raw = text.encode()
+    assert [(v.rule_id, v.matched_text) for v in found if v.rule_id != "hedge-stack"] == [
+        ("heres-the-kicker", "Here's the \u212aicker"), ("pedagogical-aside", "Let's unpac\u212a"), ("pedagogical-aside", "Th\u0130nk of it as"), ("vague-attribution", "STUD\u0130ES SHOW"),
+    ]
+    assert all(raw[v.start_index : v.end_index].decode() == v.matched_text for v in found)
+    assert [v.explanation for v in found if v.rule_id == "hedge-stack"] == ["Contains 2 hedges: perhaps, might"]
