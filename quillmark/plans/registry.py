@@ -15,6 +15,7 @@ from quillmark.operators import judge as J
 from quillmark.operators.detectors import deduplicated, detect, openers, prepared
 from quillmark.operators.masking import LANGUAGES, lang_column, mask
 from quillmark.operators.report import check, corpus_counts, exploded, report_json
+from quillmark.operators.table_functions import register
 from quillmark.plans import oracle as O
 from quillmark.plans.seeds import CARRIERS, seeded, seeded_sql
 
@@ -303,7 +304,7 @@ def _frame(kind: str, side: str, blank: bool = False) -> str:
     return "".join(re.sub(r"[^\n]", " ", t) if blank and not kept else t for t, kept in _FRAMES[kind][side])
 
 
-def _marked(kind: str):
+def _marked_text(kind: str):
     """Every whole seeded text inside a frame: as a comment (of documentation, for odd ids), or as plain paragraphs of Markdown or HTML."""
 
     def docs(spark, sf):
@@ -312,11 +313,15 @@ def _marked(kind: str):
             text = F.ltrim(F.regexp_replace(F.regexp_replace("text", r"[^\p{L} .,;:?!\n]", ""), "\n +", "\n"))
         else:
             text = F.concat(F.when(F.col("doc_id") % 2 == 1, "/** ").otherwise("/* "), F.regexp_replace("text", r"\*/", "* /"), F.lit(" */"))
-        return mask(d.select("doc_id", F.concat(F.lit(_frame(kind, "before")), text, F.lit(_frame(kind, "after"))).alias("text"), F.lit(kind).alias("lang")))
+        return d.select("doc_id", F.concat(F.lit(_frame(kind, "before")), text, F.lit(_frame(kind, "after"))).alias("text"), F.lit(kind).alias("lang"))
 
     return docs
 
 
+def _marked(kind: str):
+    return lambda spark, sf: mask(_marked_text(kind)(spark, sf))
+
+
 def _framed_sql(kind: str) -> str:
     """raw(doc_id, t), src (masked) and orig (as it is), the masks as they are marked in _FRAMES."""
     nl = lambda x: " || chr(10) || ".join(O.lit(part) for part in x.split("\n"))
@@ -358,6 +363,29 @@ def _rows_rule(df: DataFrame) -> DataFrame:
     return exploded(df).select("doc_id", "rule_id", "start_index", "end_index", "matched_text")
 
 
+def _lateral(spark, sf):
+    """Headings and list items of every framed document, by SQL alone."""
+    register(spark, "quillmark_")
+    _marked_text("markdown")(spark, sf).createOrReplaceTempView("quillmark_framed")
+    return spark.sql("""SELECT f.doc_id, r.kind, r.start_index, r.end_index, md5(r.content) AS digest
+FROM quillmark_framed f, LATERAL quillmark_mask_ranges(f.text, 'markdown') r WHERE r.kind <> 'code-block'""")
+
+
+def _lateral_sql() -> str:
+    at = len(_frame("markdown", "before"))
+    rows = [f"({O.lit(k)}, {f'{a} + n + {at}' if after else a}, {f'{b} + n + {at}' if after else b})" for k, a, b, after in _FRAMES["markdown"]["ranges"]]
+    each = " UNION ALL ".join(f"SELECT doc_id, text, v.* FROM orig, LATERAL (SELECT * FROM (VALUES {r}) AS v(kind, a, b)) v" for r in rows)
+    return f"WITH {_framed_sql('markdown')} SELECT doc_id, kind, a::int AS start_index, b::int AS end_index, md5(decode(encode(text)[a + 1:b])) AS digest FROM ({each})"
+
+
+def _lateral_pages(spark, sf):
+    """Pages by SQL alone: bytes of prose that stay, and ranges."""
+    register(spark, "quillmark_")
+    _docs(spark, sf, "pages").createOrReplaceTempView("quillmark_pages")
+    return spark.sql("""SELECT p.page_id, octet_length(p.html) AS n_bytes, octet_length(m.masked) AS masked_bytes, m.n_ranges,
+octet_length(regexp_replace(m.masked, '[ \\n]+', '')) AS prose_bytes FROM quillmark_pages p, LATERAL quillmark_mask(p.html, 'html') m""")
+
+
 def _pages(spark, sf):
     p = _docs(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.lit("html").alias("lang"))
     return mask(p)
@@ -418,6 +446,8 @@ def queries() -> dict:
         "mask_pages": lambda s, d: _pages(s, d).select("doc_id", F.md5(F.col("masked").cast("binary")).alias("masked"), F.size("ranges").alias("n_ranges")),
         "html_violations": lambda s, d: _rows_rule(check(_pages(s, d).drop("lang").withColumn("lang", F.lit("text")), lang="lang", masked="masked")),
         "suppress_pages": lambda s, d: _rows_rule(check(_pages(s, d), lang="lang", masked="masked")),
+        "mask_lateral": _lateral,
+        "mask_lateral_pages": _lateral_pages,
         "chunk_text": _chunks,
         "resolve_llm_matches": _located,
         "dedupe_rule_match": _first_by_match,
@@ -462,6 +492,7 @@ def oracle_sql() -> dict[str, str]:
         "overlaps": _overlap_sql("any"),
         "count_overlapping": _overlap_sql("count"),
         "restore_matched_text": """SELECT doc_id, substr(text, 1, 9) AS inside, CASE WHEN doc_id % 2 = 0 AND strlen(text) >= 5 AND NOT hex(encode(text)[6:6]) BETWEEN '80' AND 'BF' THEN decode(encode(text)[6:]) ELSE '?' END AS beyond FROM documents""",
+        "mask_lateral": _lateral_sql(),
         "chunk_text": _CHUNK_SQL,
         "resolve_llm_matches": _LOCATED_SQL,
         "dedupe_rule_match": _FIRST_SQL,
