@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from quillmark.operators.report import check, corpus_counts, exploded, report_js
 from quillmark.operators.table_functions import register
 from quillmark.plans import oracle as O
 from quillmark.plans.seeds import CARRIERS, seeded, seeded_sql
+from quillmark.sources.files import shared_folder
 
 
 def _docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -386,6 +388,28 @@ def _lateral_pages(spark, sf):
 octet_length(regexp_replace(m.masked, '[ \\n]+', '')) AS prose_bytes FROM quillmark_pages p, LATERAL quillmark_mask(p.html, 'html') m""")
 
 
+_EXTENSIONS = [(".md", "markdown"), (".HTML", "html"), (".js", "js"), (".tsx", "tsx"), (".txt", "text"), ("", "text")]
+
+
+def _files(spark, sf):
+    """Every document written to a file of its own, every seventh with a byte that is no UTF-8, and the folder read back."""
+    from quillmark.sources import prose
+
+    prose.register(spark)
+    folder = f"{shared_folder(spark)}/prose-{uuid.uuid4().hex[:12]}"
+    d = _docs(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("b"))
+    ext = F.element_at(F.array(*(F.lit(e) for e, _ in _EXTENSIONS)), (F.pmod("doc_id", F.lit(len(_EXTENSIONS))) + 1).cast("int"))
+    name = F.concat((F.col("doc_id") % 10).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), ext)
+    content = F.when(F.col("doc_id") % 7 == 0, F.concat("b", F.lit(b"\xff"))).otherwise(F.col("b"))
+    d.select(name.alias("path"), content.alias("content")).write.format("prose").mode("append").save(folder)
+    back = spark.read.format("prose").load(folder)
+    return back.select(F.regexp_extract("path", r"(\d+)(\.\w+)?$", 1).cast("long").alias("doc_id"), "lang", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+_FILES_SQL = f"""SELECT doc_id, ([{', '.join(O.lit(name) for _, name in _EXTENSIONS)}])[(doc_id % {len(_EXTENSIONS)})::int + 1] AS lang,
+md5(coalesce(text, '') || CASE WHEN doc_id % 7 = 0 THEN chr(65533) ELSE '' END) AS digest FROM documents"""
+
+
 def _pages(spark, sf):
     p = _docs(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.lit("html").alias("lang"))
     return mask(p)
@@ -446,6 +470,7 @@ def queries() -> dict:
         "mask_pages": lambda s, d: _pages(s, d).select("doc_id", F.md5(F.col("masked").cast("binary")).alias("masked"), F.size("ranges").alias("n_ranges")),
         "html_violations": lambda s, d: _rows_rule(check(_pages(s, d).drop("lang").withColumn("lang", F.lit("text")), lang="lang", masked="masked")),
         "suppress_pages": lambda s, d: _rows_rule(check(_pages(s, d), lang="lang", masked="masked")),
+        "read_files": _files,
         "mask_lateral": _lateral,
         "mask_lateral_pages": _lateral_pages,
         "chunk_text": _chunks,
@@ -492,6 +517,7 @@ def oracle_sql() -> dict[str, str]:
         "overlaps": _overlap_sql("any"),
         "count_overlapping": _overlap_sql("count"),
         "restore_matched_text": """SELECT doc_id, substr(text, 1, 9) AS inside, CASE WHEN doc_id % 2 = 0 AND strlen(text) >= 5 AND NOT hex(encode(text)[6:6]) BETWEEN '80' AND 'BF' THEN decode(encode(text)[6:]) ELSE '?' END AS beyond FROM documents""",
+        "read_files": _FILES_SQL,
         "mask_lateral": _lateral_sql(),
         "chunk_text": _CHUNK_SQL,
         "resolve_llm_matches": _LOCATED_SQL,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import sys
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,14 @@ def read_files(spark: SparkSession, path: str, lang: str | None = None) -> DataF
     return raw.select(F.xxhash64("path").alias("doc_id"), "path", text.alias("text"), lang_column(F.col("path"), lang).alias("lang"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a local session without one gets a temporary folder, a cluster an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or f"file://{tempfile.mkdtemp(prefix='quillmark-')}").rstrip("/")
+
+
 def read_table(spark: SparkSession, path: str, key: str, text: str, lang: str = "text", format: str = "parquet", **options) -> DataFrame:
     """A column of a table as documents; any format that Spark reads."""
     df = spark.read.format(format).options(**options).load(path)
