@@ -18,6 +18,7 @@ from quillmark.operators.masking import LANGUAGES, lang_column, mask
 from quillmark.operators.report import check, corpus_counts, exploded, report_json
 from quillmark.operators.table_functions import register
 from quillmark.plans import oracle as O
+from quillmark.plans import raw_masks
 from quillmark.plans.seeds import CARRIERS, seeded, seeded_sql
 from quillmark.sources.files import shared_folder
 
@@ -485,7 +486,7 @@ def queries() -> dict:
     for kind in _FRAMES:
         q[f"mask_{kind}"] = _mask_query(kind)
         q[f"suppress_{kind}"] = _suppress_query(kind)
-    return q
+    return q | raw_masks.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
@@ -532,7 +533,7 @@ SELECT doc_id, (a.n_found + b.n_found)::int AS n_found, a.ran AS sentence_ran, b
     for kind in _FRAMES:
         o[f"mask_{kind}"] = _mask_sql(kind)
         o[f"suppress_{kind}"] = _suppress_sql(kind)
-    return o
+    return o | raw_masks.SQL
 
 
 assert len(RULES) == 48 and len(CATEGORIES) == 5
