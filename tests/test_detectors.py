@@ -147,7 +147,7 @@ def test_duplicates_in_long_lists(spark):
     assert [v.start_index for v in few.first().violations] == [2, 8]
 
 
-FILLERS = [" ", "\n", " \n", "\t", ".", "(", "A’", "1. a\n", "- a\n", "a", "not ", ", ", "Ab doesn't ", "\xa0"]
+FILLERS = [" ", "\n", " \n", "\t", ".", "(", "A’", "1) a\n", "- a\n", "a", "not ", ", ", "Ab doesn't ", "\xa0"]
 
 
 def test_padding_takes_no_time_in_any_rule(spark):
@@ -164,7 +164,7 @@ def test_padding_takes_no_time_in_any_rule(spark):
             spent = time.time() - t
         took.append(spent)
         assert len(rows) == len(FILLERS)
-    assert took[1] < took[0] + 2 * len(FILLERS) / 2, took
+    assert took[1] < took[0] + 1.5 * len(FILLERS), took
 
 
 @pytest.mark.parametrize("text,rule,spans", [
