@@ -119,5 +119,5 @@ def test_hostile_sources_take_linear_time(unit):
 
     deep = unit in ("> ", "- ")  # containers: a line's time is its depth
     took(50)
-    small, large = took(1000), took(4000)
-    assert large < (20 if deep else 8) * small + 0.3, (small, large)
+    small, large = (min(took(n), took(n)) for n in (1000, 4000))  # the better of two: the machine may be busy
+    assert large < (20 if deep else 8) * small + 0.5, (small, large)

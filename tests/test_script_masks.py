@@ -94,5 +94,5 @@ def test_hostile_sources_take_linear_time(name, dialect):
         return time.process_time() - t
 
     took(50)
-    small, large = took(1500), took(6000)
-    assert large < 8 * small + 0.3, (small, large)
+    small, large = (min(took(n), took(n)) for n in (3000, 12_000))  # the better of two: the machine may be busy
+    assert large < 8 * small + 0.5, (small, large)
