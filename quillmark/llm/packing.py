@@ -21,17 +21,20 @@ from pyspark.sql import DataFrame
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 END_ID = 0
-#: Pieces that wait for a bin at once, and words whose ids are kept, in each task.
-POOL, KEPT_WORDS = 4096, 250_000
+#: Pieces that wait for a bin at once in each task.
+POOL = 4096
+#: Characters of white space at a stretch that the fast encoder isn't given; it fails at some 1,000,000.
+LONG_BLANK = 100_000
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
 class Encoder:
-    """Ids of the byte-level BPE in ``file``, with the ids of words kept.
+    """Ids of the byte-level BPE in ``file``: the same merges from ``ranks`` in a faster encoder, text by text.
 
-    The split into words is exact: in this tokenizer a piece of text that begins at a
-    single space between two visible characters is encoded without regard to what is
-    before it. Texts with other white space next to a space go to the encoder whole.
+    Nothing is kept between texts: most words of a large corpus are rare, so finding a word's
+    ids among those kept costs more than to merge it again, and its ids would fill the worker.
+    Texts that hold a special token's string go to the encoder of ``file``, and so do those
+    with a run of white space at which the fast one's splitter runs out of stack.
     """
 
     def __init__(self, file: str | None = None, ranks: str | None = None):
@@ -47,34 +50,17 @@ class Encoder:
         self.file, self.full = file or public_tokenizers.path(TOKENIZER), None
         with open(self.file, encoding="utf-8") as f:
             self.special = sorted(x["content"] for x in json.load(f)["added_tokens"])
-        self.mixed = re.compile(r"\s \s?|\s(?<! ) | \s").search
-        self.kept: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.plain.encode_ordinary(text), "<u4").tobytes()
+        self.blank = re.compile(rf"(?<!\s)\s{{{LONG_BLANK}}}").search
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if any(x in text for x in self.special):
+        if any(x in text for x in self.special) or len(text) > LONG_BLANK and self.blank(text):
             if self.full is None:  # large, and rarely needed
                 from tokenizers import Tokenizer
 
                 self.full = Tokenizer.from_file(self.file)
             return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.mixed(text):
-            return self._ids(text)
-        first, *rest = text.split(" ")
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        kept, out = self.kept, [self._ids(first)]
-        for w in rest:
-            got = kept.get(w)
-            if got is None:
-                got = self._ids(" " + w)
-                if len(w) < 40:
-                    kept[w] = got
-            out.append(got)
-        return b"".join(out)
+        return np.array(self.plain.encode_ordinary(text), "<u4").tobytes()
 
 
 class Packer:
@@ -109,54 +95,54 @@ class Packer:
     def _loss(tokens: int, loss: int, lo: int, hi: int) -> int:
         return loss if tokens == hi - lo else hi * loss // tokens - lo * loss // tokens
 
-    def _wait(self, item, tokens: int, loss: int, start: int) -> None:
+    def _wait(self, item, tokens: int, loss: int, start: int) -> tuple[int, int]:
         kind = (tokens - start, self._loss(tokens, loss, start, tokens))
         self.waiting.setdefault(kind, []).append((item, tokens, loss, start))
         self.n += 1
-
-    def _take(self, kind) -> tuple:
-        got = self.waiting[kind].pop()
-        if not self.waiting[kind]:
-            del self.waiting[kind]
-        self.n -= 1
-        return got
+        return kind
 
     def pack(self, out: list, leave: int = 0) -> None:
         """Fill bins until at most ``leave`` pieces wait."""
+        row = {k: i for i, k in enumerate(self.waiting)}
+        size, bearing = np.array([*self.waiting, (0, 0)], np.float64).T.copy()  # of each kind; a kind without pieces stays
+        alive = np.arange(len(size)) < len(row)
+        by_size, by_loss = self.limits[[0, 2]] ** -2
         while self.n > leave:
-            left, at = self.limits.copy(), 0
-            kinds = np.array([(t, 1, v) for t, v in self.waiting], np.float64)
-            alive = np.ones(len(kinds), bool)
-            row = {k: i for i, k in enumerate(self.waiting)}
-            while self.n and left.min() > 0:
-                fits = alive & (kinds <= left).all(1)
-                if fits.any():
-                    score = np.where(fits, (kinds / self.limits) @ (left / self.limits), -1.0)
-                    t, _, v = kinds[best := int(score.argmax())]
-                    item, tokens, loss, start = self._take((int(t), int(v)))
-                    alive[best] = (int(t), int(v)) in self.waiting
-                    n = int(t)
-                elif self.cut and alive.any():
-                    score = np.where(alive, (kinds / self.limits) @ (left / self.limits), -1.0)
-                    t, _, v = kinds[best := int(score.argmax())]
-                    item, tokens, loss, start = self._take((int(t), int(v)))
-                    alive[best] = (int(t), int(v)) in self.waiting
-                    n = min(int(t) - 1, int(left[0]))
+            left, at = self.limits.tolist(), 0
+            while self.n and min(left) > 0:
+                usable = alive & (size <= left[0]) & (bearing <= left[2])
+                cutting = not usable.any()
+                if cutting and not self.cut:
+                    break
+                # every piece is one segment, which adds the same to each product
+                score = np.where(alive if cutting else usable, size * (left[0] * by_size) + bearing * (left[2] * by_loss), -1.0)
+                best = int(score.argmax())
+                kind = (int(size[best]), int(bearing[best]))
+                same = self.waiting[kind]
+                item, tokens, loss, start = same[-1]
+                n = kind[0]
+                if cutting:
+                    n = min(n - 1, int(left[0]))
                     while n and self._loss(tokens, loss, start, start + n) > left[2]:
                         n -= 1
-                    if n:
-                        self._wait(item, tokens, loss, start + n)
-                        kind = (tokens - start - n, self._loss(tokens, loss, start + n, tokens))
-                        if kind in row:
-                            alive[row[kind]] = True
-                    else:
-                        self._wait(item, tokens, loss, start)
+                    if not n:
                         break
-                else:
-                    break
+                same.pop()
+                self.n -= 1
+                if not same:
+                    del self.waiting[kind]
+                    alive[best] = False
+                if cutting:
+                    rest = self._wait(item, tokens, loss, start + n)
+                    if rest not in row:
+                        row[rest] = len(row)
+                        if len(row) > len(size):
+                            size, bearing, alive = (np.concatenate([x, np.zeros_like(x)]) for x in (size, bearing, alive))
+                        size[row[rest]], bearing[row[rest]] = rest
+                    alive[row[rest]] = True
                 out.append((item, start, n, self.next, at))
                 at += n
-                left -= (n, 1, self._loss(tokens, loss, start, start + n))
+                left = [left[0] - n, left[1] - 1, left[2] - self._loss(tokens, loss, start, start + n)]
             self.next += 1
 
 
