@@ -48,6 +48,8 @@ BYTES_A_COUNTER, LEAST_COUNTERS, MOST_COUNTERS, BLOCKS = 2048, 12, 24, 64
 #: Values of l that a set may take (a set that can't share so many takes all it must share);
 #: cost of a verification in postings read; star rounds before the exact step.
 LEVELS, VERIFY_COST, ROUNDS = (8, 16, 32), 400.0, 2
+#: Bytes of text whose shingles are made together: a worker holds some ten arrays with a long for each.
+TOGETHER = 1 << 19
 #: Longs of the parity sketch.
 PARITY = 8
 _BITS = [f"p{i}" for i in range(PARITY)]
@@ -87,7 +89,7 @@ def parity(s: np.ndarray) -> np.ndarray:
 def _sets(batch, column: str, n: int):
     """(row, set) over a batch, a bounded number of bytes at a time."""
     data, off = buffers(batch.column(batch.schema.get_field_index(column)))
-    for lo, hi in runs(off):
+    for lo, hi in runs(off, TOGETHER):
         yield from enumerate(shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n), lo)
 
 
@@ -224,7 +226,7 @@ def jaccard_components(
         for b in batches:
             ids, data_off = b.column(0), buffers(b.column(1))
             data, off = data_off
-            for lo, hi in runs(off):
+            for lo, hi in runs(off, TOGETHER):
                 sets_ = shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], words)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets_])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(ends, np.concatenate(sets_).view(np.int64))], ["id", "s"])

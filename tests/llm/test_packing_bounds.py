@@ -68,3 +68,20 @@ def test_remainders_are_packed_in_later_bins():
             filled[q] = filled.get(q, 0) + k
         if limits[1] == 256:
             assert all(filled[q] == 64 for q in sorted(filled)[:-1])
+
+
+def test_shingles_are_made_of_bounded_bytes():
+    """Workers of the pipeline stay alive from stage to stage, so what one holds at most counts in packing too."""
+    import pyarrow as pa
+
+    from quillmark.llm import jaccard
+
+    batch = pa.RecordBatch.from_arrays([pa.array([rare_words(300, i) for i in range(1000)])], ["t"])
+    for _ in jaccard._sets(batch, "t", 5):  # powers are kept
+        pass
+    tracemalloc.start()
+    n = sum(len(s) for _, s in jaccard._sets(batch, "t", 5))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1000 * 296
+    assert most < 14 << 20
