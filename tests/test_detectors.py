@@ -192,3 +192,10 @@ def test_letters_whose_lower_case_is_shorter(spark):
     ]
     assert all(raw[v.start_index : v.end_index].decode() == v.matched_text for v in found)
     assert [v.explanation for v in found if v.rule_id == "hedge-stack"] == ["Contains 2 hedges: perhaps, might"]
+
+
+def test_sentences_of_the_only_paragraph_leave_out_blank_lines(spark):
+    burst = "We ran. We hid. They came."
+    rows = [(1, "\n\n" + burst), (2, " \n \n" + burst + "\n\n"), (3, burst + "\n\n \n"), (4, burst), (5, "\n" + burst + "\n")]
+    found = detect(spark.createDataFrame(rows, "doc_id int, text string"), rules=["staccato-burst"]).collect()
+    assert {r.doc_id: [(v.start_index, v.end_index) for v in r.violations] for r in found} == {1: [(2, 28)], 2: [(4, 30)], 3: [(0, 26)], 4: [(0, 26)], 5: [(0, 28)]}
